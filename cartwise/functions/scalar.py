@@ -21,7 +21,7 @@ def parse_timestamp(text: Column, fmt: str = TIMESTAMP_FORMAT) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """``end - start`` in whole seconds."""
-    return F.timestampdiff("SECOND", start, end)
+    return F.timestamp_diff("SECOND", start, end)
 
 
 def days_floor(seconds: Column) -> Column:

@@ -40,10 +40,11 @@ def sample_per_group(data: DataFrame, group: Sequence[str], keys: Sequence[str],
 
 
 def sample_rows(data: DataFrame, keys: Sequence[str], k: int,
-                seed: int | str = DEFAULT_SEED) -> DataFrame:
+                seed: int | str = DEFAULT_SEED,
+                tie_break: Sequence[Column] = ()) -> DataFrame:
     """F4/F5 on a whole table: global top-k by md5 order
     (``TakeOrderedAndProject``: each task keeps k rows, the driver merges
     at most k per task)."""
     order = [sample_key(seed, *[F.col(x) for x in keys]),
-             *[F.col(x).asc_nulls_last() for x in keys]]
+             *[F.col(x).asc_nulls_last() for x in keys], *tie_break]
     return data.orderBy(*order).limit(k)

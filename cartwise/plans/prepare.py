@@ -157,3 +157,28 @@ def complete_data(t: dict[str, DataFrame], zip_table: DataFrame | None = None,
             wide = joins.translate_categories(wide, t["product_translation"],
                                               categories_seen=seen)
     return _ordered(wide)
+
+
+# --- step boundary: the prepared table is written once and read back ------
+_PREPARED: dict[tuple[str, str, str], str] = {}
+
+
+def prepared(spark, name: str, source_key: str, build) -> DataFrame:
+    """Write ``build()`` once per application and source as Parquet in the
+    shared checkpoint folder, then read it back (A3/A4).
+
+    Later steps scan the file instead of re-planning the join chain: the
+    lineage is cut (a lost executor re-reads the file rather than redoing
+    the joins) and column pruning and filter pushdown reach the scan.
+    """
+    import uuid
+
+    from cartwise.session import scratch_path
+
+    key = (spark.sparkContext.applicationId, name, source_key)
+    path = _PREPARED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+        build().write.mode("overwrite").parquet(path)
+        _PREPARED[key] = path
+    return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cartwise.operators import aggregates as agg
 from cartwise.operators.ranking import top_n_per_group
 from cartwise.plans import oracle_sql as osql
 from cartwise.plans.catalog import register
-from cartwise.plans.prepare import complete_data
+from cartwise.plans.prepare import complete_data, prepared
 from cartwise.sources.retail_view import retail_tables
 
 
@@ -17,15 +19,21 @@ def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return retail_tables(spark, sf)
 
 
-def wide(spark: SparkSession, sf: str) -> DataFrame:
+def build_wide(spark: SparkSession, sf: str) -> DataFrame:
     t = tables(spark, sf)
     return complete_data(t, agg.geo_average(t["geolocation"]))
 
 
+def wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The prepared wide table (written once per application, then read)."""
+    return prepared(spark, "complete_data", os.path.abspath(sf),
+                    lambda: build_wide(spark, sf))
+
+
 # --- C10 -------------------------------------------------------------------
 @register("complete_data", osql.with_complete(body="SELECT * FROM r_complete"))
 def q_complete_data(spark: SparkSession, sf: str) -> DataFrame:
-    return wide(spark, sf)
+    return build_wide(spark, sf)
 
 
 # --- D3 --------------------------------------------------------------------
