@@ -71,11 +71,14 @@ def orders_by_seller(data: DataFrame, seller: str = "seller_id",
             .agg(F.count(order).alias("n_orders")))
 
 
-def joined_values(data: DataFrame, key: str, value: str, order_by: Sequence[Column],
+def joined_values(data: DataFrame, key: str, value: str, order_by: Sequence[str],
                   sep: str = ", ", alias: str | None = None) -> DataFrame:
-    """Per key, the values joined with ``sep`` in the given order."""
-    return data.groupBy(key).agg(
-        F.listagg(value, sep).withinGroup(*order_by).alias(alias or value))
+    """Per key, the values joined with ``sep``, ordered by the
+    ``order_by`` columns (ascending, NULLs last)."""
+    order = ", ".join(f"`{c}` ASC NULLS LAST" for c in order_by)
+    sep_sql = sep.replace("'", "''")
+    expr = F.expr(f"listagg(`{value}`, '{sep_sql}') WITHIN GROUP (ORDER BY {order})")
+    return data.groupBy(key).agg(expr.alias(alias or value))
 
 
 def value_counts(data: DataFrame, column: str, more_than: int | None = None) -> DataFrame:
