@@ -68,8 +68,9 @@ def category_top_products(data: DataFrame, n: int) -> DataFrame:
 @register("top_products", osql.with_complete(body=f"""
 SELECT product_category_name, product_id, review_score, rank FROM (
   SELECT cp.product_category_name, cp.product_id, s.review_score,
-         row_number() OVER (PARTITION BY cp.product_category_name
-                            ORDER BY s.review_score DESC NULLS LAST, cp.product_id) AS rank
+         CAST(row_number() OVER (PARTITION BY cp.product_category_name
+                                 ORDER BY s.review_score DESC NULLS LAST, cp.product_id)
+              AS INTEGER) AS rank
   FROM (SELECT DISTINCT product_category_name, product_id FROM r_complete
         WHERE product_category_name IS NOT NULL AND product_id IS NOT NULL) cp
   JOIN (SELECT product_id, avg(review_score) AS review_score FROM r_complete
