@@ -35,6 +35,7 @@ INVERSE_REG_GRID = (1.0, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
 KMEANS_K = 5
 KMEANS_STARTS = 10
 MAX_CENTRES = 4096
+ROWS_PER_FIT_PARTITION = 250_000
 
 
 # --- H7 ----------------------------------------------------------------------
@@ -142,10 +143,15 @@ def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_R
         f = stratified_folds(train, key, k=k, seed=seed, repeat=r).withColumn(
             "repeat", F.lit(r))
         folded = f if folded is None else folded.unionByName(f)
-    folded = folded.select(key, FEATURES, LABEL, "repeat", "fold").persist()
+    folded = folded.select(key, FEATURES, LABEL, "repeat", "fold")
     sizes = {(row["repeat"], row["fold"]): row["n"] for row in
              folded.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {r: sum(n for (rr, _), n in sizes.items() if rr == r) for r in range(repeats)}
+    # every L-BFGS iteration is a job over all partitions: size them by rows
+    rows = sum(sizes.values())
+    parts = max(1, min(spark.sparkContext.defaultParallelism,
+                       -(-rows // ROWS_PER_FIT_PARTITION)))
+    folded = folded.coalesce(parts).persist()
 
     def run(task):
         c, r, fold = task
