@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load_all() -> None:
     """Import the modules that register queries."""
     from cartwise.plans import (queries_core, queries_flow, queries_ml,  # noqa: F401
-                                queries_relational)
+                                queries_relational, queries_sources)
