@@ -3,6 +3,7 @@ expressions: they stay inside whole-stage code generation, no UDF."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,9 +61,17 @@ def fixed_width(label: Column, value: Column, left: int = 35, right: int = 15) -
     return F.format_string(f"%-{left}s%{right}s", label, value)
 
 
+@F.pandas_udf("string")
+def _python_two_decimals(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: "nan" if pd.isna(v) else f"{v:.2f}")
+
+
 def two_decimals(x: Column) -> Column:
-    """Number as text with two decimals."""
-    return F.format_string("%.2f", x)
+    """Number as text with two decimals, rounded as Python's format does
+    (the correctly rounded binary value; Java's ``%.2f`` rounds the shortest
+    decimal string half-up, 0.125 -> 0.13).  A small Arrow-batched helper,
+    used on report lines only; NULL prints as ``nan``."""
+    return _python_two_decimals(x.cast("double"))
 
 
 def centered(text: Column, width: int = 50, fill: str = "#") -> Column:

@@ -62,19 +62,20 @@ scores AS (
   WHERE product_id IS NOT NULL GROUP BY product_id)"""
 
 # Literal I8: exclude u's rows, category products, top-n, md5 draw.
-DRAWN_CTES = (SCORES_CTE, """
+def drawn_ctes(estimation_n: int, product_number: int) -> tuple[str, ...]:
+    return (SCORES_CTE, """
 cat_products AS (
   SELECT DISTINCT p.u, d.product_id FROM preds p
   JOIN r_complete d ON d.product_category_name = p.cat
   WHERE d.product_id IS NOT NULL AND NOT coalesce(d.customer_unique_id = p.u, false))""",
-              f"""
+            f"""
 top AS (
   SELECT * FROM (
     SELECT c.u, c.product_id, s.review_score,
            row_number() OVER (PARTITION BY c.u
                               ORDER BY s.review_score DESC NULLS LAST, c.product_id) AS r
     FROM cat_products c JOIN scores s ON s.product_id = c.product_id)
-  WHERE r <= {ESTIMATION_N})""", """
+  WHERE r <= {estimation_n})""", """
 navail AS (SELECT u, count(*) AS n_available FROM top GROUP BY u)""", f"""
 drawn AS (
   SELECT * FROM (
@@ -82,10 +83,12 @@ drawn AS (
       PARTITION BY u ORDER BY md5(concat_ws(':', '{SEED}', CAST(u AS VARCHAR),
                                             CAST(product_id AS VARCHAR))), product_id) AS dr
     FROM top t)
-  WHERE dr <= {PRODUCT_NUMBER})""")
+  WHERE dr <= {product_number})""")
+
 
 # Literal F6 / I7: the n nearest rows, their customers, estimates.
-NEAR_CTES = (f"""
+def near_ctes(n_nearest: int) -> tuple[str, ...]:
+    return (f"""
 near AS (
   SELECT * FROM (
     SELECT dw.u, dw.product_id, d.customer_unique_id AS c,
@@ -99,7 +102,7 @@ near AS (
     FROM drawn dw JOIN preds p ON p.u = dw.u
     JOIN r_complete d ON d.product_id = dw.product_id
                      AND NOT coalesce(d.customer_unique_id = dw.u, false))
-  WHERE nr <= {ESTIMATION_N})""", """
+  WHERE nr <= {n_nearest})""", """
 chosen AS (SELECT DISTINCT u, product_id, c FROM near)""", """
 est AS (
   SELECT ch.u, ch.product_id,
@@ -111,6 +114,10 @@ est AS (
     ON d.product_id = ch.product_id AND d.customer_unique_id IS NOT DISTINCT FROM ch.c
   GROUP BY ch.u, ch.product_id)""")
 
+
+DRAWN_CTES = drawn_ctes(ESTIMATION_N, PRODUCT_NUMBER)
+NEAR_CTES = near_ctes(ESTIMATION_N)
+
 MONEY_DECIMALS = 6
 
 
@@ -304,3 +311,60 @@ def q_recommend(spark: SparkSession, sf: str) -> DataFrame:
     d = wide(spark, sf)
     out = rec.recommend(d, cohort_predictions(d), PRODUCT_NUMBER, ESTIMATION_N, seed=SEED)
     return _money(out, "estimated_price", "shipping_price")
+
+
+# --- I10 / G8 ----------------------------------------------------------------
+REPORT_ESTIMATION_N = 1000  # the print path estimates from 1000 rows (S7)
+
+
+def _line(label: str, value: str) -> str:
+    return f"printf('%-35s%15s', '{label}', {value})"
+
+
+REPORT_SQL = osql.with_complete(
+    *COHORT_CTES, *drawn_ctes(REPORT_ESTIMATION_N, PRODUCT_NUMBER),
+    *near_ctes(REPORT_ESTIMATION_N), f"""
+np AS (SELECT u, count(*) AS n FROM drawn GROUP BY u)""", f"""
+head AS (
+  SELECT f.customer_unique_id, coalesce(np.n, 0) AS n, [
+    {_line(rec.HEADER_LABELS[0], "substring(CAST(f.customer_unique_id AS VARCHAR), 1, 5)")},
+    {_line(rec.HEADER_LABELS[1], "coalesce(f.product_category_name, 'nan')")},
+    {_line(rec.HEADER_LABELS[2], "coalesce(f.next_product_category, 'nan')")},
+    '', format('{{:#^50}}', '{rec.BANNER_TITLE}')] AS lines
+  FROM firsts f LEFT JOIN np ON np.u = f.customer_unique_id)""", f"""
+prod AS (
+  SELECT dw.u AS customer_unique_id, dw.dr, [
+    {_line(rec.PRODUCT_LABELS[0], "substring(CAST(dw.product_id AS VARCHAR), 1, 5)")},
+    {_line(rec.PRODUCT_LABELS[1], "coalesce(printf('%.2f', e.estimated_price), 'nan') || ' + ' "
+           "|| coalesce(printf('%.2f', e.shipping_price), 'nan') || 'R$'")},
+    {_line(rec.PRODUCT_LABELS[2], "coalesce(CAST(e.estimated_delivery_time AS VARCHAR), 'nan')"
+           " || ' days'")},
+    {_line(rec.PRODUCT_LABELS[3], "coalesce(printf('%.2f', dw.review_score), 'nan')")}] AS lines
+  FROM drawn dw LEFT JOIN est e ON e.u = dw.u AND e.product_id = dw.product_id)""",
+    body="""
+SELECT customer_unique_id, CAST(k - 1 AS INTEGER) AS line_no, lines[k] AS line
+FROM head, range(1, 6) t(k)
+UNION ALL
+SELECT customer_unique_id, CAST(5 + 4 * (dr - 1) + k - 1 AS INTEGER) AS line_no,
+       lines[k] AS line
+FROM prod, range(1, 5) t(k)
+UNION ALL
+SELECT customer_unique_id, CAST(5 + 4 * n + k - 1 AS INTEGER) AS line_no,
+       CASE WHEN k = 1 THEN repeat('#', 50) ELSE '' END AS line
+FROM head, range(1, 4) t(k)""")
+
+
+@register("report_lines", REPORT_SQL)
+def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    d = wide(spark, sf)
+    first = seq.next_purchase(seq.cohort_rows(d, COHORT_N), seq.EXPLORATION_SPEC,
+                              extra=(rec.LAT, rec.LNG))
+    preds = first.select(rec.CUSTOMER,
+                         F.col("next_product_category").alias("predicted_category"),
+                         F.col(rec.LAT).alias("pred_lat"), F.col(rec.LNG).alias("pred_lng"))
+    recs = rec.recommend(d, preds, PRODUCT_NUMBER, REPORT_ESTIMATION_N, seed=SEED,
+                         keep_rank=True)
+    customers = first.select(rec.CUSTOMER,
+                             F.col("product_category_name").alias("previous_category"),
+                             F.col("next_product_category").alias("predicted_category"))
+    return rec.report_lines(recs, customers)

@@ -100,8 +100,8 @@ def draw_products(top: DataFrame, product_number: int, seed=DEFAULT_SEED) -> Dat
         sample_key(seed, F.col(CUSTOMER), F.col(PRODUCT)), F.col(PRODUCT))
     n_avail = F.count(F.lit(1)).over(Window.partitionBy(CUSTOMER))
     return (top.withColumn("n_available", n_avail)
-            .withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= product_number).drop("_r"))
+            .withColumn("draw_rank", F.row_number().over(w))
+            .where(F.col("draw_rank") <= product_number))
 
 
 def nearest_customers(pairs: DataFrame, data: DataFrame, n_nearest: int) -> DataFrame:
@@ -181,7 +181,8 @@ def expected_values(pairs: DataFrame, data: DataFrame, n_nearest: int) -> DataFr
 
 def recommend(data: DataFrame, preds: DataFrame, product_number: int = 3,
               estimation_n: int = 5, n_nearest: int | None = None,
-              scores: DataFrame | None = None, seed=DEFAULT_SEED) -> DataFrame:
+              scores: DataFrame | None = None, seed=DEFAULT_SEED,
+              keep_rank: bool = False) -> DataFrame:
     """Recommendations for every prediction row.
 
     ``preds`` columns: customer_unique_id, predicted_category, pred_lat,
@@ -198,4 +199,53 @@ def recommend(data: DataFrame, preds: DataFrame, product_number: int = 3,
     return (drawn.join(est, [CUSTOMER, PRODUCT], "left")
             .select(CUSTOMER, "predicted_category", PRODUCT, "review_score",
                     "estimated_price", "shipping_price", "estimated_delivery_time",
-                    "n_available"))
+                    "n_available", *(["draw_rank"] if keep_rank else [])))
+
+
+# --- I10: report lines -------------------------------------------------------
+# The labels and widths of the printed report.
+LEFT, RIGHT, BANNER = 35, 15, 50
+HEADER_LABELS = ("Predictions for customer:", "Last purchase product category:",
+                 "Predicted next product category:")
+BANNER_TITLE = "  Recommended products  "
+PRODUCT_LABELS = ("Product:", "Price + estimated shipping cost:",
+                  "Estimated delivery time:", "Avg. review score:")
+
+
+def report_lines(recs: DataFrame, customers: DataFrame) -> DataFrame:
+    """I10 as rows (customer, line_no, line): three header lines, a blank
+    line and a banner, four lines per recommended product in draw order, a
+    closing banner and two blank lines.  ``recs`` comes from
+    ``recommend(..., keep_rank=True)``; ``customers`` holds the customer,
+    ``previous_category`` and ``predicted_category``."""
+    from cartwise.functions.scalar import centered, fixed_width, id_prefix, two_decimals
+
+    def txt(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+
+    n_products = recs.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("_np"))
+    head = customers.join(n_products, CUSTOMER, "left").select(
+        CUSTOMER, F.coalesce(F.col("_np"), F.lit(0)).alias("_np"),
+        F.array(
+            fixed_width(F.lit(HEADER_LABELS[0]), id_prefix(F.col(CUSTOMER)), LEFT, RIGHT),
+            fixed_width(F.lit(HEADER_LABELS[1]), txt("previous_category"), LEFT, RIGHT),
+            fixed_width(F.lit(HEADER_LABELS[2]), txt("predicted_category"), LEFT, RIGHT),
+            F.lit(""), centered(F.lit(BANNER_TITLE), BANNER, "#")).alias("_lines"))
+    top = head.select(CUSTOMER, F.posexplode("_lines").alias("line_no", "line"))
+    foot = head.select(CUSTOMER, F.posexplode(F.array(
+        centered(F.lit(""), BANNER, "#"), F.lit(""), F.lit(""))).alias("_k", "line"),
+        "_np").select(CUSTOMER, (F.lit(5) + 4 * F.col("_np") + F.col("_k")).alias("line_no"),
+                      "line")
+    price = F.concat(two_decimals(F.col("estimated_price")), F.lit(" + "),
+                     two_decimals(F.col("shipping_price")), F.lit("R$"))
+    days = F.concat(txt("estimated_delivery_time"), F.lit(" days"))
+    prod = recs.select(CUSTOMER, "draw_rank", F.posexplode(F.array(
+        fixed_width(F.lit(PRODUCT_LABELS[0]), id_prefix(F.col(PRODUCT)), LEFT, RIGHT),
+        fixed_width(F.lit(PRODUCT_LABELS[1]), price, LEFT, RIGHT),
+        fixed_width(F.lit(PRODUCT_LABELS[2]), days, LEFT, RIGHT),
+        fixed_width(F.lit(PRODUCT_LABELS[3]), two_decimals(F.col("review_score")),
+                    LEFT, RIGHT))).alias("_k", "line")).select(
+        CUSTOMER, (F.lit(5) + 4 * (F.col("draw_rank") - 1) + F.col("_k")).alias("line_no"),
+        "line")
+    return (top.unionByName(prod).unionByName(foot)
+            .select(CUSTOMER, F.col("line_no").cast("int"), "line"))
