@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The timestamp text format of the source files and the id
 # prefix length used in reports.
@@ -61,7 +62,7 @@ def fixed_width(label: Column, value: Column, left: int = 35, right: int = 15) -
     return F.format_string(f"%-{left}s%{right}s", label, value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _python_two_decimals(x: pd.Series) -> pd.Series:
     return x.map(lambda v: "nan" if pd.isna(v) else f"{v:.2f}")
 

@@ -84,8 +84,10 @@ def label_stages(spec: FeatureSpec) -> list:
 def fit_encoders(train: DataFrame, spec: FeatureSpec) -> tuple[PipelineModel, PipelineModel]:
     """H6: fit the feature encoders and the label encoder on the training
     table.  Returns (features model, label model)."""
-    scaler = fit_population_scaler(train, list(spec.numerical))
-    features = Pipeline(stages=[scaler, *encoder_stages(spec)]).fit(train)
+    stages = encoder_stages(spec)
+    if spec.numerical:
+        stages = [fit_population_scaler(train, list(spec.numerical)), *stages]
+    features = Pipeline(stages=stages).fit(train)
     labels = Pipeline(stages=label_stages(spec)).fit(train)
     return features, labels
 

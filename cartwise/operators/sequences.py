@@ -88,7 +88,7 @@ def next_purchase(rows: DataFrame, spec: FeatureSpec = PIPELINE_SPEC,
     """Per customer, the feature columns of the first purchase in
     time order and, as target, the category of the second.  ``extra``
     columns of the first purchase are passed through."""
-    w = Window.partitionBy(customer).orderBy(*(order or total_order()))
+    w = Window.partitionBy(customer).orderBy(*(order or total_order(available=rows.columns)))
     target = spec.target[0]
     x = (rows.withColumn("_rn", F.row_number().over(w))
          .withColumn(target, F.lead(category, 1).over(w)))

@@ -60,8 +60,12 @@ TOTAL_ORDER_COLUMNS = (
 )
 
 
-def total_order(columns: tuple[str, ...] = TOTAL_ORDER_COLUMNS) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in columns]
+def total_order(columns: tuple[str, ...] = TOTAL_ORDER_COLUMNS,
+                available: list[str] | None = None) -> list[Column]:
+    """ORDER BY terms (ascending, NULLs last) over the total-order columns,
+    restricted to ``available`` when given."""
+    return [F.col(c).asc_nulls_last() for c in columns
+            if available is None or c in available]
 
 
 def _ordered(df: DataFrame) -> DataFrame:

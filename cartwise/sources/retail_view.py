@@ -98,10 +98,9 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             .alias("product_category_name_english"),
         )
         .unionAll(
-            spark.range(1).select(
-                F.lit(ORPHAN_TRANSLATION[0]).alias("product_category_name"),
-                F.lit(ORPHAN_TRANSLATION[1]).alias("product_category_name_english"),
-            )
+            spark.createDataFrame(
+                [ORPHAN_TRANSLATION],
+                "product_category_name string, product_category_name_english string")
         )
     )
     return {
