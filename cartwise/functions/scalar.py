@@ -83,3 +83,17 @@ def centered(text: Column, width: int = 50, fill: str = "#") -> Column:
     left = F.floor(pad / 2).cast("int")
     right = (pad - left).cast("int")
     return F.concat(F.repeat(F.lit(fill), left), text, F.repeat(F.lit(fill), right))
+
+
+def fixed_point_sum(x: Column, decimals: int) -> Column:
+    """Exact sum of a fixed-point column with ``decimals`` decimals: the
+    scaled integers are summed as DECIMAL(38,0), so the result does not
+    depend on the order a distributed aggregation adds the rows in."""
+    return F.sum(F.round(x * F.lit(10.0 ** decimals)).cast("decimal(38,0)"))
+
+
+def fixed_point_mean(total: Column, count: Column, decimals: int) -> Column:
+    """Mean from an exact scaled-integer ``total`` (see ``fixed_point_sum``)
+    and a row ``count``: one conversion, one division -- the correctly
+    rounded double of the exact mean."""
+    return total.cast("double") / (count.cast("double") * F.lit(10.0 ** decimals))

@@ -45,18 +45,25 @@ def fit_kmeans(points: DataFrame, coords: Sequence[str], k: int = KMEANS_K,
     Returns the centres sorted by coordinates as a list of tuples."""
     vec = VectorAssembler(inputCols=list(coords), outputCol="_xy").transform(
         points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in coords)))
-    vec = vec.select("_xy").persist()
-    best = None
+    vec = vec.select("_xy")
+    n = vec.count()
+    parts = max(1, min(vec.sparkSession.sparkContext.defaultParallelism,
+                       -(-n // ROWS_PER_FIT_PARTITION)))
+    vec = vec.coalesce(parts).persist()
+
+    def fit(i):
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_xy",
+                       tol=1e-9).fit(vec)
+        return model.summary.trainingCost, i, model
+
     try:
-        for i in range(starts):
-            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_xy",
-                           tol=1e-9).fit(vec)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
+        # independent starts run as concurrent Spark jobs
+        with ThreadPoolExecutor(max_workers=min(starts, 8)) as pool:
+            results = list(pool.map(fit, range(starts)))
     finally:
         vec.unpersist()
-    return sorted(tuple(float(x) for x in c) for c in best[1].clusterCenters())
+    best = min(results, key=lambda r: (r[0], r[1]))
+    return sorted(tuple(float(x) for x in c) for c in best[2].clusterCenters())
 
 
 def assign_nearest(points: DataFrame, centres: Sequence[tuple[float, ...]],

@@ -62,10 +62,13 @@ def cohort_customers(data: DataFrame, n: int, customer: str = CUSTOMER,
     """
     d = data.where(F.col(customer).isNotNull())
     if unit == "row":
-        stats = d.groupBy(customer).agg(
-            F.count(counted).alias("_rows"),
-            F.count_distinct(F.struct(*subset)).alias("_distinct"))
-        keep = (F.col("_rows") == n) & (F.col("_distinct") == n)
+        # cheap partial-aggregated count first; the distinct check then only
+        # reads the rows of customers that have exactly n rows
+        rows_n = (d.groupBy(customer).agg(F.count(counted).alias("_rows"))
+                  .where(F.col("_rows") == n).select(customer))
+        stats = (d.join(rows_n, customer, "left_semi").groupBy(customer)
+                 .agg(F.count_distinct(F.struct(*subset)).alias("_distinct")))
+        keep = F.col("_distinct") == n
     elif unit == "order":
         stats = d.groupBy(customer).agg(F.count_distinct("order_id").alias("_orders"))
         keep = F.col("_orders") == n

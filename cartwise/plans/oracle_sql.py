@@ -66,3 +66,10 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 def with_complete(*ctes: str, body: str) -> str:
     return with_ctes(GEO_AVG_CTE, CHAIN_CTE, COMPLETE_CTE, *ctes, body=body)
+
+
+def exact_mean_sql(col: str, decimals: int) -> str:
+    """DuckDB text of ``scalar.fixed_point_mean(fixed_point_sum(...))``."""
+    scale = f"{10.0 ** decimals!r}"
+    return (f"CAST(sum(CAST(round({col} * {scale}) AS DECIMAL(38,0))) AS DOUBLE)"
+            f" / (CAST(count({col}) AS DOUBLE) * {scale})")

@@ -13,6 +13,7 @@ from cartwise.plans import recommend as rec
 from cartwise.plans.catalog import register
 from cartwise.plans.prepare import total_order
 from cartwise.plans.queries_core import category_top_products, wide
+from cartwise.sources.retail_view import FREIGHT_DECIMALS, PRICE_DECIMALS
 
 # Parameters of the registered queries.  With the retail binding a
 # customer has about 40 joined rows, so the cohort uses n = 37 rows
@@ -103,10 +104,11 @@ near AS (
     JOIN r_complete d ON d.product_id = dw.product_id
                      AND NOT coalesce(d.customer_unique_id = dw.u, false))
   WHERE nr <= {n_nearest})""", """
-chosen AS (SELECT DISTINCT u, product_id, c FROM near)""", """
+chosen AS (SELECT DISTINCT u, product_id, c FROM near)""", f"""
 est AS (
   SELECT ch.u, ch.product_id,
-         avg(d.price) AS estimated_price, avg(d.freight_value) AS shipping_price,
+         {osql.exact_mean_sql("d.price", PRICE_DECIMALS)} AS estimated_price,
+         {osql.exact_mean_sql("d.freight_value", FREIGHT_DECIMALS)} AS shipping_price,
          CAST(floor(avg(date_diff('second', d.order_purchase_timestamp,
                                   d.order_delivered_customer_date)) / 86400) AS BIGINT)
            AS estimated_delivery_time
@@ -206,8 +208,11 @@ def q_same_purchase(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- D5 / D6 over the cohort's purchases ------------------------------------
 @register("estimate_price", osql.with_complete(*COHORT_CTES[:4], body=f"""
-SELECT product_id, round(avg(price), {MONEY_DECIMALS}) AS estimated_price,
-       round(avg(freight_value), {MONEY_DECIMALS}) AS shipping_price
+SELECT product_id,
+       round({osql.exact_mean_sql("price", PRICE_DECIMALS)}, {MONEY_DECIMALS})
+         AS estimated_price,
+       round({osql.exact_mean_sql("freight_value", FREIGHT_DECIMALS)}, {MONEY_DECIMALS})
+         AS shipping_price
 FROM r_complete WHERE customer_unique_id IN (SELECT customer_unique_id FROM cohort2)
 GROUP BY product_id"""))
 def q_estimate_price(spark: SparkSession, sf: str) -> DataFrame:

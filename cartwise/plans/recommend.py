@@ -34,7 +34,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.functions.scalar import days_floor, l1_distance, seconds_between
+from cartwise.functions.scalar import (days_floor, fixed_point_mean, fixed_point_sum,
+                                      l1_distance, seconds_between)
+from cartwise.sources.retail_view import FREIGHT_DECIMALS, PRICE_DECIMALS
 from cartwise.operators.aggregates import avg_score_per_product
 from cartwise.operators.ranking import DEFAULT_SEED, sample_key
 
@@ -161,14 +163,18 @@ def estimates_for(chosen: DataFrame, data: DataFrame) -> DataFrame:
                            F.col("order_delivered_customer_date"))
     # per (product, customer) partial sums first: one pass over the rows
     totals = rows.groupBy(PRODUCT, CUSTOMER).agg(
-        F.sum("price").alias("_sp"), F.count("price").alias("_cp"),
-        F.sum("freight_value").alias("_sf"), F.count("freight_value").alias("_cf"),
+        fixed_point_sum(F.col("price"), PRICE_DECIMALS).alias("_sp"),
+        F.count("price").alias("_cp"),
+        fixed_point_sum(F.col("freight_value"), FREIGHT_DECIMALS).alias("_sf"),
+        F.count("freight_value").alias("_cf"),
         F.sum(secs).alias("_ss"), F.count(secs).alias("_cs"))
     t = totals.withColumnRenamed(CUSTOMER, "_tc").withColumnRenamed(PRODUCT, "_p")
     est = (chosen.join(t, (F.col(PRODUCT) == F.col("_p")) & F.col("_c").eqNullSafe(F.col("_tc")))
            .groupBy(*key).agg(
-               (F.sum("_sp") / F.sum("_cp")).alias("estimated_price"),
-               (F.sum("_sf") / F.sum("_cf")).alias("shipping_price"),
+               fixed_point_mean(F.sum("_sp"), F.sum("_cp"), PRICE_DECIMALS)
+               .alias("estimated_price"),
+               fixed_point_mean(F.sum("_sf"), F.sum("_cf"), FREIGHT_DECIMALS)
+               .alias("shipping_price"),
                days_floor(F.sum("_ss") / F.sum("_cs")).cast("bigint")
                .alias("estimated_delivery_time")))
     return est
@@ -192,8 +198,12 @@ def recommend(data: DataFrame, preds: DataFrame, product_number: int = 3,
     n_nearest = estimation_n if n_nearest is None else n_nearest
     scores = scores if scores is not None else avg_score_per_product(data)
     ranked = ranked_category_products(data, scores)
-    top = top_products_for(preds.select(*PRED_COLUMNS), ranked, estimation_n)
-    drawn = draw_products(top, product_number, seed)
+    # the prediction rows and the drawn (customer, product) pairs are small
+    # (customers x product_number) and referenced by several later joins:
+    # keep them once instead of re-planning their lineage at every use
+    preds = preds.select(*PRED_COLUMNS).persist()
+    top = top_products_for(preds, ranked, estimation_n)
+    drawn = draw_products(top, product_number, seed).persist()
     pairs = drawn.select(CUSTOMER, PRODUCT, "pred_lat", "pred_lng")
     est = expected_values(pairs, data, n_nearest)
     return (drawn.join(est, [CUSTOMER, PRODUCT], "left")
