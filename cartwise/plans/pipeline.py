@@ -168,3 +168,46 @@ def roundtrip_predictions(spark: SparkSession, art: Artifacts, base: str) -> Dat
     b = model.transform(fe.encode(art.train, feats)).select(
         CU, F.col("prediction").alias("reloaded"))
     return a.join(b, CU).withColumn("same", F.col("original") == F.col("reloaded"))
+
+
+# --- I11: the whole program --------------------------------------------------
+def report_for_sample(art: Artifacts, sample_size: int, product_number: int,
+                      estimation_n: int = 1000, seed=42) -> DataFrame:
+    """I10 on a model prediction: sampled customers, their sampled row's
+    category as the previous one, recommendations estimated from
+    ``estimation_n`` rows as the print path does (S7)."""
+    pred = predict_category_sample(art, sample_size, seed)
+    w = Window.partitionBy(CU).orderBy(F.col("sample_pos").desc())
+    last = pred.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    preds = last.select(CU, "predicted_category",
+                        F.col(rec.LAT).alias("pred_lat"), F.col(rec.LNG).alias("pred_lng"))
+    recs = rec.recommend(art.data, preds, product_number, estimation_n, seed=seed,
+                         keep_rank=True)
+    customers = last.select(CU, F.col("product_category_name").alias("previous_category"),
+                            "predicted_category")
+    return rec.report_lines(recs, customers)
+
+
+def run(spark: SparkSession, sf_dir: str, out_dir: str, sample_size: int = 5,
+        product_number: int = 5, n: int = DEFAULT_N_PURCHASE, seed=42) -> dict[str, str]:
+    """prepare -> model -> recommend, every result written under ``out_dir``
+    (a shared folder on a cluster).  Returns the written paths."""
+    art = model_artifacts(spark, sf_dir, n)
+    out = {}
+
+    def put(name: str, df: DataFrame) -> None:
+        path = f"{out_dir.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        out[name] = path
+
+    put("complete_data", art.data)
+    put("classifier_data", fe.slots(art.train_encoded, [CU, fe.LABEL]))
+    put("avg_score_per_product", agg.avg_score_per_product(art.data))
+    put("cv_scores", ml.cross_validate(art.train_encoded, CU))
+    base = f"{out_dir.rstrip('/')}/models"
+    art.features.write().overwrite().save(base + "/features")
+    art.labels.write().overwrite().save(base + "/labels")
+    art.model.write().overwrite().save(base + "/classifier")
+    out["models"] = base
+    put("report", report_for_sample(art, sample_size, product_number, seed=seed))
+    return out

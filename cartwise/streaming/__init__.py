@@ -1,0 +1,7 @@
+"""Streaming.
+
+The engine's source program is a batch program: it has no stream, window,
+watermark or per-key state (SURVEY 2.9), so this package holds no operator.
+Every step reads and writes Parquet in a shared folder, so a scheduled or
+``foreachBatch``-driven run can call ``cartwise.plans.pipeline.run`` as is.
+"""
