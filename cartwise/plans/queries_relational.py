@@ -230,13 +230,20 @@ PAIR_ORDER_SQL = ("order_purchase_timestamp ASC NULLS LAST, order_id ASC NULLS L
                   "product_id ASC NULLS LAST, product_category_name ASC NULLS LAST")
 
 
-@register("category_list", osql.with_ctes(LEFT_CHAIN_CTE, body=f"""
+@register("category_list", osql.with_ctes(PERSON_ORDERS_CTE, LEFT_CHAIN_CTE, body=f"""
 SELECT customer_unique_id,
        string_agg(product_category_name, ', ' ORDER BY {PAIR_ORDER_SQL})
          AS product_category_name
-FROM chain GROUP BY customer_unique_id"""))
+FROM chain
+WHERE customer_unique_id IN (SELECT customer_unique_id FROM person_orders
+                             WHERE order_id = {PAIR_ORDERS})
+GROUP BY customer_unique_id"""))
 def q_category_list(spark: SparkSession, sf: str) -> DataFrame:
-    return explore.category_lists(explore.purchase_categories(tables(spark, sf)))
+    """D8 for the notebook's cohort (people with exactly two orders), so each
+    joined string covers a bounded group."""
+    t = tables(spark, sf)
+    rows = explore.purchase_categories(t, explore.people_with_orders(t, PAIR_ORDERS))
+    return explore.category_lists(rows)
 
 
 # --- E3 / D9 / I12 -----------------------------------------------------------

@@ -70,12 +70,24 @@ def category_product_summary(data: DataFrame) -> DataFrame:
     return s.select(CATEGORY, PRODUCT, sole.alias("sole_buyer"))
 
 
-def ranked_category_products(data: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per category, products ranked by score (desc, NULL last), then id."""
+def ranked_category_products(data: DataFrame, scores: DataFrame,
+                             max_rank: int | None = None) -> DataFrame:
+    """Per category, products ranked by score (desc, NULL last), then id.
+    With ``max_rank`` only the first ranks are kept, which Spark runs as a
+    ``WindowGroupLimit`` (a large category never sorts whole in one task)."""
     w = Window.partitionBy(CATEGORY).orderBy(F.col("review_score").desc_nulls_last(),
                                              F.col(PRODUCT).asc())
-    return (category_product_summary(data).join(scores, PRODUCT)
-            .withColumn("cat_rank", F.row_number().over(w)))
+    out = (category_product_summary(data).join(scores, PRODUCT)
+           .withColumn("cat_rank", F.row_number().over(w)))
+    return out if max_rank is None else out.where(F.col("cat_rank") <= max_rank)
+
+
+def sole_counts(preds: DataFrame, data: DataFrame) -> DataFrame:
+    """Per prediction row, how many products of its category it alone bought."""
+    sole = category_product_summary(data).where(F.col("sole_buyer").isNotNull()).select(
+        F.col(CATEGORY).alias("predicted_category"), F.col("sole_buyer").alias(CUSTOMER))
+    return (preds.join(sole, ["predicted_category", CUSTOMER])
+            .groupBy(CUSTOMER, "predicted_category").agg(F.count(F.lit(1)).alias("_s")))
 
 
 def top_products_for(preds: DataFrame, ranked: DataFrame, estimation_n: int) -> DataFrame:
@@ -197,11 +209,14 @@ def recommend(data: DataFrame, preds: DataFrame, product_number: int = 3,
     """
     n_nearest = estimation_n if n_nearest is None else n_nearest
     scores = scores if scores is not None else avg_score_per_product(data)
-    ranked = ranked_category_products(data, scores)
     # the prediction rows and the drawn (customer, product) pairs are small
     # (customers x product_number) and referenced by several later joins:
     # keep them once instead of re-planning their lineage at every use
     preds = preds.select(*PRED_COLUMNS).persist()
+    # ranks beyond estimation_n + (most products one customer alone bought in
+    # its category) are never read: one small aggregate bounds the ranking
+    max_s = sole_counts(preds, data).agg(F.max("_s")).first()[0] or 0
+    ranked = ranked_category_products(data, scores, estimation_n + max_s)
     top = top_products_for(preds, ranked, estimation_n)
     drawn = draw_products(top, product_number, seed).persist()
     pairs = drawn.select(CUSTOMER, PRODUCT, "pred_lat", "pred_lng")
