@@ -122,19 +122,22 @@ def join_coordinates(data: DataFrame, zip_table: DataFrame, left_on: str, role:
                      value_columns: Sequence[str] = ("geolocation_lat", "geolocation_lng"),
                      zip_column: str = "geolocation_zip_code_prefix",
                      cluster_column: str | None = None,
-                     max_zip_rows: int = 2_000_000) -> DataFrame:
+                     max_zip_rows: int = 2_000_000,
+                     broadcast: bool | None = None) -> DataFrame:
     """Add ``<role>_geolocation_lat/lng`` (and optionally the
     ``<role>_location_cluster``) for a zip column, in one left join.
 
     The zip table is a dimension bounded by the number of zip prefixes; its
-    size is checked before it is broadcast.
+    size is checked before it is broadcast (pass ``broadcast`` to reuse an
+    earlier check of the same table).
     """
     rename = {c: f"{role}_{c}" for c in value_columns}
     if cluster_column is not None:
         rename[cluster_column] = f"{role}_location_cluster"
-    _, ok = bounded_broadcast(zip_table, max_zip_rows)
+    if broadcast is None:
+        broadcast = bounded_broadcast(zip_table, max_zip_rows)[1]
     return left_join_prefixed(data, zip_table, left_on, zip_column, rename,
-                              broadcast_right=ok)
+                              broadcast_right=broadcast)
 
 
 def translate_categories(data: DataFrame, translation: DataFrame,

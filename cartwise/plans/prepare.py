@@ -144,10 +144,11 @@ def complete_data(t: dict[str, DataFrame], zip_table: DataFrame | None = None,
         wide = _fast_chain(t)
     if zip_table is not None:
         cluster = "location_cluster" if "location_cluster" in zip_table.columns else None
+        small = joins.bounded_broadcast(zip_table, 2_000_000)[1]  # one check, two roles
         for role, zip_col in (("customer", "customer_zip_code_prefix"),
                               ("seller", "seller_zip_code_prefix")):
             wide = joins.join_coordinates(wide, zip_table, zip_col, role,
-                                          cluster_column=cluster)
+                                          cluster_column=cluster, broadcast=small)
     if translate:
         seen = None if null_safe else _keys(t["products"], "product_category_name")
         if null_safe:

@@ -171,6 +171,18 @@ def q_n_purchase_cohort(spark: SparkSession, sf: str) -> DataFrame:
     return seq.cohort_rows(wide(spark, sf), COHORT_N)
 
 
+# --- E4 with unit = order (S2: the notebook counts orders) -------------------
+ORDER_COHORT_N = 10
+
+
+@register("n_order_cohort", osql.with_complete(body=f"""
+SELECT * FROM r_complete WHERE customer_unique_id IN (
+  SELECT customer_unique_id FROM r_complete WHERE customer_unique_id IS NOT NULL
+  GROUP BY customer_unique_id HAVING count(DISTINCT order_id) = {ORDER_COHORT_N})"""))
+def q_n_order_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    return seq.cohort_rows(wide(spark, sf), ORDER_COHORT_N, unit="order")
+
+
 # --- E1 / E2 ---------------------------------------------------------------
 @register("next_purchase", osql.with_complete(*COHORT_CTES[:5], body="""
 SELECT customer_unique_id, review_score, product_category_name, next_product_category

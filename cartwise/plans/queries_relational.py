@@ -22,16 +22,21 @@ PAIR_ORDERS = 2
 
 
 # --- B1-B3 -------------------------------------------------------------------
-@register("project_rename_drop", osql.with_ctes(osql.GEO_AVG_CTE, body="""
-SELECT geolocation_zip_code_prefix AS zip, geolocation_lat AS seller_geolocation_lat,
-       geolocation_lng AS seller_geolocation_lng
-FROM r_geo_avg"""))
+@register("project_rename_drop", osql.with_ctes(body="""
+SELECT order_id, product_category_name_english AS product_category_name
+FROM (SELECT i.order_id, tr.product_category_name_english
+      FROM r_items i
+      JOIN r_products p ON p.product_id = i.product_id
+      LEFT JOIN r_translation tr ON tr.product_category_name = p.product_category_name)"""))
 def q_project_rename_drop(spark: SparkSession, sf: str) -> DataFrame:
-    geo = agg.geo_average(tables(spark, sf)["geolocation"])
-    geo = geo.withColumn("tmp", F.lit(1)).drop("tmp")
-    geo = filters.prefix_columns(geo, ["geolocation_lat", "geolocation_lng"], "seller")
-    return filters.rename(geo, {"geolocation_zip_code_prefix": "zip"}).select(
-        "zip", "seller_geolocation_lat", "seller_geolocation_lng")
+    """B1-B3 as in the notebook: project the item keys, join the product
+    category, drop the original name, rename the translation into its place."""
+    t = tables(spark, sf)
+    items = t["order_items"].select("order_id", "product_id")
+    x = items.join(t["products"], "product_id").join(
+        t["product_translation"], "product_category_name", "left")
+    x = x.drop("product_category_name", "product_id")
+    return filters.rename(x, {"product_category_name_english": "product_category_name"})
 
 
 # --- B4 + G4 -----------------------------------------------------------------
