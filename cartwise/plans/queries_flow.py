@@ -139,12 +139,8 @@ def _money(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def drawn_pairs(data: DataFrame) -> DataFrame:
-    preds = cohort_predictions(data).select(*rec.PRED_COLUMNS)
-    max_s = rec.sole_counts(preds, data).agg(F.max("_s")).first()[0] or 0
-    ranked = rec.ranked_category_products(data, agg.avg_score_per_product(data),
-                                          ESTIMATION_N + max_s)
-    top = rec.top_products_for(preds, ranked, ESTIMATION_N)
-    return rec.draw_products(top, PRODUCT_NUMBER, SEED)
+    return rec.drawn_products(data, cohort_predictions(data), PRODUCT_NUMBER,
+                              ESTIMATION_N, seed=SEED)
 
 
 # --- D2 --------------------------------------------------------------------

@@ -118,15 +118,29 @@ def draw_products(top: DataFrame, product_number: int, seed=DEFAULT_SEED) -> Dat
             .where(F.col("draw_rank") <= product_number))
 
 
-def nearest_customers(pairs: DataFrame, data: DataFrame, n_nearest: int) -> DataFrame:
+def purchase_units(data: DataFrame, products: DataFrame) -> DataFrame:
+    """One aggregate over the rows of the given products: per unit
+    (product, customer, location) the row count and the exact sums the
+    estimates need.  NULL customer and NULL location are groups too."""
+    rows = data.join(products.select(PRODUCT).distinct(), PRODUCT, "left_semi")
+    secs = seconds_between(F.col("order_purchase_timestamp"),
+                           F.col("order_delivered_customer_date"))
+    return rows.groupBy(PRODUCT, CUSTOMER, LAT, LNG).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        fixed_point_sum(F.col("price"), PRICE_DECIMALS).alias("_sp"),
+        F.count("price").alias("_cp"),
+        fixed_point_sum(F.col("freight_value"), FREIGHT_DECIMALS).alias("_sf"),
+        F.count("freight_value").alias("_cf"),
+        F.sum(secs).alias("_ss"), F.count(secs).alias("_cs"))
+
+
+def nearest_customers(pairs: DataFrame, data: DataFrame, n_nearest: int,
+                      units: DataFrame | None = None) -> DataFrame:
     """per (customer u, product p) pair, the customers (``_c``; NULL is
     one of them) owning the ``n_nearest`` rows of p nearest to u, u's own
     rows left out.  ``pairs`` holds u, p, pred_lat, pred_lng."""
-    products = pairs.select(PRODUCT).distinct()
-    rows = data.join(products, PRODUCT, "left_semi")
-    # units: (product, customer, location) with their row counts
-    all_units = rows.groupBy(PRODUCT, CUSTOMER, LAT, LNG).agg(
-        F.count(F.lit(1)).alias("_rows"))
+    all_units = units if units is not None else purchase_units(data, pairs)
+    all_units = all_units.select(PRODUCT, CUSTOMER, LAT, LNG, "_rows")
     # u's own units per pair: the class bound below may count them
     own = (pairs.select(CUSTOMER, PRODUCT).join(all_units, [CUSTOMER, PRODUCT])
            .groupBy(CUSTOMER, PRODUCT).agg(F.count(F.lit(1)).alias("_own")))
@@ -166,21 +180,16 @@ def nearest_customers(pairs: DataFrame, data: DataFrame, n_nearest: int) -> Data
     return cand.where(F.col("_rows_before") < n_nearest).select(*key, "_c").distinct()
 
 
-def estimates_for(chosen: DataFrame, data: DataFrame) -> DataFrame:
+def estimates_for(chosen: DataFrame, data: DataFrame,
+                  units: DataFrame | None = None) -> DataFrame:
     """D5 + D6 per (u, p): means over all rows of p bought by the chosen
     customers (NULL customer matches NULL, as ``isin`` does)."""
     key = [CUSTOMER, PRODUCT]
-    rows = data.join(chosen.select(PRODUCT).distinct(), PRODUCT, "left_semi")
-    secs = seconds_between(F.col("order_purchase_timestamp"),
-                           F.col("order_delivered_customer_date"))
-    # per (product, customer) partial sums first: one pass over the rows
-    totals = rows.groupBy(PRODUCT, CUSTOMER).agg(
-        fixed_point_sum(F.col("price"), PRICE_DECIMALS).alias("_sp"),
-        F.count("price").alias("_cp"),
-        fixed_point_sum(F.col("freight_value"), FREIGHT_DECIMALS).alias("_sf"),
-        F.count("freight_value").alias("_cf"),
-        F.sum(secs).alias("_ss"), F.count(secs).alias("_cs"))
-    t = totals.withColumnRenamed(CUSTOMER, "_tc").withColumnRenamed(PRODUCT, "_p")
+    units = units if units is not None else purchase_units(data, chosen)
+    # per (product, customer) totals of the exact partial sums
+    t = units.groupBy(PRODUCT, CUSTOMER).agg(
+        *[F.sum(c).alias(c) for c in ("_sp", "_cp", "_sf", "_cf", "_ss", "_cs")])
+    t = t.withColumnRenamed(CUSTOMER, "_tc").withColumnRenamed(PRODUCT, "_p")
     est = (chosen.join(t, (F.col(PRODUCT) == F.col("_p")) & F.col("_c").eqNullSafe(F.col("_tc")))
            .groupBy(*key).agg(
                fixed_point_mean(F.sum("_sp"), F.sum("_cp"), PRICE_DECIMALS)
@@ -192,9 +201,29 @@ def estimates_for(chosen: DataFrame, data: DataFrame) -> DataFrame:
     return est
 
 
+def drawn_products(data: DataFrame, preds: DataFrame, product_number: int,
+                   estimation_n: int, scores: DataFrame | None = None,
+                   seed=DEFAULT_SEED) -> DataFrame:
+    """Steps 1-4 for every prediction row: the drawn (customer, product)
+    pairs with the product's score, ``n_available`` and ``draw_rank``."""
+    scores = scores if scores is not None else avg_score_per_product(data)
+    # the prediction rows and the drawn pairs are small (customers x
+    # product_number) and referenced by several later joins: keep them once
+    # instead of re-planning their lineage at every use
+    preds = preds.select(*PRED_COLUMNS).persist()
+    # ranks beyond estimation_n + (most products one customer alone bought in
+    # its category) are never read: one small aggregate bounds the ranking
+    max_s = sole_counts(preds, data).agg(F.max("_s")).first()[0] or 0
+    ranked = ranked_category_products(data, scores, estimation_n + max_s)
+    top = top_products_for(preds, ranked, estimation_n)
+    return draw_products(top, product_number, seed).persist()
+
+
 def expected_values(pairs: DataFrame, data: DataFrame, n_nearest: int) -> DataFrame:
-    """Nearest customers (F6), then their estimates."""
-    return estimates_for(nearest_customers(pairs, data, n_nearest), data)
+    """Nearest customers (F6), then their estimates (D5, D6), both from
+    one aggregate of the drawn products' rows."""
+    units = purchase_units(data, pairs)
+    return estimates_for(nearest_customers(pairs, data, n_nearest, units), data, units)
 
 
 def recommend(data: DataFrame, preds: DataFrame, product_number: int = 3,
@@ -208,17 +237,7 @@ def recommend(data: DataFrame, preds: DataFrame, product_number: int = 3,
     ``n_nearest`` is given, the number of nearest rows (S8).
     """
     n_nearest = estimation_n if n_nearest is None else n_nearest
-    scores = scores if scores is not None else avg_score_per_product(data)
-    # the prediction rows and the drawn (customer, product) pairs are small
-    # (customers x product_number) and referenced by several later joins:
-    # keep them once instead of re-planning their lineage at every use
-    preds = preds.select(*PRED_COLUMNS).persist()
-    # ranks beyond estimation_n + (most products one customer alone bought in
-    # its category) are never read: one small aggregate bounds the ranking
-    max_s = sole_counts(preds, data).agg(F.max("_s")).first()[0] or 0
-    ranked = ranked_category_products(data, scores, estimation_n + max_s)
-    top = top_products_for(preds, ranked, estimation_n)
-    drawn = draw_products(top, product_number, seed).persist()
+    drawn = drawn_products(data, preds, product_number, estimation_n, scores, seed)
     pairs = drawn.select(CUSTOMER, PRODUCT, "pred_lat", "pred_lng")
     est = expected_values(pairs, data, n_nearest)
     return (drawn.join(est, [CUSTOMER, PRODUCT], "left")
