@@ -141,7 +141,7 @@ def accuracy(pred: DataFrame, prediction: str = "prediction", label: str = LABEL
 
 def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_REG_GRID,
                    k: int = CV_FOLDS, repeats: int = CV_REPEATS, seed: int = CV_SEED,
-                   parallelism: int = 8) -> DataFrame:
+                   parallelism: int | None = None) -> DataFrame:
     """Accuracy per (C, repeat, fold).  The training table is persisted
     once; the fits are independent Spark jobs run concurrently."""
     spark = train.sparkSession
@@ -169,6 +169,8 @@ def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_R
         return (float(c), r, fold, float(acc) if acc is not None else None)
 
     tasks = [(c, r, f) for c in grid for r in range(repeats) for f in range(k)]
+    if parallelism is None:  # fits are mostly scheduling-bound: overlap them
+        parallelism = min(len(tasks), max(4, 2 * spark.sparkContext.defaultParallelism))
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             rows = list(pool.map(run, tasks))

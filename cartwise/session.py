@@ -50,11 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     tests -- a fresh folder under the system temp dir is created.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="cartwise-ckpt-")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="cartwise-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
