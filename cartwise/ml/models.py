@@ -103,17 +103,41 @@ def cluster_zips(zips: DataFrame, coords=("geolocation_lat", "geolocation_lng"),
 
 
 # --- H10 ---------------------------------------------------------------------
+def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "_rn") -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY order)`` without
+    putting a whole group in one task: rows are range-partitioned on
+    (group, order) -- a large group spreads over many partitions -- ranked
+    inside each partition, and shifted by the group's row count in all
+    lower partitions (a partitions x groups table).  Same result as the
+    window for any group size."""
+    cols = [F.col(group)] + [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"_o{i}" for i in range(len(cols) - 1)]
+    x = df.select("*", *[c.alias(n) for c, n in zip(cols[1:], names)])
+    x = (x.repartitionByRange(group, *names)
+         .withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", group).orderBy(*names)
+    x = x.withColumn("_lrn", F.row_number().over(local))
+    counts = x.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = counts.withColumn("_shift", F.coalesce(F.sum("_cnt").over(
+        Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))).select(F.col("_pid").alias("_bpid"), F.col(group).alias("_bg"), "_shift")
+    # NULL is a group of its own: join null-safe
+    cond = (F.col("_pid") == F.col("_bpid")) & F.col(group).eqNullSafe(F.col("_bg"))
+    return (x.join(F.broadcast(before), cond)
+            .withColumn(out, (F.col("_shift") + F.col("_lrn")).cast("int"))
+            .drop(*names, "_pid", "_bpid", "_bg", "_lrn", "_shift"))
+
+
 def stratified_folds(df: DataFrame, key: str, label: str = LABEL, k: int = CV_FOLDS,
                      seed: int = CV_SEED, repeat: int = 0, out: str = "fold") -> DataFrame:
     """Fold number in 0..k-1, stratified by ``label``."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(repeat)),
                               F.col(key).cast("string")))
-    w = Window.partitionBy(label).orderBy(order, F.col(key))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     # classes are few: the running offset is a small window over the sizes
     offs = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (df.withColumn("_rn", F.row_number().over(w))
+    return (rank_within(df, label, [order, key])
             .join(F.broadcast(offs.select(label, "_offset")), label)
             .withColumn(out, ((F.col("_offset") + F.col("_rn") - 1) % k).cast("int"))
             .drop("_rn", "_offset"))

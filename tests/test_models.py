@@ -107,3 +107,16 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
     assert df.columns == e.entry(spark).columns
     assert F is not None
+
+
+def test_rank_within_matches_window(spark):
+    from pyspark.sql import Window
+
+    r = random.Random(5)
+    data = [(r.choice(["hot"] * 8 + ["a", "b", None]), r.randrange(1000), i)
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(13)
+    got = {row.i: row._rn for row in ml.rank_within(df, "g", ["v", "i"]).collect()}
+    w = Window.partitionBy("g").orderBy("v", "i")
+    want = {row.i: row.rn for row in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
