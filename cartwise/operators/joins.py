@@ -45,10 +45,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 
 def full_outer(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                null_safe: bool = False) -> DataFrame:
-    """Full outer join on named keys with one merged column per key."""
+    """Full outer join on named keys with one merged column per key.
+
+    Under SQL semantics a row with a NULL key never matches, so such rows
+    bypass the join and are added back padded: otherwise they all hash to
+    one reducer, and AQE cannot split skew in a full outer join."""
     keys = _as_list(on)
     if not null_safe:
-        return left.join(right, keys, "full")
+        has_null = None
+        for k in keys:
+            c = F.col(k).isNull()
+            has_null = c if has_null is None else has_null | c
+        joined = left.where(~has_null).join(right.where(~has_null), keys, "full")
+        types = dict(left.dtypes) | dict(right.dtypes)
+        return (joined
+                .unionByName(pad_to(left.where(has_null), joined.columns, types))
+                .unionByName(pad_to(right.where(has_null), joined.columns, types)))
     l, r = left.alias("_l"), right.alias("_r")
     cond = None
     for k in keys:
