@@ -71,20 +71,24 @@ def category_product_summary(data: DataFrame) -> DataFrame:
 
 
 def ranked_category_products(data: DataFrame, scores: DataFrame,
-                             max_rank: int | None = None) -> DataFrame:
+                             max_rank: int | None = None,
+                             summary: DataFrame | None = None) -> DataFrame:
     """Per category, products ranked by score (desc, NULL last), then id.
     With ``max_rank`` only the first ranks are kept, which Spark runs as a
     ``WindowGroupLimit`` (a large category never sorts whole in one task)."""
     w = Window.partitionBy(CATEGORY).orderBy(F.col("review_score").desc_nulls_last(),
                                              F.col(PRODUCT).asc())
-    out = (category_product_summary(data).join(scores, PRODUCT)
+    summary = summary if summary is not None else category_product_summary(data)
+    out = (summary.join(scores, PRODUCT)
            .withColumn("cat_rank", F.row_number().over(w)))
     return out if max_rank is None else out.where(F.col("cat_rank") <= max_rank)
 
 
-def sole_counts(preds: DataFrame, data: DataFrame) -> DataFrame:
+def sole_counts(preds: DataFrame, data: DataFrame,
+                summary: DataFrame | None = None) -> DataFrame:
     """Per prediction row, how many products of its category it alone bought."""
-    sole = category_product_summary(data).where(F.col("sole_buyer").isNotNull()).select(
+    summary = summary if summary is not None else category_product_summary(data)
+    sole = summary.where(F.col("sole_buyer").isNotNull()).select(
         F.col(CATEGORY).alias("predicted_category"), F.col("sole_buyer").alias(CUSTOMER))
     return (preds.join(sole, ["predicted_category", CUSTOMER])
             .groupBy(CUSTOMER, "predicted_category").agg(F.count(F.lit(1)).alias("_s")))
@@ -213,8 +217,9 @@ def drawn_products(data: DataFrame, preds: DataFrame, product_number: int,
     preds = preds.select(*PRED_COLUMNS).persist()
     # ranks beyond estimation_n + (most products one customer alone bought in
     # its category) are never read: one small aggregate bounds the ranking
-    max_s = sole_counts(preds, data).agg(F.max("_s")).first()[0] or 0
-    ranked = ranked_category_products(data, scores, estimation_n + max_s)
+    summary = category_product_summary(data).persist()  # one row per product
+    max_s = sole_counts(preds, data, summary).agg(F.max("_s")).first()[0] or 0
+    ranked = ranked_category_products(data, scores, estimation_n + max_s, summary)
     top = top_products_for(preds, ranked, estimation_n)
     return draw_products(top, product_number, seed).persist()
 
