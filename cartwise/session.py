@@ -56,7 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="cartwise-ckpt-"))
+    if not conf:
+        if not sc.master.startswith("local"):
+            # a temp folder would be local to the driver machine: executors
+            # could neither write nor read it
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder "
+                               "(HDFS/S3/...) for the prepared tables")
+        conf = tempfile.mkdtemp(prefix="cartwise-ckpt-")
+    sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
 
 
