@@ -14,13 +14,14 @@
 Under SQL NULL semantics full outer joins on one key are associative, so
 the plan is re-ordered for a cluster:
 
-1. ``orders LEFT JOIN items LEFT JOIN payments LEFT JOIN reviews`` on the
+1. customer columns are attached to orders, product and seller columns to
+   items (LEFT joins, broadcast or shuffled as sizes decide, AQE splitting
+   hot keys) -- before any fan-out, since they depend only on that key;
+2. ``orders LEFT JOIN items LEFT JOIN payments LEFT JOIN reviews`` on the
    orders' key: every table is shuffled once by ``order_id`` and the left
    joins keep that partitioning, so the fan-out rows are never re-shuffled.
    Rows of items, payments or reviews whose order is unknown are found by
-   anti joins that reuse the same exchanges, and joined among themselves.
-2. customers, products and sellers are joined with LEFT joins (broadcast if
-   their checked size allows, otherwise shuffled with AQE skew splitting);
+   anti joins that reuse the same exchanges, and joined among themselves;
    the dimension rows nothing refers to are added by anti joins against the
    narrow fact columns the keys came from -- not against the wide table.
 3. zips and translation are bounded dimensions and broadcast.
@@ -74,16 +75,19 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def _order_level_fact(t: dict[str, DataFrame]) -> DataFrame:
-    """orders FULL JOIN items FULL JOIN payments FULL JOIN reviews."""
-    orders = t["orders"]
+def _order_level_fact(t: dict[str, DataFrame], orders: DataFrame,
+                      items: DataFrame) -> DataFrame:
+    """orders FULL JOIN items FULL JOIN payments FULL JOIN reviews, with
+    ``orders``/``items`` already carrying their dimension columns."""
+    keys = t["orders"].select("order_id")
     main = orders
-    for name in ORDER_TABLES:
-        main = main.join(t[name], "order_id", "left")
-    strays = [t[name].join(orders, "order_id", "left_anti") for name in ORDER_TABLES]
+    for right in (items, t["order_payments"], t["order_reviews"]):
+        main = main.join(right, "order_id", "left")
+    strays = [r.join(keys, "order_id", "left_anti")
+              for r in (items, t["order_payments"], t["order_reviews"])]
     stray = strays[0]
-    for s in strays[1:]:
-        stray = stray.join(s, "order_id", "full")
+    for s_ in strays[1:]:
+        stray = stray.join(s_, "order_id", "full")
     types = dict(main.dtypes)
     return main.unionByName(joins.pad_to(stray, main.columns, types))
 
@@ -107,12 +111,15 @@ def _literal_chain(t: dict[str, DataFrame], null_safe: bool) -> DataFrame:
 
 def _fast_chain(t: dict[str, DataFrame]) -> DataFrame:
     items = t["order_items"]
-    fact = _order_level_fact(t)
-    # Dimension sizes are unknown at scale: plain joins let the planner
-    # (static stats, then AQE's measured sizes) choose broadcast or shuffle.
-    main = fact.join(t["customers"], "customer_id", "left")
-    main = main.join(t["products"], "product_id", "left")
-    main = main.join(t["sellers"], "seller_id", "left")
+    # Dimension columns depend only on the order's or the item's key, so they
+    # are attached *before* the order-level fan-out: the shuffles by
+    # customer/product/seller key move orders and items, not the wide rows.
+    # Sizes are unknown at scale: plain joins let the planner (static stats,
+    # then AQE's measured sizes) choose broadcast or shuffle.
+    orders_c = t["orders"].join(t["customers"], "customer_id", "left")
+    items_ps = (items.join(t["products"], "product_id", "left")
+                .join(t["sellers"], "seller_id", "left"))
+    main = _order_level_fact(t, orders_c, items_ps)
     types = dict(main.dtypes)
     strays = [
         t["customers"].join(_keys(t["orders"], "customer_id"), "customer_id", "left_anti"),
@@ -120,8 +127,8 @@ def _fast_chain(t: dict[str, DataFrame]) -> DataFrame:
         t["sellers"].join(_keys(items, "seller_id"), "seller_id", "left_anti"),
     ]
     out = main
-    for s in strays:
-        out = out.unionByName(joins.pad_to(s, main.columns, types))
+    for s_ in strays:
+        out = out.unionByName(joins.pad_to(s_, main.columns, types))
     return out
 
 
