@@ -18,13 +18,16 @@ def main() -> None:
     r.add_argument("--sample-size", type=int, default=5)
     r.add_argument("--product-number", type=int, default=5)
     r.add_argument("--cores", default="*")
+    r.add_argument("--select-best", action="store_true",
+                   help="train the final model with the best C of the grid")
     args = ap.parse_args()
 
     from cartwise.plans.pipeline import run
     from cartwise.session import local_session
 
     spark = local_session(args.cores)
-    paths = run(spark, args.sf, args.out, args.sample_size, args.product_number)
+    paths = run(spark, args.sf, args.out, args.sample_size, args.product_number,
+                select_best=args.select_best)
     report = spark.read.parquet(paths["report"]).orderBy("customer_unique_id", "line_no")
     for row in report.toLocalIterator():
         print(row.line)
