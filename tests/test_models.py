@@ -27,6 +27,11 @@ def test_kmeans_best_of_starts_and_nearest_assignment(spark):
         assert row.c == d.index(min(d))
     cost = sum(min((row.x - cx) ** 2 + (row.y - cy) ** 2 for cx, cy in centres)
                for row in out)
+    for i, (cx, cy) in enumerate(centres):  # converged: centre = mean of members
+        members = [(row.x, row.y) for row in out if row.c == i]
+        assert members
+        assert abs(sum(m[0] for m in members) / len(members) - cx) < 1e-6
+        assert abs(sum(m[1] for m in members) / len(members) - cy) < 1e-6
     single = ml.fit_kmeans(df, ("x", "y"), k=5, starts=1, seed=99)
     cost1 = sum(min((x - cx) ** 2 + (y - cy) ** 2 for cx, cy in single) for x, y in pts)
     assert cost <= cost1 + 1e-9
