@@ -221,7 +221,11 @@ def drawn_products(data: DataFrame, preds: DataFrame, product_number: int,
     max_s = sole_counts(preds, data, summary).agg(F.max("_s")).first()[0] or 0
     ranked = ranked_category_products(data, scores, estimation_n + max_s, summary)
     top = top_products_for(preds, ranked, estimation_n)
-    return draw_products(top, product_number, seed).persist()
+    drawn = draw_products(top, product_number, seed).persist()
+    drawn.count()  # materialise the small result, then release its inputs
+    preds.unpersist()
+    summary.unpersist()
+    return drawn
 
 
 def expected_values(pairs: DataFrame, data: DataFrame, n_nearest: int) -> DataFrame:
