@@ -79,3 +79,26 @@ def words(c: Column) -> Column:
     """The words of a text in order; null has none."""
     return F.coalesce(F.regexp_extract_all(ascii_lower(c), F.lit(f"({WORD})"), F.lit(1)),
                       F.array().cast("array<string>"))
+
+
+def arrow_bound(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
+    """Keep the Arrow batches sent to Python small, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def slices_by_bytes(batches, column: int, limit: int):
+    """Cut Arrow batches into slices whose ``column`` holds about ``limit``
+    bytes at most (one row at least)."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += int(n)
+        if start < b.num_rows:
+            yield b.slice(start)
