@@ -34,29 +34,37 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             .groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
 
 
-def _hash_at(ws: Column, at: Column, k: int) -> Column:
-    """Hash of the k words from ``at`` on (element access: slice() would copy
-    the whole array each time)."""
-    return F.xxhash64(*[F.get(ws, at + j) for j in range(k)])
+def _word_hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def _hash_at(hs: Column, at: Column, k: int) -> Column:
+    """Hash of the k words from ``at`` on, from the words' hashes (element
+    access: slice() would copy the whole array each time)."""
+    return F.xxhash64(*[F.get(hs, at + j) for j in range(k)])
 
 
 def _doc_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, th, ws, pos, h): every shingle of the given lengths; pos -1 and
-    h null once a row, so that documents without a hit keep a row."""
+    """(doc_id, th, ws, pos, h): every shingle of the given lengths, and once a
+    row pos -1, so that documents without a hit keep a row."""
     n = F.size("ws")
+    none = F.array().cast("array<bigint>")
 
-    def of_length(k: int):
-        shingle = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))),
-            lambda i: F.struct((i - 1).alias("pos"), _hash_at(F.col("ws"), i - 1, k).alias("h")))
-        return F.when(n >= k, shingle).otherwise(
-            F.array().cast("array<struct<pos:int,h:bigint>>"))
+    def of_length(k: int) -> Column:
+        shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - k)),
+                               lambda i: _hash_at(F.col("hs"), i, k))
+        return F.when(n >= k, shingles).otherwise(none)
 
-    parts = [of_length(k) for k in lengths]
-    row = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("h")))
-    return (docs.withColumn("sh", F.concat(row, *parts) if parts else row)
-            .select("doc_id", "th", "ws", F.explode_outer("sh").alias("x"))
-            .select("doc_id", "th", "ws", "x.pos", "x.h"))
+    # the place in the joined array: 0 is the row itself, then each length's shingles
+    first, pos = F.lit(1), F.lit(-1)
+    for k in lengths:
+        pos = F.when(F.col("at") >= first, F.col("at") - first).otherwise(pos)
+        first = first + F.greatest(F.lit(0), n - (k - 1))
+    hashed = once(docs.withColumn("hs", _word_hashes(F.col("ws"))))
+    return (hashed.withColumn("sh", F.concat(F.array(F.lit(0).cast("long")),
+                                             *[of_length(k) for k in lengths]))
+            .select("doc_id", "th", "ws", F.posexplode_outer("sh").alias("at", "h"))
+            .select("doc_id", "th", "ws", pos.alias("pos"), "h"))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
@@ -70,6 +78,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     nothing; items without words or with a null id are left out.  Repeated
     rows give a row each.  Other columns of either table are not read.
     """
+    return (_per_row(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle)
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .drop("copies", "th", "__copy"))
+
+
+def _per_row(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
+             item_text_col: str, window: int, shingle: int) -> DataFrame:
+    """The result with a row for each (doc_id, text hash) and its copies."""
     spark = docs.sparkSession
     wins = item_windows(benchmark, item_col, item_text_col, window)
     wins = written(spark, wins.select(F.xxhash64("win").alias("win_id"), "win", "items",
@@ -79,9 +95,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     lengths = sorted(r[0] for r in wins.select("k").distinct().collect())   # at most `shingle`
     of_length = F.lit(None).cast("long")
     for k in lengths:
-        of_length = F.when(F.col("k") == k, _hash_at(F.col("win"), F.col("off"), k)) \
+        of_length = F.when(F.col("k") == k, _hash_at(F.col("hs"), F.col("off"), k)) \
             .otherwise(of_length)
-    parts = (wins.select("win_id", "win", "k",
+    parts = (wins.select("win_id", _word_hashes(F.col("win")).alias("hs"), "k",
                          F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
              .select("win_id", "off", of_length.alias("h")))
     small = small_enough(parts, BROADCAST_ROWS)
@@ -132,13 +148,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                     F.collect_set("items").alias("item_lists"))
                .withColumn("ids", F.array_sort(F.transform(
                    F.array_distinct(F.flatten("item_lists")), lambda x: x.cast("string"))))
-               .select("doc_id", "n_words", merged.cast("long").alias("n_hit"),
+               .select("doc_id", "th", "n_words", merged.cast("long").alias("n_hit"),
                        F.size("ids").cast("long").alias("n_items"),
                        F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), "copies"))
-    return (per_doc.withColumn("contaminated", (F.col("n_hit") > 0)
-                               & (F.col("n_hit") * 20 >= F.col("n_words")))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .drop("copies", "__copy"))
+    return per_doc.withColumn("contaminated", (F.col("n_hit") > 0)
+                              & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+    Rows that share an id are told apart by their texts."""
+    bad = (_per_row(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW, SHINGLE)
+           .filter("contaminated")
+           .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"])
+                     & (F.xxhash64(docs[text_col]) == bad["__th"]), "left_anti")
 
 
 ORACLE = r"""
