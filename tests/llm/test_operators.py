@@ -1,0 +1,440 @@
+"""Each operator against a brute-force version, an exact round trip, or
+held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from cartwise.llm import (components, decontam, exact_dedup, html_extract, jaccard_join, langid,
+                          piece_fst, pii, quality, queries, sharding, token_count)
+from cartwise.llm.text_bytes import texts_bytes
+
+SF = "/root/testdata/sf0.01"
+TABLES = "documents pages benchmark labels".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+@pytest.fixture(scope="module")
+def docs(con):
+    return con.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+
+
+@pytest.mark.parametrize("name", ["op7_exact_dedup", "op10_benchmark_decontamination"])
+def test_sql(spark, con, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    want = con.execute(queries.ORACLES[name]).df()[list(got.columns)]
+    key = ["doc_id"]
+    assert got.sort_values(key).reset_index(drop=True).astype(str).equals(
+        want.sort_values(key).reset_index(drop=True).astype(str))
+
+
+def test_languages_held_out(spark, con):
+    lang = dict(con.execute("SELECT doc_id, lang FROM documents").fetchall())
+    out = queries.op1_language_id(spark, SF).collect()
+    held = [r for r in out if r.held_out]
+    assert len(held) > 100 and len(out) == len(lang)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+def test_kernel_is_the_plain_one():
+    texts = ["abc abd", "zzz abc", "hello there world", "völlig anders"]
+    data, ends = texts_bytes(texts)
+    start, stop, _ = langid.stretches(ends)
+    index = np.arange(langid.ALL_GRAMS)
+    x = langid.presence(data, start, stop, index, langid.ALL_GRAMS)
+    got = langid._kernel(x, x, np.maximum(x.sum(axis=1), 1))
+    classes = langid.byte_classes()
+
+    def grams(t):
+        c = [int(classes[b]) for b in t.encode()]
+        return {tuple(c[i:i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)}
+
+    for i, a in enumerate(map(grams, texts)):
+        for j, b in enumerate(map(grams, texts)):
+            assert got[i, j] == pytest.approx(len(a & b) / (len(a) * len(b)) ** 0.5, rel=1e-5)
+
+
+def test_pages_against_a_pattern(spark, con):
+    import html
+    want = {}
+    for i, x in con.execute("SELECT page_id, html FROM pages").fetchall():
+        body = re.search("<article>(.*?)</article>", x, re.S)[1]
+        parts = re.sub("<[^>]*>", "", re.sub("<br>", " ", re.sub("</?(h1|p)>", "\0", body)))
+        want[i] = " ".join(" ".join(html.unescape(p).split()) for p in parts.split("\0")
+                           if p.strip())
+    got = {r.page_id: r.text for r in queries.op2_html_extraction(spark, SF).collect()}
+    assert got == want
+
+
+def test_wrapper_finds_the_template():
+    def page(k):
+        own = " ".join(f"w{k}x{j}" for j in range(30))
+        return f"<body><div><p>Share this story with friends</p><p>{own}</p></div></body>"
+
+    out = html_extract.extract_block([page(k) for k in range(8)])
+    assert all("Share" not in t and f"w{k}x7" in t for k, t in enumerate(out))
+    # copies of one page say nothing about its template
+    copies = html_extract.extract_block([page(1)] * 8)
+    assert all(t.startswith("Share") and "w1x7" in t for t in copies)
+
+
+def test_tree_match_is_the_largest():
+    def tree(spec, parent=None):
+        n = html_extract.Node(spec[0], parent)
+        n.kids = [tree(s, n) for s in spec[1:]]
+        return n
+
+    def best(a, b):
+        if a.tag != b.tag:
+            return 0
+        m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + best(x, y))
+        return m[-1][-1] + 1
+
+    rng = random.Random(1)
+
+    def spec(depth):
+        return (rng.choice("ab"), *[spec(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)])
+
+    for _ in range(200):
+        a, b = tree(("r", *[spec(2) for _ in range(3)])), tree(("r", *[spec(2) for _ in range(3)]))
+        shapes: dict = {}
+        html_extract.measure(html_extract._walk(a), shapes)
+        html_extract.measure(html_extract._walk(b), shapes)
+        pairs = html_extract.match(a, b)
+        assert len(pairs) == best(a, b)
+        assert all(x.tag == y.tag for x, y in pairs)
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def shingles(text, k=5):
+    w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def test_jaccard_join_against_all_pairs(spark, docs):
+    sets = {i: shingles(t) for i, t in docs}
+    having = defaultdict(set)
+    for i, s in sets.items():
+        for g in s:
+            having[g].add(i)
+    links, root = Counter(), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for j, n in Counter(j for g in s for j in having[g] if j > i).items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r for r in queries.op3_jaccard_join(spark, SF).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: links[i] for i in sets}
+    assert {i: r.class_id for i, r in got.items()} == {i: find(i) for i in sets}
+    assert sum(r.kept for r in got.values()) == len({find(i) for i in sets})
+
+
+def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
+    """A large group of near copies, dealt into many small blocks."""
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 10 ** 6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for a in sets]
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.join_classes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_posterior_bounds():
+    need = jaccard_join.least_equal(0.8, 1e-9)
+    assert all(0 < need[n] < 0.8 * n for n in need) and need[128] > need[64] > need[16]
+
+
+def test_intersections_both_ways():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)]
+    a, b = np.triu_indices(60, 1)
+    want = [len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b)]
+    assert jaccard_join.intersections(sets, a, b).tolist() == want
+    assert jaccard_join.intersections(sets, a[:3], b[:3]).tolist() == want[:3]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)]
+    edges += [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.label for r in components.components(df).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_token_counts_are_the_library_s(spark, docs):
+    import public_tokenizers
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(
+        model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in queries.op4_token_counts(spark, SF).collect()}
+    for i, t in docs:
+        n = len(sp.encode(t or ""))
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (
+            n, len((t or "").encode()), n > 4096)
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json",
+                                  "word_bpe_49k.json"])
+def test_parts_of_long_texts_count_as_the_whole(docs, monkeypatch, name):
+    text = " ".join(t for _, t in docs[:40]) + "  two  blanks \n\n ▁ x <s> <|endoftext|> end "
+    whole = token_count.count_texts([text, None, ""], name)
+    monkeypatch.setattr(token_count, "PART_CHARS", 300)
+    monkeypatch.setattr(token_count, "BATCH_BYTES", 2000)
+    assert token_count.count_texts([text, None, ""], name) == whole
+    assert len(token_count.load(name)[1](text)) > 20
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+         "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def holds(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10))
+               for k, c in enumerate(reversed(d))) % 10 == 0
+    return {"email": True, "ip": re.fullmatch(
+        r"(0*(25[0-5]|2[0-4]\d|1?\d?\d)(\.|$))+", m) is not None,
+            "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+
+def test_pii_base_spans(spark, docs):
+    odd = ["a@b.c%d@e.f aa@b x@y..z a@b.c.d.e f@g-h.i", "1.2.3.4.5 256.1.1.1 12345.1.1.1 "
+           "0001.002.3.4 1.2.3.4.5.6.7.8 1.2.3..4.5.6.7", "4111 1111 1111 1111 4111-1111-1111-1111"
+           " 4111  1111 1111 1111 123456789012345678901", "+1 (743) 555-3824 +12 +1.2 "
+           "+49 30 123456789012 ++1 23456789 +1 234567890+1 234567890", "é😀 a@b.co 1.1.1.1",
+           "a." * 900 + "@x.y " + "1." * 900 + "@" * 3, "9" * 2_000]
+    rows = docs + [(10 ** 6 + k, t) for k, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    for i, t in rows:
+        spans = sorted((m.start(), j, m.end(), k) for j, (k, p) in enumerate(PLAIN.items())
+                       for m in re.finditer(p, t or "") if holds(k, m[0]))
+        text = [f"{k}:{a}:{b}" for a, _, b, k in spans]
+        n = Counter(s[3] for s in spans)
+        r = got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(n[k] for k in PLAIN)
+        assert r.base_sha256 == hashlib.sha256(",".join(text).encode()).hexdigest()
+        assert set(text) <= set(r.spans.split(","))
+
+
+def test_pii_of_long_runs(spark):
+    """Runs that would cost a backtracking search the square of their length."""
+    rows = [(1, "a." * 150_000 + "@x" + ".y" * 50_000), (2, "1." * 100_000), (3, "9" * 300_000),
+            (4, "@" * 300_000), (5, "+1" + " (" * 150_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = {x.doc_id: x for x in pii.find_pii(df).collect()}
+    assert r[1].n_email == 1 and "email:0:400002" in r[1].spans
+    assert r[2].n_ip == 25_000
+    assert not any(r[k][c] for k in (3, 4, 5) for c in ("n_email", "n_ip", "n_card", "n_phone"))
+
+
+def test_pii_trees_add_what_looks_alike(spark):
+    """Card numbers with a wrong check digit look like the others and are added;
+    numbers of other forms aren't, and nothing overlaps a base span."""
+    rng = random.Random(4)
+
+    def card(ok):
+        d = [4] + [rng.randint(0, 9) for _ in range(14)]
+        s = sum(x if k % 2 else sum(divmod(2 * x, 10)) for k, x in enumerate(d))
+        return "".join(map(str, d)) + str((10 - s + (0 if ok else 3)) % 10)
+
+    rows = [f"pay with card {card(k % 40 > 0)} now" for k in range(400)]
+    rows += [f"built in {rng.randint(1000, 2030)} by {rng.randint(1, 99)} men at "
+             f"{rng.randint(300, 999)}.{rng.randint(1, 9)}.{rng.randint(1, 9)}" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    wrong = [k for k in range(400) if k % 40 == 0]
+    assert sum("card:14:30" in got[k].spans for k in wrong) >= 8
+    assert all(got[k].n_card == 0 for k in wrong)
+    assert all(got[k].spans == "" for k in range(400, 800))
+
+
+def test_lookup_table():
+    names = sharding.shard_names(16)
+    table = sharding.lookup_table(names, 2003)
+    n = Counter(table)
+    assert set(table) == set(range(16)) and max(n.values()) - min(n.values()) <= 1
+    # brute force: turn by turn, the first free slot of the shard's own order
+    want = [-1] * 2003
+    turn = 0
+    while -1 in want:
+        o, s = sharding.preference(names[turn % 16], 2003)
+        k = next(k for k in range(2003) if want[(o + k * s) % 2003] < 0)
+        want[(o + k * s) % 2003] = turn % 16
+        turn += 1
+    assert table == want
+    less = sharding.lookup_table(names[:-1], 2003)
+    moved = sum(a != b for a, b in zip(table, less) if a != 15)
+    assert moved < 0.25 * 2003
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 2000)
+
+
+def test_write_shards(spark, tmp_path):
+    df = spark.range(500).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "'x' AS text")
+    path = str(tmp_path / "shards")
+    sharding.write_shards(df, path)
+    back = {(r.doc_id, r.shard) for r in spark.read.parquet(path).collect()}
+    want = {(r.doc_id, r.shard) for r in sharding.assign_shards(df).collect()}
+    assert back == want and len(back) == 500
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    rows = [(k, "same  text" if k % 3 else f"own {k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = exact_dedup.exact_dedup(df, salts=16).collect()
+    hot = [r for r in out if r.doc_id % 3]
+    assert len(out) == 3000 and {r.group_size for r in hot} == {2000}
+    assert {r.keep_id for r in hot} == {1} and [r.doc_id for r in hot if r.kept] == [1]
+
+
+def test_exact_dedup_shuffles_the_texts_once(spark, monkeypatch):
+    plans = []
+    plain = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda s, d, n: (
+        plans.append(d._jdf.queryExecution().executedPlan().toString()), plain(s, d, n))[1])
+    exact_dedup.exact_dedup(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert plans[0].count("Exchange rangepartitioning") == 1
+    assert plans[0].count("Exchange") == 1 and "Python" not in plans[0]
+
+
+def test_quality_against_the_labels(spark, con):
+    truth = dict(con.execute("SELECT doc_id, quality FROM labels").fetchall())
+    out = {r.doc_id: r for r in queries.op8_quality_classifier(spark, SF).collect()}
+    assert sum(out[i].keep == bool(q) for i, q in truth.items()) >= 0.97 * len(truth)
+    assert all(out[i].keep for i, q in truth.items() if q) or \
+        sum(not out[i].keep for i, q in truth.items() if q) <= 0.01 * len(truth)
+
+
+def test_expectation_maximisation_finds_accuracies():
+    rng = np.random.default_rng(0)
+    y = rng.random(20_000) < 0.8
+    right = np.array([0.95, 0.9, 0.85, 0.7, 0.9, 0.8, 0.75])
+    v = np.where(rng.random((len(y), 7)) < right, np.where(y, 1, -1)[:, None],
+                 np.where(y, -1, 1)[:, None])
+    p, n = np.unique(quality.pattern_of(v), return_counts=True)
+    post, tables, prior = quality.fit_labellers(p, n)
+    assert np.allclose([tables[j, 1, 2] for j in range(7)], right, atol=0.03)
+    assert abs(prior - 0.8) < 0.03
+    mine = post[np.searchsorted(p, quality.pattern_of(v))] > 0.5
+    assert (mine == y).mean() > 0.95
+
+
+def test_pieces_are_the_library_s(docs):
+    import public_tokenizers
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(
+        model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    t = piece_fst.transducer()
+    rng = random.Random(3)
+    pieces = list(t.ids)
+    texts = [x for _, x in docs]
+    for _ in range(3000):
+        texts.append("".join(rng.choice("abcdeinrtsho  ▁ é\n\t01😀llnn..--") for _ in range(40)))
+        texts.append("".join(rng.choice(pieces) if rng.random() < 0.8
+                             else " " * rng.randint(1, 40) for _ in range(5)))
+    for x in texts:
+        ids = sp.encode(x)
+        assert t.encode(x) == ids
+        assert t.decode(ids) == sp.decode(ids)
+
+
+def test_pieces_decode(spark):
+    texts = ["a  b", "", "é😀\n", " x ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = piece_fst.encode_texts(df)
+    back = {r.doc_id: r.text for r in piece_fst.decode_ids(ids).collect()}
+    assert [back[k] for k in range(5)] == ["a  b", "", "é😀\n", " x ", ""]
+
+
+@pytest.mark.parametrize("call", [
+    lambda s, d: exact_dedup.exact_dedup(d), lambda s, d: pii.find_pii(d),
+    lambda s, d: decontam.benchmark_hits(d, s.read.parquet(f"{SF}/benchmark.parquet"))])
+def test_native_operators_run_no_python(spark, call):
+    plan = call(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", text)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    columns = docs.columns
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        before, kept = kept, {r.doc_id: kept[r.doc_id] for r in rows}
+        assert len(kept) == len(rows)
+        if name == "exact_dedup":
+            white = re.compile(r"[\x20\x09-\x0D]")
+            groups = defaultdict(list)
+            for i, t in before.items():
+                groups[white.sub("", t)].append((-len(t), i))
+            assert set(kept) == {min(g)[1] for g in groups.values()}
+        elif name == "jaccard_join":
+            sets = {i: shingles(t) for i, t in kept.items()}
+            ids = sorted(sets)
+            # none of those that stay are similar
+            having = defaultdict(set)
+            for i in ids:
+                for g in sets[i]:
+                    having[g].add(i)
+            for i in ids:
+                for j, n in Counter(j for g in sets[i] for j in having[g] if j > i).items():
+                    assert n < 0.8 * (len(sets[i]) + len(sets[j]) - n)
+        if name != "sentencepiece":
+            assert out.columns == columns
+            docs = spark.createDataFrame(rows, docs.schema)
+    assert {"ids", "n_tokens"} <= set(out.columns) and all(r.same for r in rows)
+    assert os.path.basename(p.__file__) == "corpus_pipeline.py" and len(p.STAGES) == 5
