@@ -19,8 +19,8 @@ words' paths, and these are remembered (a bounded number) by each worker.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,11 +30,33 @@ from .token_count import TOKENIZER, tokenizer_path
 
 SPACE = "▁"
 SLICE_BYTES = 1 << 20
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
+REMEMBERED_SEGMENTS = 500_000
 REMEMBERED_PAIRS = 2_000_000
 INF = float("inf")
 
 
+class Memory:
+    """A bounded memory of two generations: when the young one is full it
+    replaces the old one, and what is asked for again is kept."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class PieceTransducer:
     """Encoder and decoder of one model file."""
 
@@ -83,7 +105,8 @@ class PieceTransducer:
             self.arcs[p] = i
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.joint = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.words, self.segments = Memory(REMEMBERED_WORDS), Memory(REMEMBERED_SEGMENTS)
 
     def merged(self, s: str) -> list[str]:
         """The merges themselves: best score first, then leftmost."""
@@ -141,36 +164,59 @@ class PieceTransducer:
         return known
 
     def shortest_path(self, s: str) -> list[int]:
-        """Ids of the shortest path over a word without unknown characters."""
+        """Ids of the shortest path over a word without unknown characters.
+
+        Every position has one path of finite weight, so the first one found
+        is its shortest; arcs are tried longest first, and the search ends at
+        the last position.
+        """
         n = len(s)
         arcs, pairs = self.arcs, self.pairs
         whole = arcs.get(s, -1)
         if whole >= 0:                      # a piece that its own merges make
             return [whole]
-        cost = [INF] * (n + 1)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0
-        for i in range(n):
-            far, before = cost[i] + 1, last[i]
-            if far == INF:
-                continue
-            for j in range(i + 1, n + 1):
-                p = arcs.get(s[i:j])
+        reached = [False] * (n + 1)
+        path, open_arcs = [-1], []
+        at = 0
+        while True:
+            out = []
+            for j in range(at + 1, n + 1):
+                p = arcs.get(s[at:j])
                 if p is None:
                     break
-                if p >= 0 and far < cost[j]:
-                    if before >= 0:
-                        side = pairs.get(before << 32 | p)
-                        if side is None:
-                            side = self.neighbours(before, p)
-                        if not side:
-                            continue
-                    cost[j], last[j], back[j] = far, p, i
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j = back[j]
-        return out[::-1]
+                if p >= 0 and not reached[j]:
+                    out.append((j, p))
+            open_arcs.append(out)
+            before = path[-1]
+            while True:
+                while not open_arcs[-1]:    # no way on from here
+                    open_arcs.pop()
+                    path.pop()
+                    before = path[-1]
+                at, p = open_arcs[-1].pop()
+                if reached[at]:
+                    continue
+                if before < 0:
+                    break
+                side = pairs.get(before << 32 | p)
+                if side or side is None and self.neighbours(before, p):
+                    break
+            reached[at] = True
+            path.append(p)
+            if at == n:
+                return path[1:]
+
+    def segment(self, s: str) -> tuple[int, ...]:
+        """Ids of a stretch whose characters all may merge with the next."""
+        ids = self.segments.get(s)
+        if ids is None:
+            if s not in self.ids and len(s) == 1:
+                ids = tuple(self.byte_id[x] for x in s.encode("utf-8", "replace"))
+            else:
+                ids = tuple(self.shortest_path(s))
+            if len(s) < 64:
+                self.segments.put(s, ids)
+        return ids
 
     @lru_cache(maxsize=4096)  # noqa: B019  the transducer lives as long as its worker
     def run(self, n: int) -> tuple[int, ...]:
@@ -195,13 +241,15 @@ class PieceTransducer:
         blanks = len(w) - len(body)
         known, out, start = self.ids, [], 0
         s = SPACE + body
-        unknown = [k for k, c in enumerate(s) if c not in known]
-        for k in [*unknown, len(s)]:
-            if k > start:
-                out += self.shortest_path(s[start:k])
-            if k < len(s):
-                out += [self.byte_id[x] for x in s[k].encode("utf-8", "replace")]
-            start = k + 1
+        if blanks == 1 and body.isascii() and body.isalpha():
+            return tuple(self.shortest_path(s))     # no character to look out for
+        joint = self.joint
+        for k in range(1, len(s)):
+            # no piece holds these two side by side: the path is cut here
+            if s[k - 1:k + 1] not in joint:
+                out += self.segment(s[start:k])
+                start = k
+        out += self.segment(s[start:])
         if blanks == 1:
             return tuple(out)
         if out[0] == known[SPACE]:      # the last blank stays one of the run
@@ -210,8 +258,12 @@ class PieceTransducer:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null or empty has none."""
+        return memoryview(self.packed(text)).cast("i").tolist()
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a whole text as 32-bit numbers."""
         if not text:
-            return []
+            return b""
         words = text.replace(" ", SPACE).split(SPACE)
         if "" in words:       # neighbouring blanks: a word with all blanks before it
             joined, blanks = [], 0
@@ -225,19 +277,22 @@ class PieceTransducer:
                 joined.append(SPACE * blanks)
             words = joined
         memory = self.words
+        young = memory.young
         out = []
         for w in words:
-            ids = memory.get(w)
+            ids = young.get(w)
+            if ids is None:
+                ids = memory.get(w)
+                young = memory.young
             if ids is None:
-                if len(memory) >= REMEMBERED_WORDS:
-                    memory.clear()
                 # the key leaves out the blank that every word has before it,
                 # save for blanks alone, which have no word
-                ids = self.word(SPACE + w if w.strip(SPACE) else w)
+                ids = array("i", self.word(SPACE + w if w.strip(SPACE) else w)).tobytes()
                 if len(w) < 64:
-                    memory[w] = ids
+                    memory.put(w, ids)
+                    young = memory.young
             out.append(ids)
-        return list(chain.from_iterable(out))
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -274,10 +329,11 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         t = transducer(model)
         for b in slices_by_bytes(batches, 1, SLICE_BYTES):
             texts = b.column(1).to_pylist()
-            ids = [t.encode(x) for x in texts]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-            same = [t.decode(i) == (x or "").replace(SPACE, " ") for i, x in zip(ids, texts)]
+            ids = [t.packed(x) for x in texts]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            same = [t.decode(memoryview(i).cast("i")) == (x or "").replace(SPACE, " ")
+                    for i, x in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                                        pa.array(flat)),
