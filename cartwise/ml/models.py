@@ -2,7 +2,7 @@
 
 * H7a k-means, several seeds, the lowest training cost wins; clusters are
   renumbered by (lat, lng) of their centre so ids are stable (S17).
-* H7b nearest-centre assignment for any centre table of bounded size.
+* H7b nearest-centre assignment for the k centres of a model.
 * H8 multinomial logistic regression, L2 with strength ``C`` as in the
   reference: sklearn minimises ``C * sum(loss) + |w|^2 / 2`` while Spark
   minimises ``mean(loss) + regParam * |w|^2 / 2``, so ``regParam = 1/(C n)``
@@ -21,7 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.ml.features import FEATURES, LABEL
@@ -34,8 +34,8 @@ CV_SEED = 42
 INVERSE_REG_GRID = (1.0, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
 KMEANS_K = 5
 KMEANS_STARTS = 10
-MAX_CENTRES = 4096
-ROWS_PER_FIT_PARTITION = 250_000
+# hex digits of a digest that name a bucket: 4096 buckets a class
+BUCKET_DIGITS = 3
 
 
 # --- H7 ----------------------------------------------------------------------
@@ -45,11 +45,7 @@ def fit_kmeans(points: DataFrame, coords: Sequence[str], k: int = KMEANS_K,
     Returns the centres sorted by coordinates as a list of tuples."""
     vec = VectorAssembler(inputCols=list(coords), outputCol="_xy").transform(
         points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in coords)))
-    vec = vec.select("_xy")
-    n = vec.count()
-    parts = max(1, min(vec.sparkSession.sparkContext.defaultParallelism,
-                       -(-n // ROWS_PER_FIT_PARTITION)))
-    vec = vec.coalesce(parts).persist()
+    vec = vec.select("_xy").persist()
 
     def fit(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_xy",
@@ -69,10 +65,8 @@ def fit_kmeans(points: DataFrame, coords: Sequence[str], k: int = KMEANS_K,
 def assign_nearest(points: DataFrame, centres: Sequence[tuple[float, ...]],
                    coords: Sequence[str], out: str) -> DataFrame:
     """Id of the nearest centre (squared Euclidean; ties to the lower
-    id); NULL coordinates give NULL.  ``centres`` is a model parameter of
-    bounded size, inlined as literals -- no join."""
-    if len(centres) > MAX_CENTRES:
-        raise ValueError(f"{len(centres)} centres exceed the bound {MAX_CENTRES}")
+    id); NULL coordinates give NULL.  ``centres`` are the k centres of a
+    model, inlined as literals -- no join."""
     cands = []
     for i, c in enumerate(centres):
         d = None
@@ -88,12 +82,6 @@ def assign_nearest(points: DataFrame, centres: Sequence[tuple[float, ...]],
     return points.withColumn(out, F.when(~any_null, best["id"]))
 
 
-def centres_table(spark, centres: Sequence[tuple[float, ...]], coords: Sequence[str],
-                  id_col: str = "location_cluster") -> DataFrame:
-    rows = [(i, *map(float, c)) for i, c in enumerate(centres)]
-    return spark.createDataFrame(rows, [id_col, *coords])
-
-
 def cluster_zips(zips: DataFrame, coords=("geolocation_lat", "geolocation_lng"),
                  k: int = KMEANS_K, starts: int = KMEANS_STARTS, seed: int = CV_SEED
                  ) -> DataFrame:
@@ -103,44 +91,65 @@ def cluster_zips(zips: DataFrame, coords=("geolocation_lat", "geolocation_lng"),
 
 
 # --- H10 ---------------------------------------------------------------------
-def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "_rn") -> DataFrame:
-    """``row_number() OVER (PARTITION BY group ORDER BY order)`` without
-    putting a whole group in one task: rows are range-partitioned on
-    (group, order) -- a large group spreads over many partitions -- ranked
-    inside each partition, and shifted by the group's row count in all
-    lower partitions (a partitions x groups table).  Same result as the
-    window for any group size."""
-    cols = [F.col(group)] + [F.col(c) if isinstance(c, str) else c for c in order]
-    names = [f"_o{i}" for i in range(len(cols) - 1)]
-    x = df.select("*", *[c.alias(n) for c, n in zip(cols[1:], names)])
-    x = (x.repartitionByRange(group, *names)
-         .withColumn("_pid", F.spark_partition_id()))
-    local = Window.partitionBy("_pid", group).orderBy(*names)
-    x = x.withColumn("_lrn", F.row_number().over(local))
-    counts = x.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = counts.withColumn("_shift", F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).select(F.col("_pid").alias("_bpid"), F.col(group).alias("_bg"), "_shift")
-    # NULL is a group of its own: join null-safe
-    cond = (F.col("_pid") == F.col("_bpid")) & F.col(group).eqNullSafe(F.col("_bg"))
-    return (x.join(F.broadcast(before), cond)
-            .withColumn(out, (F.col("_shift") + F.col("_lrn")).cast("int"))
-            .drop(*names, "_pid", "_bpid", "_bg", "_lrn", "_shift"))
+def _bucketed(df: DataFrame, group: str, digest: Column, digits: int) -> DataFrame:
+    """Adds ``_g`` (the group as a struct, so that NULL equals NULL in joins),
+    ``_h`` (the hex digest) and ``_b`` (its first ``digits`` digits)."""
+    return (df.withColumn("_g", F.struct(F.col(group).alias("g"))).withColumn("_h", digest)
+            .withColumn("_b", F.substring("_h", 1, digits)))
+
+
+def _bucket_shifts(x: DataFrame) -> DataFrame:
+    """(_g, _b, _shift, _size): rows of the group in lower buckets, and in all.
+    At most 16 ** digits rows a group."""
+    counts = x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.partitionBy("_g").orderBy("_b")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                         .alias("_shift"), "_n")
+
+
+def rank_by_digest(df: DataFrame, group: str, digest: Column, ties: Sequence = (),
+                   out: str = "_rn", digits: int = BUCKET_DIGITS) -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY digest, ties)`` without
+    putting a whole group in one task.
+
+    A digest's first hex digits are evenly spread and in the digest's own
+    order: rows are ranked inside (group, bucket) and shifted by the group's
+    rows in lower buckets.  The bucket is a function of the row, so the result
+    is the same for any number of digits, partitions or attempts.  A NULL
+    group is a group.  The wide rows are shuffled once.
+    """
+    x = _bucketed(df, group, digest, digits)
+    local = Window.partitionBy("_g", "_b").orderBy("_h", *ties)
+    ranked = x.withColumn("_lrn", F.row_number().over(local))
+    return (ranked.join(_bucket_shifts(x).drop("_n"), ["_g", "_b"])
+            .withColumn(out, F.col("_shift") + F.col("_lrn"))
+            .drop("_g", "_b", "_h", "_lrn", "_shift"))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str = LABEL, k: int = CV_FOLDS,
-                     seed: int = CV_SEED, repeat: int = 0, out: str = "fold") -> DataFrame:
-    """Fold number in 0..k-1, stratified by ``label``."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(repeat)),
-                              F.col(key).cast("string")))
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    # classes are few: the running offset is a small window over the sizes
-    offs = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(
-        Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (rank_within(df, label, [order, key])
-            .join(F.broadcast(offs.select(label, "_offset")), label)
-            .withColumn(out, ((F.col("_offset") + F.col("_rn") - 1) % k).cast("int"))
-            .drop("_rn", "_offset"))
+                     seed: int = CV_SEED, repeat: int = 0, out: str = "fold",
+                     digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Fold number in 0..k-1, stratified by ``label`` (NULL is a class).
+
+    The rank and the rows of lower classes come from one table of counts by
+    (class, digest bucket); the rows themselves are shuffled once.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(repeat)),
+                               F.col(key).cast("string")))
+    x = _bucketed(df, label, digest, digits)
+    shifts = _bucket_shifts(x)
+    sizes = shifts.groupBy("_g").agg(F.sum("_n").alias("_size"))
+    # one row a class
+    offsets = sizes.select("_g", F.coalesce(F.sum("_size").over(
+        Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_offset"))
+    start = (shifts.join(offsets, "_g")
+             .select("_g", "_b", (F.col("_shift") + F.col("_offset")).alias("_start")))
+    local = Window.partitionBy("_g", "_b").orderBy("_h", key)
+    return (x.withColumn("_lrn", F.row_number().over(local)).join(start, ["_g", "_b"])
+            .withColumn(out, ((F.col("_start") + F.col("_lrn") - 1) % k).cast("int"))
+            .drop("_g", "_b", "_h", "_lrn", "_start"))
 
 
 # --- H8 / H9 / H13 -----------------------------------------------------------
@@ -166,23 +175,18 @@ def accuracy(pred: DataFrame, prediction: str = "prediction", label: str = LABEL
 def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_REG_GRID,
                    k: int = CV_FOLDS, repeats: int = CV_REPEATS, seed: int = CV_SEED,
                    parallelism: int | None = None) -> DataFrame:
-    """Accuracy per (C, repeat, fold).  The training table is persisted
-    once; the fits are independent Spark jobs run concurrently."""
+    """Test rows and accuracy per (C, repeat, fold).  The training table is
+    persisted once; the fits are independent Spark jobs run concurrently."""
     spark = train.sparkSession
     folded = None
     for r in range(repeats):
         f = stratified_folds(train, key, k=k, seed=seed, repeat=r).withColumn(
             "repeat", F.lit(r))
         folded = f if folded is None else folded.unionByName(f)
-    folded = folded.select(key, FEATURES, LABEL, "repeat", "fold")
+    folded = folded.select(key, FEATURES, LABEL, "repeat", "fold").persist()
     sizes = {(row["repeat"], row["fold"]): row["n"] for row in
              folded.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {r: sum(n for (rr, _), n in sizes.items() if rr == r) for r in range(repeats)}
-    # every L-BFGS iteration is a job over all partitions: size them by rows
-    rows = sum(sizes.values())
-    parts = max(1, min(spark.sparkContext.defaultParallelism,
-                       -(-rows // ROWS_PER_FIT_PARTITION)))
-    folded = folded.coalesce(parts).persist()
 
     def run(task):
         c, r, fold = task
@@ -190,7 +194,8 @@ def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_R
         te = folded.where((F.col("repeat") == r) & (F.col("fold") == fold))
         model = train_classifier(tr, c, n_rows=total[r] - sizes.get((r, fold), 0))
         acc = accuracy(model.transform(te)).first()["accuracy"]
-        return (float(c), r, fold, float(acc) if acc is not None else None)
+        return (float(c), r, fold, int(sizes.get((r, fold), 0)),
+                float(acc) if acc is not None else None)
 
     tasks = [(c, r, f) for c in grid for r in range(repeats) for f in range(k)]
     if parallelism is None:  # fits are mostly scheduling-bound: overlap them
@@ -201,4 +206,4 @@ def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_R
     finally:
         folded.unpersist()
     return spark.createDataFrame(rows, "inverse_reg double, repeat int, fold int, "
-                                       "accuracy double")
+                                       "n_test long, accuracy double")

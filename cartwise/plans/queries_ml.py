@@ -174,32 +174,40 @@ def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- H7b ---------------------------------------------------------------------
-@register("assign_cluster", osql.with_ctes(osql.GEO_AVG_CTE, body="""
-SELECT vec_id, nearest_zip FROM (
-  SELECT e.vec_id, g.geolocation_zip_code_prefix AS nearest_zip,
+# The centres are a fixed table of k rows: the means of the k lowest zips.
+FIXED_CENTRES_CTE = f"""
+centres AS (
+  SELECT row_number() OVER (ORDER BY geolocation_zip_code_prefix) - 1 AS cluster,
+         geolocation_lat, geolocation_lng
+  FROM r_geo_avg ORDER BY geolocation_zip_code_prefix LIMIT {ml.KMEANS_K})"""
+
+
+def fixed_centres(spark: SparkSession, sf: str) -> list[tuple[float, float]]:
+    """The k rows of the fixed centre table, in cluster order."""
+    zips = agg.geo_average(tables(spark, sf)["geolocation"])
+    return [(r["geolocation_lat"], r["geolocation_lng"]) for r in
+            zips.orderBy("geolocation_zip_code_prefix").limit(ml.KMEANS_K).collect()]
+
+
+@register("assign_cluster", osql.with_ctes(osql.GEO_AVG_CTE, FIXED_CENTRES_CTE, body="""
+SELECT vec_id, CAST(cluster AS INTEGER) AS location_cluster FROM (
+  SELECT e.vec_id, c.cluster,
          row_number() OVER (PARTITION BY e.vec_id ORDER BY
-           (CAST(e.embedding[1] AS DOUBLE) - g.geolocation_lat)
-             * (CAST(e.embedding[1] AS DOUBLE) - g.geolocation_lat)
-           + (CAST(e.embedding[2] AS DOUBLE) - g.geolocation_lng)
-             * (CAST(e.embedding[2] AS DOUBLE) - g.geolocation_lng),
-           g.geolocation_zip_code_prefix) AS r
-  FROM embeddings e CROSS JOIN r_geo_avg g)
+           (CAST(e.embedding[1] AS DOUBLE) - c.geolocation_lat)
+             * (CAST(e.embedding[1] AS DOUBLE) - c.geolocation_lat)
+           + (CAST(e.embedding[2] AS DOUBLE) - c.geolocation_lng)
+             * (CAST(e.embedding[2] AS DOUBLE) - c.geolocation_lng),
+           c.cluster) AS r
+  FROM embeddings e CROSS JOIN centres c)
 WHERE r = 1"""))
 def q_assign_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    """Every raw geolocation point to the nearest zip centre (the centre
-    table is the zip averages; bounded by the number of zips)."""
-    t = tables(spark, sf)
-    zips = agg.geo_average(t["geolocation"]).orderBy("geolocation_zip_code_prefix")
+    """Every raw geolocation point to the nearest of k centres."""
     coords = ("geolocation_lat", "geolocation_lng")
-    rows = zips.limit(ml.MAX_CENTRES + 1).collect()
-    centres = [(r["geolocation_lat"], r["geolocation_lng"]) for r in rows]
-    ids = [r["geolocation_zip_code_prefix"] for r in rows]
     emb = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet").select(
         "vec_id", F.col("embedding")[0].cast("double").alias("geolocation_lat"),
         F.col("embedding")[1].cast("double").alias("geolocation_lng"))
-    out = ml.assign_nearest(emb, centres, coords, "_c")
-    lookup = F.array(*[F.lit(z) for z in ids])
-    return out.select("vec_id", F.element_at(lookup, F.col("_c") + 1).alias("nearest_zip"))
+    return ml.assign_nearest(emb, fixed_centres(spark, sf), coords, "location_cluster").select(
+        "vec_id", "location_cluster")
 
 
 # --- H7a (model) -------------------------------------------------------------

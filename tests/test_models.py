@@ -37,11 +37,9 @@ def test_kmeans_best_of_starts_and_nearest_assignment(spark):
     assert cost <= cost1 + 1e-9
 
 
-def test_assign_nearest_null_and_bound(spark):
+def test_assign_nearest_null(spark):
     df = spark.createDataFrame([(None, 1.0)], "x double, y double")
     assert ml.assign_nearest(df, [(0.0, 0.0)], ("x", "y"), "c").first().c is None
-    with pytest.raises(ValueError):
-        ml.assign_nearest(df, [(0.0, 0.0)] * (ml.MAX_CENTRES + 1), ("x", "y"), "c")
 
 
 def test_stratified_folds_are_balanced(spark):
@@ -114,14 +112,51 @@ def test_entry_smoke(spark):
     assert F is not None
 
 
-def test_rank_within_matches_window(spark):
+def test_rank_by_digest_matches_window(spark):
     from pyspark.sql import Window
 
     r = random.Random(5)
-    data = [(r.choice(["hot"] * 8 + ["a", "b", None]), r.randrange(1000), i)
-            for i in range(3000)]
-    df = spark.createDataFrame(data, "g string, v int, i int").repartition(13)
-    got = {row.i: row._rn for row in ml.rank_within(df, "g", ["v", "i"]).collect()}
-    w = Window.partitionBy("g").orderBy("v", "i")
+    data = [(r.choice(["hot"] * 8 + ["a", "b", None]), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, i int").repartition(13)
+    digest = F.md5(F.col("i").cast("string"))
+    w = Window.partitionBy("g").orderBy(digest, "i")
     want = {row.i: row.rn for row in df.withColumn("rn", F.row_number().over(w)).collect()}
-    assert got == want
+    for digits in (1, 3):
+        got = ml.rank_by_digest(df, "g", digest, ["i"], digits=digits).collect()
+        assert {row.i: row._rn for row in got} == want and len(got) == len(data)
+
+
+@pytest.mark.parametrize("aqe,partitions", [("true", "8"), ("true", "200"), ("false", "8")])
+def test_folds_keep_every_row_of_a_large_table(spark, aqe, partitions):
+    """A million wide rows, three classes and NULL labels, over many partitions."""
+    from pyspark.sql import Window
+
+    n = 1_000_000
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled",
+                                          "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(n).select(
+            F.col("id").alias("k"),
+            F.when(F.col("id") % 50 > 0, (F.hash("id") % 3).cast("int")).alias("label"),
+            F.array(*[(F.col("id") * j).cast("double") for j in range(12)]).alias("features"))
+        out = ml.stratified_folds(df, "k")
+        digest = F.md5(F.concat_ws(":", F.lit("42"), F.lit("0"), F.col("k").cast("string")))
+        plain = df.select("k", "label").withColumn(
+            "rn", F.row_number().over(Window.partitionBy("label").orderBy(digest, "k")))
+        sizes = [(r.label, r["count"]) for r in df.groupBy("label").count()
+                 .orderBy(F.col("label").asc_nulls_first()).collect()]
+        offset, case = 0, F.lit(None).cast("long")
+        for label, size in sizes:
+            case = F.when(F.col("label").eqNullSafe(F.lit(label)), offset).otherwise(case)
+            offset += size
+        want = plain.select(F.col("k").alias("wk"), ((case + F.col("rn") - 1) % 5).alias("wf"))
+        got = out.select("k", "fold", F.size("features").alias("n")).join(
+            want, F.col("k") == F.col("wk")).agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("d"),
+            F.sum((F.col("fold") != F.col("wf")).cast("int")).alias("bad")).first()
+        assert (got["n"], got["d"], got["bad"]) == (n, n, 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
