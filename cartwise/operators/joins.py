@@ -10,12 +10,11 @@ NULL rules are offered:
 Both give the same rows whenever one side has no NULL key, which holds
 for every dimension table the engine joins.
 
-Scale notes.  A full outer join cannot be broadcast and its output has
-no known partitioning, so a chain of them re-shuffles the growing wide
-row at every step.  When one side is a dimension whose size is checked
-(``bounded_broadcast``), ``full_outer_with_small`` rewrites
-``big FULL JOIN small`` as ``big LEFT JOIN broadcast(small)`` plus the
-small rows no big row matched.  The big side then is not shuffled at all.
+Scale notes.  A full outer join cannot be broadcast or split, and its output
+has no known partitioning, so a chain of them re-shuffles the growing wide row
+at every step.  When one side is a dimension, ``full_outer_with_dimension``
+writes ``big FULL JOIN dim`` as ``big LEFT JOIN dim`` plus the rows of ``dim``
+that nothing matched, and the planner and AQE choose how.
 """
 
 from __future__ import annotations
@@ -30,37 +29,22 @@ def _as_list(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast only if it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the
-    frame is returned unchanged and the planner (with AQE) picks a
-    shuffled join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def full_outer(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                null_safe: bool = False) -> DataFrame:
     """Full outer join on named keys with one merged column per key.
 
-    Under SQL semantics a row with a NULL key never matches, so such rows
-    bypass the join and are added back padded: otherwise they all hash to
-    one reducer, and AQE cannot split skew in a full outer join."""
+    Under SQL semantics a row with a NULL key never matches.  Such rows would
+    all hash to one reducer, which AQE cannot split in a full outer join; a
+    salt joins the keys, 0 for whole keys and a row hash of a different sign
+    on each side else, so they spread and still match nothing.  Each input is
+    read once.  A hot key that isn't NULL stays in one task: where one side is
+    a dimension use ``full_outer_with_dimension``, whose left join AQE splits.
+    With ``null_safe`` all NULL keys of one side meet all of the other, which
+    is the semantics asked for, in one task."""
     keys = _as_list(on)
     if not null_safe:
-        has_null = None
-        for k in keys:
-            c = F.col(k).isNull()
-            has_null = c if has_null is None else has_null | c
-        joined = left.where(~has_null).join(right.where(~has_null), keys, "full")
-        types = dict(left.dtypes) | dict(right.dtypes)
-        return (joined
-                .unionByName(pad_to(left.where(has_null), joined.columns, types))
-                .unionByName(pad_to(right.where(has_null), joined.columns, types)))
+        salted = [_null_salt(left, keys, 1), _null_salt(right, keys, -1)]
+        return salted[0].join(salted[1], [*keys, "__salt"], "full").drop("__salt")
     l, r = left.alias("_l"), right.alias("_r")
     cond = None
     for k in keys:
@@ -97,59 +81,56 @@ def pad_to(df: DataFrame, columns: Sequence[str], types: dict[str, str]) -> Data
     ])
 
 
-def full_outer_with_small(big: DataFrame, small: DataFrame, key: str,
-                          small_keys_seen: DataFrame | None = None,
-                          max_small_rows: int = 2_000_000) -> DataFrame:
-    """``big FULL JOIN small USING (key)`` without shuffling ``big``.
-
-    ``small_keys_seen`` is a one-column frame holding every non-NULL ``key``
-    value of ``big``; pass a narrower source of the same keys when one
-    exists (for example the fact table the key came from), which saves a
-    pass over the wide ``big``.  If ``small`` exceeds ``max_small_rows`` the
-    plain shuffled full outer join is used.  SQL NULL semantics.
+def _null_salt(df: DataFrame, keys: list[str], sign: int) -> DataFrame:
+    has_null = F.lit(False)
+    for k in keys:
+        has_null = has_null | F.col(k).isNull()
+    # 2**62 values of the side's own sign
+    spread = (F.shiftrightunsigned(F.xxhash64(*df.columns), 2) + 1) * sign
+    return df.withColumn("__salt", F.when(has_null, spread).otherwise(0).cast("long"))
+
+
+def full_outer_with_dimension(big: DataFrame, dim: DataFrame, key: str,
+                              keys_seen: DataFrame | None = None) -> DataFrame:
+    """``big FULL JOIN dim USING (key)`` as a left join plus the rows of
+    ``dim`` that no row of ``big`` matches.
+
+    The planner broadcasts ``dim`` where its size allows, and else AQE can
+    split a hot key of ``big``, as it cannot in a full outer join.
+    ``keys_seen`` is a one-column frame holding every non-NULL ``key`` value of
+    ``big``; pass a narrower source of the same keys when one exists (for
+    example the fact table the key came from), which saves a pass over the
+    wide ``big``.  SQL NULL semantics.
     """
-    small_b, ok = bounded_broadcast(small, max_small_rows)
-    if not ok:
-        return full_outer(big, small, key)
-    matched = big.join(small_b, key, "left")
-    seen = (small_keys_seen if small_keys_seen is not None else big.select(key))
+    matched = big.join(dim, key, "left")
+    seen = keys_seen if keys_seen is not None else big.select(key)
     seen = seen.where(F.col(key).isNotNull()).distinct()
-    orphans = small.join(seen, key, "left_anti")
-    types = dict(big.dtypes) | dict(small.dtypes)
+    orphans = dim.join(seen, key, "left_anti")
+    types = dict(big.dtypes) | dict(dim.dtypes)
     return matched.unionByName(pad_to(orphans, matched.columns, types))
 
 
 def left_join_prefixed(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
-                       rename: dict[str, str], broadcast_right: bool = False) -> DataFrame:
+                       rename: dict[str, str]) -> DataFrame:
     """Left join with differently named keys, renaming the
     right-side value columns and dropping the right key (S16)."""
     r = right.select(F.col(right_on).alias("__rk"),
                      *[F.col(src).alias(dst) for src, dst in rename.items()])
-    if broadcast_right:
-        r = F.broadcast(r)
     return left.join(r, left[left_on] == r["__rk"], "left").drop("__rk")
 
 
 def join_coordinates(data: DataFrame, zip_table: DataFrame, left_on: str, role: str,
                      value_columns: Sequence[str] = ("geolocation_lat", "geolocation_lng"),
                      zip_column: str = "geolocation_zip_code_prefix",
-                     cluster_column: str | None = None,
-                     max_zip_rows: int = 2_000_000,
-                     broadcast: bool | None = None) -> DataFrame:
+                     cluster_column: str | None = None) -> DataFrame:
     """Add ``<role>_geolocation_lat/lng`` (and optionally the
-    ``<role>_location_cluster``) for a zip column, in one left join.
-
-    The zip table is a dimension bounded by the number of zip prefixes; its
-    size is checked before it is broadcast (pass ``broadcast`` to reuse an
-    earlier check of the same table).
+    ``<role>_location_cluster``) for a zip column, in one left join.  Whether
+    the zip table is broadcast is the planner's choice.
     """
     rename = {c: f"{role}_{c}" for c in value_columns}
     if cluster_column is not None:
         rename[cluster_column] = f"{role}_location_cluster"
-    if broadcast is None:
-        broadcast = bounded_broadcast(zip_table, max_zip_rows)[1]
-    return left_join_prefixed(data, zip_table, left_on, zip_column, rename,
-                              broadcast_right=broadcast)
+    return left_join_prefixed(data, zip_table, left_on, zip_column, rename)
 
 
 def translate_categories(data: DataFrame, translation: DataFrame,
@@ -162,11 +143,9 @@ def translate_categories(data: DataFrame, translation: DataFrame,
     ``how='full'`` a translation no row uses adds a row that is NULL
     elsewhere (S14)."""
     if how == "left":
-        tr, _ = bounded_broadcast(translation, 2_000_000)
-        out = data.join(tr, category, "left")
+        out = data.join(translation, category, "left")
     elif how == "full":
-        out = full_outer_with_small(data, translation, category,
-                                    small_keys_seen=categories_seen)
+        out = full_outer_with_dimension(data, translation, category, categories_seen)
     else:
         raise ValueError(how)
     cols = [c for c in out.columns if c not in (category, english)]

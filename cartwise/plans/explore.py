@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from cartwise.operators import aggregates as agg
 from cartwise.operators import filters
-from cartwise.operators.joins import translate_categories
+from cartwise.operators.joins import full_outer_with_dimension, translate_categories
 from cartwise.operators.sequences import first_last_label
 
 CU = "customer_unique_id"
@@ -21,7 +21,8 @@ PURCHASE_ORDER = ("order_purchase_timestamp", "order_id", "product_id",
 
 def orders_with_person(t: dict[str, DataFrame]) -> DataFrame:
     """orders FULL JOIN customers[customer_id, customer_unique_id]."""
-    return t["orders"].join(t["customers"].select("customer_id", CU), "customer_id", "full")
+    people = t["customers"].select("customer_id", CU)
+    return full_outer_with_dimension(t["orders"], people, "customer_id")
 
 
 def orders_per_person(t: dict[str, DataFrame]) -> DataFrame:
@@ -71,8 +72,10 @@ def pair_counts(t: dict[str, DataFrame], n_orders: int = 2, more_than: int = 1)
     return agg.value_counts(category_pairs(rows), "pair", more_than)
 
 
-def orders_histogram(t: dict[str, DataFrame], low: int = 2, high: int = 8) -> DataFrame:
-    """Number of people per order count, for repeat buyers in range."""
+def orders_histogram(t: dict[str, DataFrame], low: int | None = None,
+                     high: int | None = None) -> DataFrame:
+    """Number of people per order count, for all repeat buyers; ``low``
+    and ``high`` cut a visible range."""
     counts = filters.greater_than(orders_per_person(t), "order_id", 1)
     return agg.histogram(counts, "order_id", low, high).withColumnRenamed(
         "order_id", "n_orders")

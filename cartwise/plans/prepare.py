@@ -24,9 +24,12 @@ the plan is re-ordered for a cluster:
    anti joins that reuse the same exchanges, and joined among themselves;
    the dimension rows nothing refers to are added by anti joins against the
    narrow fact columns the keys came from -- not against the wide table.
-3. zips and translation are bounded dimensions and broadcast.
+3. zips and translation are dimensions: left joins, translation rows that
+   nothing refers to by an anti join.
 
-``null_safe=True`` runs the literal chain with NULL-matches-NULL keys.
+The literal chain runs with ``null_safe=True`` (NULL matches NULL), and where
+the tables share another column than the keys above: there a full outer join
+must compare all shared columns, and each table is still read once.
 """
 
 from __future__ import annotations
@@ -151,11 +154,10 @@ def complete_data(t: dict[str, DataFrame], zip_table: DataFrame | None = None,
         wide = _fast_chain(t)
     if zip_table is not None:
         cluster = "location_cluster" if "location_cluster" in zip_table.columns else None
-        small = joins.bounded_broadcast(zip_table, 2_000_000)[1]  # one check, two roles
         for role, zip_col in (("customer", "customer_zip_code_prefix"),
                               ("seller", "seller_zip_code_prefix")):
             wide = joins.join_coordinates(wide, zip_table, zip_col, role,
-                                          cluster_column=cluster, broadcast=small)
+                                          cluster_column=cluster)
     if translate:
         seen = None if null_safe else _keys(t["products"], "product_category_name")
         if null_safe:

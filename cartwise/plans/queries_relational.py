@@ -280,7 +280,7 @@ def q_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
 # --- D10 ---------------------------------------------------------------------
 @register("orders_histogram", osql.with_ctes(PERSON_ORDERS_CTE, body="""
 SELECT order_id AS n_orders, count(*) AS n_keys FROM person_orders
-WHERE order_id > 1 AND order_id BETWEEN 2 AND 8 GROUP BY order_id"""))
+WHERE order_id > 1 GROUP BY order_id"""))
 def q_orders_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return explore.orders_histogram(tables(spark, sf))
 
