@@ -3,10 +3,8 @@ expressions: they stay inside whole-stage code generation, no UDF."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The timestamp text format of the source files and the id
 # prefix length used in reports.
@@ -51,28 +49,35 @@ def last_part(joined: Column, sep: str = ", ") -> Column:
     return F.element_at(F.split(joined, sep, -1), -1)
 
 
-def pair_label(first: Column, second: Column) -> Column:
-    """``order_1: <a>, order_2: <b>``."""
-    return F.concat(F.lit("order_1: "), first, F.lit(", order_2: "), second)
-
-
 def fixed_width(label: Column, value: Column, left: int = 35, right: int = 15) -> Column:
     """Label left-aligned in ``left`` characters, value right-aligned in
     ``right``; padding never cuts a longer text."""
     return F.format_string(f"%-{left}s%{right}s", label, value)
 
 
-@F.pandas_udf(StringType())
-def _python_two_decimals(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: "nan" if pd.isna(v) else f"{v:.2f}")
-
-
 def two_decimals(x: Column) -> Column:
-    """Number as text with two decimals, rounded as Python's format does
-    (the correctly rounded binary value; Java's ``%.2f`` rounds the shortest
-    decimal string half-up, 0.125 -> 0.13).  A small Arrow-batched helper,
-    used on report lines only; NULL prints as ``nan``."""
-    return _python_two_decimals(x.cast("double"))
+    """Number as text with two decimals, rounded as Python's format does:
+    by the exact binary value, a true tie to the even digit (Java's ``%.2f``
+    rounds the shortest decimal text instead, 0.125 -> 0.13).
+
+    The fraction is cut at 2**-26 into two parts whose products with 100 are
+    exact, so the distance from a tie has the right sign.  NULL and NaN print
+    as ``nan``.  For amounts below 2**53 cents."""
+    v = F.abs(x.cast("double"))
+    whole = F.floor(v)
+    frac = v - whole
+    high = F.floor(frac * F.lit(67108864.0)) / F.lit(67108864.0)
+    low = frac - high
+    guess = F.floor(frac * 100.0)
+    # the guess is one too many if the product was rounded up to it
+    cents = F.when((high * 100.0 - guess) + low * 100.0 < 0, guess - 1).otherwise(guess)
+    over = (high * 100.0 - cents - 0.5) + low * 100.0
+    up = (over > 0) | ((over == 0) & (cents % 2 == 1))
+    total = (whole * 100 + cents + F.when(up, 1).otherwise(0)).cast("long")
+    negative = (x < 0) | x.cast("string").startswith("-")
+    text = F.concat(F.when(negative, "-").otherwise(""), F.floor(total / 100).cast("string"),
+                    F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), "nan").otherwise(text)
 
 
 def centered(text: Column, width: int = 50, fill: str = "#") -> Column:
@@ -85,15 +90,13 @@ def centered(text: Column, width: int = 50, fill: str = "#") -> Column:
     return F.concat(F.repeat(F.lit(fill), left), text, F.repeat(F.lit(fill), right))
 
 
-def fixed_point_sum(x: Column, decimals: int) -> Column:
-    """Exact sum of a fixed-point column with ``decimals`` decimals: the
-    scaled integers are summed as DECIMAL(38,0), so the result does not
-    depend on the order a distributed aggregation adds the rows in."""
-    return F.sum(F.round(x * F.lit(10.0 ** decimals)).cast("decimal(38,0)"))
+# Means of money are compared and printed to this many decimals.  Many of them
+# are ties there, which the order of a distributed sum would decide; a tenth of
+# a millionth of the unit moves every tie to the same side.
+MONEY_DECIMALS = 6
+TIE_SHIFT = 1e-10
 
 
-def fixed_point_mean(total: Column, count: Column, decimals: int) -> Column:
-    """Mean from an exact scaled-integer ``total`` (see ``fixed_point_sum``)
-    and a row ``count``: one conversion, one division -- the correctly
-    rounded double of the exact mean."""
-    return total.cast("double") / (count.cast("double") * F.lit(10.0 ** decimals))
+def money(x: Column) -> Column:
+    """A mean to MONEY_DECIMALS decimals, ties up, whatever the order of summation."""
+    return F.round(x + F.lit(TIE_SHIFT), MONEY_DECIMALS)

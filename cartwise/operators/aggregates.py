@@ -12,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.functions.scalar import (days_floor, fixed_point_mean, fixed_point_sum,
-                                      seconds_between)
-from cartwise.sources.retail_view import FREIGHT_DECIMALS, PRICE_DECIMALS
+from cartwise.functions.scalar import days_floor, seconds_between
 
 # Coordinates are averaged per zip and kept to 1e-12 degrees so that the
 # value does not depend on the summation order of a distributed average.
@@ -56,14 +54,10 @@ def purchase_estimates(rows: DataFrame, group_by: Sequence[str],
                        price: str = "price", freight: str = "freight_value",
                        purchased: str = "order_purchase_timestamp",
                        delivered: str = "order_delivered_customer_date") -> DataFrame:
-    """D5 + D6 per group: mean price, mean freight (exact fixed-point
-    means) and the floored mean delivery time in days (NULL parts skipped,
+    """D5 + D6 per group: mean price, mean freight and the floored mean delivery time in days (NULL parts skipped,
     NULL if none)."""
     return rows.groupBy(*group_by).agg(
-        fixed_point_mean(fixed_point_sum(F.col(price), PRICE_DECIMALS), F.count(price),
-                         PRICE_DECIMALS).alias("estimated_price"),
-        fixed_point_mean(fixed_point_sum(F.col(freight), FREIGHT_DECIMALS),
-                         F.count(freight), FREIGHT_DECIMALS).alias("shipping_price"),
+        F.avg(price).alias("estimated_price"), F.avg(freight).alias("shipping_price"),
         days_floor(F.avg(seconds_between(F.col(purchased), F.col(delivered))))
         .alias("estimated_delivery_time"),
     )

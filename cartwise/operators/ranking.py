@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
+# Spark plans a group limit for ranks up to this (its default threshold).
+GROUP_LIMIT = 1000
+SALTS = 32
 
 
 def top_n_per_group(data: DataFrame, group: Sequence[str], order: Sequence[Column],
@@ -24,6 +27,26 @@ def top_n_per_group(data: DataFrame, group: Sequence[str], order: Sequence[Colum
     return data.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
+def top_within(data: DataFrame, group: Sequence[str], order: Sequence[Column],
+               n: int | Column, salt_on: Sequence[str], out: str = "rank") -> DataFrame:
+    """The first ``n`` rows per group in ``order``, for any depth.
+
+    Up to the engine's own limit (GROUP_LIMIT) a plain rank is planned with a
+    ``WindowGroupLimit``.  For a deeper or a per-group depth the rows are cut
+    in SALTS parts of each group first, dealt by a hash of ``salt_on``: a hot
+    group sorts in as many tasks, and SALTS * n of its rows at most meet in
+    the last step.
+    """
+    if isinstance(n, int) and n <= GROUP_LIMIT:
+        return top_n_per_group(data, group, order, n, out)
+    salted = data.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)))
+    part = Window.partitionBy(*group, "__salt").orderBy(*order)
+    some = (salted.withColumn("__part", F.row_number().over(part))
+            .where(F.col("__part") <= n).drop("__salt", "__part"))
+    return (some.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+            .where(F.col(out) <= n))
+
+
 def sample_key(seed: int | str, *keys: Column) -> Column:
     """md5 of ``seed:key1:key2...``; the same text in DuckDB."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cartwise.functions.scalar import MONEY_DECIMALS, TIE_SHIFT
 from cartwise.operators.aggregates import COORD_DECIMALS
 from cartwise.sources.retail_view import RETAIL_CTES
 
@@ -68,8 +69,6 @@ def with_complete(*ctes: str, body: str) -> str:
     return with_ctes(GEO_AVG_CTE, CHAIN_CTE, COMPLETE_CTE, *ctes, body=body)
 
 
-def exact_mean_sql(col: str, decimals: int) -> str:
-    """DuckDB text of ``scalar.fixed_point_mean(fixed_point_sum(...))``."""
-    scale = f"{10.0 ** decimals!r}"
-    return (f"CAST(sum(CAST(round({col} * {scale}) AS DECIMAL(38,0))) AS DOUBLE)"
-            f" / (CAST(count({col}) AS DOUBLE) * {scale})")
+def money_sql(x: str) -> str:
+    """DuckDB text of ``scalar.money``."""
+    return f"round({x} + {TIE_SHIFT}, {MONEY_DECIMALS})"

@@ -13,7 +13,7 @@ from cartwise.plans import recommend as rec
 from cartwise.plans.catalog import register
 from cartwise.plans.prepare import total_order
 from cartwise.plans.queries_core import category_top_products, wide
-from cartwise.sources.retail_view import FREIGHT_DECIMALS, PRICE_DECIMALS
+from cartwise.functions.scalar import money
 
 # Parameters of the registered queries.  With the retail binding a
 # customer has about 40 joined rows, so the cohort uses n = 37 rows
@@ -107,8 +107,8 @@ near AS (
 chosen AS (SELECT DISTINCT u, product_id, c FROM near)""", f"""
 est AS (
   SELECT ch.u, ch.product_id,
-         {osql.exact_mean_sql("d.price", PRICE_DECIMALS)} AS estimated_price,
-         {osql.exact_mean_sql("d.freight_value", FREIGHT_DECIMALS)} AS shipping_price,
+         {osql.money_sql("avg(d.price)")} AS estimated_price,
+         {osql.money_sql("avg(d.freight_value)")} AS shipping_price,
          CAST(floor(avg(date_diff('second', d.order_purchase_timestamp,
                                   d.order_delivered_customer_date)) / 86400) AS BIGINT)
            AS estimated_delivery_time
@@ -120,8 +120,6 @@ est AS (
 DRAWN_CTES = drawn_ctes(ESTIMATION_N, PRODUCT_NUMBER)
 NEAR_CTES = near_ctes(ESTIMATION_N)
 
-MONEY_DECIMALS = 6
-
 
 def cohort_predictions(data: DataFrame, n: int = COHORT_N) -> DataFrame:
     """Prediction rows for the oracle-checkable flow: every cohort customer
@@ -134,7 +132,7 @@ def cohort_predictions(data: DataFrame, n: int = COHORT_N) -> DataFrame:
 
 
 def _money(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*[F.round(c, MONEY_DECIMALS).alias(c) if c in cols else F.col(c)
+    return df.select(*[money(F.col(c)).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
@@ -219,10 +217,8 @@ def q_same_purchase(spark: SparkSession, sf: str) -> DataFrame:
 # --- D5 / D6 over the cohort's purchases ------------------------------------
 @register("estimate_price", osql.with_complete(*COHORT_CTES[:4], body=f"""
 SELECT product_id,
-       round({osql.exact_mean_sql("price", PRICE_DECIMALS)}, {MONEY_DECIMALS})
-         AS estimated_price,
-       round({osql.exact_mean_sql("freight_value", FREIGHT_DECIMALS)}, {MONEY_DECIMALS})
-         AS shipping_price
+       {osql.money_sql("avg(price)")} AS estimated_price,
+       {osql.money_sql("avg(freight_value)")} AS shipping_price
 FROM r_complete WHERE customer_unique_id IN (SELECT customer_unique_id FROM cohort2)
 GROUP BY product_id"""))
 def q_estimate_price(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,9 +297,7 @@ def q_closest_customers(spark: SparkSession, sf: str) -> DataFrame:
 @register("expected_values", osql.with_complete(*COHORT_CTES, *DRAWN_CTES, *NEAR_CTES,
                                                 body=f"""
 SELECT u AS customer_unique_id, product_id,
-       round(estimated_price, {MONEY_DECIMALS}) AS estimated_price,
-       round(shipping_price, {MONEY_DECIMALS}) AS shipping_price,
-       estimated_delivery_time FROM est"""))
+       estimated_price, shipping_price, estimated_delivery_time FROM est"""))
 def q_expected_values(spark: SparkSession, sf: str) -> DataFrame:
     d = wide(spark, sf)
     pairs = drawn_pairs(d).select(rec.CUSTOMER, rec.PRODUCT, "pred_lat", "pred_lng")
@@ -314,8 +308,7 @@ def q_expected_values(spark: SparkSession, sf: str) -> DataFrame:
 # --- I8 ----------------------------------------------------------------------
 RECOMMEND_SQL = osql.with_complete(*COHORT_CTES, *DRAWN_CTES, *NEAR_CTES, body=f"""
 SELECT dw.u AS customer_unique_id, p.cat AS predicted_category, dw.product_id,
-       dw.review_score, round(e.estimated_price, {MONEY_DECIMALS}) AS estimated_price,
-       round(e.shipping_price, {MONEY_DECIMALS}) AS shipping_price,
+       dw.review_score, e.estimated_price, e.shipping_price,
        e.estimated_delivery_time, n.n_available
 FROM drawn dw JOIN preds p ON p.u = dw.u JOIN navail n ON n.u = dw.u
 LEFT JOIN est e ON e.u = dw.u AND e.product_id = dw.product_id""")

@@ -20,13 +20,17 @@ work bounded at scale:
   then needs only the first ``estimation_n + s_u`` ranks of its category,
   where ``s_u`` counts the products u alone bought there.  The ranks are
   generated per customer and equi-joined -- no customer x product pairs.
+  A category's ranking goes as deep as its own customers need.
 * Step 5 orders rows by distance, then customer (the reference's sort is
   unstable, so any tie order is valid; this one keeps a customer's rows
-  together).  Rows are pre-aggregated to *units* (product, customer,
-  location); a location class is only expanded when it can hold one of the
-  first ``n_nearest`` units, and each location contributes at most
-  ``n_nearest + 1`` customers.  A hot product therefore costs one
-  aggregate pass, not one pass per customer that was recommended it.
+  together).  The distance depends on the product and the place only, so the
+  search runs once for each distinct (product, place) and its result is joined
+  to the customers there, who leave out their own rows.  Rows are
+  pre-aggregated to *units* (product, customer, location), written once; each
+  location contributes at most ``n_nearest + 1`` customers.  The search costs
+  places x locations of a product, not customers x locations.
+* Rankings deeper than the engine's group limit are cut in salted parts first,
+  so a hot group never sorts whole in one task.
 """
 
 from __future__ import annotations
@@ -34,11 +38,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.functions.scalar import (days_floor, fixed_point_mean, fixed_point_sum,
-                                      l1_distance, seconds_between)
-from cartwise.sources.retail_view import FREIGHT_DECIMALS, PRICE_DECIMALS
+from cartwise.functions.scalar import days_floor, l1_distance, money, seconds_between
 from cartwise.operators.aggregates import avg_score_per_product
-from cartwise.operators.ranking import DEFAULT_SEED, sample_key
+from cartwise.operators.ranking import DEFAULT_SEED, sample_key, top_within
+from cartwise.session import stored
 
 CUSTOMER = "customer_unique_id"
 CATEGORY = "product_category_name"
@@ -71,17 +74,18 @@ def category_product_summary(data: DataFrame) -> DataFrame:
 
 
 def ranked_category_products(data: DataFrame, scores: DataFrame,
-                             max_rank: int | None = None,
+                             depth: DataFrame | None = None,
                              summary: DataFrame | None = None) -> DataFrame:
-    """Per category, products ranked by score (desc, NULL last), then id.
-    With ``max_rank`` only the first ranks are kept, which Spark runs as a
-    ``WindowGroupLimit`` (a large category never sorts whole in one task)."""
-    w = Window.partitionBy(CATEGORY).orderBy(F.col("review_score").desc_nulls_last(),
-                                             F.col(PRODUCT).asc())
+    """Per category, products ranked by score (desc, NULL last), then id; with
+    ``depth`` (category, ``_depth``) its categories only, each to its depth."""
     summary = summary if summary is not None else category_product_summary(data)
-    out = (summary.join(scores, PRODUCT)
-           .withColumn("cat_rank", F.row_number().over(w)))
-    return out if max_rank is None else out.where(F.col("cat_rank") <= max_rank)
+    scored = summary.join(scores, PRODUCT)
+    order = [F.col("review_score").desc_nulls_last(), F.col(PRODUCT).asc()]
+    if depth is None:
+        return scored.withColumn("cat_rank", F.row_number().over(
+            Window.partitionBy(CATEGORY).orderBy(*order)))
+    return top_within(scored.join(depth, CATEGORY), [CATEGORY], order, F.col("_depth"),
+                      salt_on=[PRODUCT], out="cat_rank").drop("_depth")
 
 
 def sole_counts(preds: DataFrame, data: DataFrame,
@@ -124,60 +128,68 @@ def draw_products(top: DataFrame, product_number: int, seed=DEFAULT_SEED) -> Dat
 
 def purchase_units(data: DataFrame, products: DataFrame) -> DataFrame:
     """One aggregate over the rows of the given products: per unit
-    (product, customer, location) the row count and the exact sums the
-    estimates need.  NULL customer and NULL location are groups too."""
+    (product, customer, location) the row count and the sums the estimates
+    need.  NULL customer and NULL location are groups too."""
     rows = data.join(products.select(PRODUCT).distinct(), PRODUCT, "left_semi")
     secs = seconds_between(F.col("order_purchase_timestamp"),
                            F.col("order_delivered_customer_date"))
     return rows.groupBy(PRODUCT, CUSTOMER, LAT, LNG).agg(
         F.count(F.lit(1)).alias("_rows"),
-        fixed_point_sum(F.col("price"), PRICE_DECIMALS).alias("_sp"),
-        F.count("price").alias("_cp"),
-        fixed_point_sum(F.col("freight_value"), FREIGHT_DECIMALS).alias("_sf"),
-        F.count("freight_value").alias("_cf"),
+        F.sum("price").alias("_sp"), F.count("price").alias("_cp"),
+        F.sum("freight_value").alias("_sf"), F.count("freight_value").alias("_cf"),
         F.sum(secs).alias("_ss"), F.count(secs).alias("_cs"))
 
 
+def places_near(pairs: DataFrame, units: DataFrame, n_nearest: int) -> DataFrame:
+    """For each distinct (product, ``_place``) of ``pairs``: the units nearest
+    to it (``_c``, location, ``_rows``, ``_d``), in order of distance, then
+    customer, ``_extra`` more than ``n_nearest`` of them, the most that one of
+    the customers there owns itself."""
+    key, cls = [CUSTOMER, PRODUCT], [PRODUCT, "_place"]
+    own = (pairs.join(units.select(*key), key).groupBy(*key)
+           .agg(F.count(F.lit(1)).alias("_own")))
+    places = (pairs.join(own, key, "left").groupBy(*cls)
+              .agg(F.coalesce(F.max("_own"), F.lit(0)).alias("_extra")))
+    # a location never contributes more than n_nearest + 1 units (u at most once)
+    units = top_within(units, [PRODUCT, LAT, LNG], [F.col(CUSTOMER).asc_nulls_last()],
+                       n_nearest + 1, salt_on=[CUSTOMER], out="_crn").drop("_crn")
+    locs = units.groupBy(PRODUCT, LAT, LNG).agg(F.count(F.lit(1)).alias("_units"))
+
+    # locations that can hold one of the first n_nearest + _extra units
+    pl = places.join(locs, PRODUCT).withColumn(
+        "_d", l1_distance(F.col(LAT), F.col(LNG), F.col("_place.lat"), F.col("_place.lng")))
+    by_d = Window.partitionBy(*cls).orderBy(F.col("_d").asc_nulls_last()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    same_d = Window.partitionBy(*cls, "_d")
+    pl = (pl.withColumn("_before", F.sum("_units").over(by_d) - F.sum("_units").over(same_d))
+          .where(F.col("_before") < n_nearest + F.col("_extra"))
+          .select(*cls, "_extra", "_d", F.struct(LAT, LNG).alias("_at")))
+    near = pl.join(units.select(PRODUCT, F.col(CUSTOMER).alias("_c"), "_rows",
+                                F.struct(LAT, LNG).alias("_at")), [PRODUCT, "_at"])
+    return top_within(near, cls, _unit_order(), n_nearest + F.col("_extra"),
+                      salt_on=["_c", "_at"], out="_rk").drop("_rk", "_extra")
+
+
+def _unit_order():
+    """Units by distance, then customer, then location, NULLs last."""
+    return [F.asc_nulls_last(c) for c in ("_d", "_c", "_at." + LAT, "_at." + LNG)]
+
+
 def nearest_customers(pairs: DataFrame, data: DataFrame, n_nearest: int,
                       units: DataFrame | None = None) -> DataFrame:
     """per (customer u, product p) pair, the customers (``_c``; NULL is
     one of them) owning the ``n_nearest`` rows of p nearest to u, u's own
     rows left out.  ``pairs`` holds u, p, pred_lat, pred_lng."""
-    all_units = units if units is not None else purchase_units(data, pairs)
-    all_units = all_units.select(PRODUCT, CUSTOMER, LAT, LNG, "_rows")
-    # u's own units per pair: the class bound below may count them
-    own = (pairs.select(CUSTOMER, PRODUCT).join(all_units, [CUSTOMER, PRODUCT])
-           .groupBy(CUSTOMER, PRODUCT).agg(F.count(F.lit(1)).alias("_own")))
-    # a location never contributes more than n_nearest + 1 units (u at most once)
-    wc = Window.partitionBy(PRODUCT, LAT, LNG).orderBy(F.col(CUSTOMER).asc_nulls_last())
-    units = (all_units.withColumn("_crn", F.row_number().over(wc))
-             .where(F.col("_crn") <= n_nearest + 1))
-    locs = units.groupBy(PRODUCT, LAT, LNG).agg(F.count(F.lit(1)).alias("_units"))
-
-    # 1) location classes that can hold one of the first n units
-    pl = pairs.join(locs, PRODUCT).withColumn(
-        "_d", l1_distance(F.col(LAT), F.col(LNG), F.col("pred_lat"), F.col("pred_lng")))
+    units = units if units is not None else stored(purchase_units(data, pairs), "units")
+    units = units.select(PRODUCT, CUSTOMER, LAT, LNG, "_rows")
     key = [CUSTOMER, PRODUCT]
-    by_d = Window.partitionBy(*key).orderBy(F.col("_d").asc_nulls_last()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cls = Window.partitionBy(*key, "_d")
-    pl = pl.withColumn("_before", F.sum("_units").over(by_d) - F.sum("_units").over(cls))
-    # counted units minus u's own ones never exceed the true count, so this
-    # keeps every class that can hold one of the first n non-u units
-    pl = (pl.join(own, key, "left")
-          .where(F.col("_before") < n_nearest + F.coalesce(F.col("_own"), F.lit(0)))
-          .select(*key, LAT, LNG, "_d"))
-
-    # 2) the units of those locations, u left out, ordered by (distance, customer)
-    u = units.select(F.col(PRODUCT).alias("_up"), F.col(CUSTOMER).alias("_c"),
-                     F.col(LAT).alias("_ulat"), F.col(LNG).alias("_ulng"), "_rows")
-    cand = pl.join(u, (F.col(PRODUCT) == F.col("_up")) & F.col(LAT).eqNullSafe(F.col("_ulat"))
-                   & F.col(LNG).eqNullSafe(F.col("_ulng"))).where(
+    # as a struct, so that a missing coordinate equals itself in joins
+    pairs = pairs.select(*key, F.struct(F.col("pred_lat").alias("lat"),
+                                        F.col("pred_lng").alias("lng")).alias("_place"))
+    cand = pairs.join(places_near(pairs, units, n_nearest), [PRODUCT, "_place"]).where(
         ~F.coalesce(F.col("_c") == F.col(CUSTOMER), F.lit(False)))
-    wo = Window.partitionBy(*key).orderBy(F.col("_d").asc_nulls_last(),
-                                          F.col("_c").asc_nulls_last(),
-                                          F.col(LAT).asc_nulls_last(),
-                                          F.col(LNG).asc_nulls_last())
+    # n_nearest + _extra rows a pair at most
+    wo = Window.partitionBy(*key).orderBy(*_unit_order())
     cand = cand.withColumn("_rk", F.row_number().over(wo)).where(F.col("_rk") <= n_nearest)
     wcum = wo.rowsBetween(Window.unboundedPreceding, -1)
     cand = cand.withColumn("_rows_before", F.coalesce(F.sum("_rows").over(wcum), F.lit(0)))
@@ -190,17 +202,15 @@ def estimates_for(chosen: DataFrame, data: DataFrame,
     customers (NULL customer matches NULL, as ``isin`` does)."""
     key = [CUSTOMER, PRODUCT]
     units = units if units is not None else purchase_units(data, chosen)
-    # per (product, customer) totals of the exact partial sums
+    # per (product, customer) totals
     t = units.groupBy(PRODUCT, CUSTOMER).agg(
         *[F.sum(c).alias(c) for c in ("_sp", "_cp", "_sf", "_cf", "_ss", "_cs")])
     t = t.withColumnRenamed(CUSTOMER, "_tc").withColumnRenamed(PRODUCT, "_p")
     est = (chosen.join(t, (F.col(PRODUCT) == F.col("_p")) & F.col("_c").eqNullSafe(F.col("_tc")))
            .groupBy(*key).agg(
-               fixed_point_mean(F.sum("_sp"), F.sum("_cp"), PRICE_DECIMALS)
-               .alias("estimated_price"),
-               fixed_point_mean(F.sum("_sf"), F.sum("_cf"), FREIGHT_DECIMALS)
-               .alias("shipping_price"),
-               days_floor(F.sum("_ss") / F.sum("_cs")).cast("bigint")
+               F.try_divide(F.sum("_sp"), F.sum("_cp")).alias("estimated_price"),
+               F.try_divide(F.sum("_sf"), F.sum("_cf")).alias("shipping_price"),
+               days_floor(F.try_divide(F.sum("_ss"), F.sum("_cs"))).cast("bigint")
                .alias("estimated_delivery_time")))
     return est
 
@@ -215,14 +225,18 @@ def drawn_products(data: DataFrame, preds: DataFrame, product_number: int,
     # product_number) and referenced by several later joins: keep them once
     # instead of re-planning their lineage at every use
     preds = preds.select(*PRED_COLUMNS).persist()
-    # ranks beyond estimation_n + (most products one customer alone bought in
-    # its category) are never read: one small aggregate bounds the ranking
+    # ranks of a category beyond estimation_n + (most products that one of its
+    # customers alone bought there) are never read
     summary = category_product_summary(data).persist()  # one row per product
-    max_s = sole_counts(preds, data, summary).agg(F.max("_s")).first()[0] or 0
-    ranked = ranked_category_products(data, scores, estimation_n + max_s, summary)
+    alone = sole_counts(preds, data, summary)
+    depth = (preds.select(CUSTOMER, "predicted_category")
+             .join(alone, [CUSTOMER, "predicted_category"], "left")
+             .groupBy(F.col("predicted_category").alias(CATEGORY))
+             .agg((F.coalesce(F.max("_s"), F.lit(0)) + estimation_n).alias("_depth")))
+    ranked = ranked_category_products(data, scores, depth, summary)
     top = top_products_for(preds, ranked, estimation_n)
-    drawn = draw_products(top, product_number, seed).persist()
-    drawn.count()  # materialise the small result, then release its inputs
+    # the small result is written, and its inputs are released
+    drawn = stored(draw_products(top, product_number, seed), "drawn")
     preds.unpersist()
     summary.unpersist()
     return drawn
@@ -231,7 +245,7 @@ def drawn_products(data: DataFrame, preds: DataFrame, product_number: int,
 def expected_values(pairs: DataFrame, data: DataFrame, n_nearest: int) -> DataFrame:
     """Nearest customers (F6), then their estimates (D5, D6), both from
     one aggregate of the drawn products' rows."""
-    units = purchase_units(data, pairs)
+    units = stored(purchase_units(data, pairs), "units")
     return estimates_for(nearest_customers(pairs, data, n_nearest, units), data, units)
 
 
@@ -289,8 +303,8 @@ def report_lines(recs: DataFrame, customers: DataFrame) -> DataFrame:
         centered(F.lit(""), BANNER, "#"), F.lit(""), F.lit(""))).alias("_k", "line"),
         "_np").select(CUSTOMER, (F.lit(5) + 4 * F.col("_np") + F.col("_k")).alias("line_no"),
                       "line")
-    price = F.concat(two_decimals(F.col("estimated_price")), F.lit(" + "),
-                     two_decimals(F.col("shipping_price")), F.lit("R$"))
+    price = F.concat(two_decimals(money(F.col("estimated_price"))), F.lit(" + "),
+                     two_decimals(money(F.col("shipping_price"))), F.lit("R$"))
     days = F.concat(txt("estimated_delivery_time"), F.lit(" days"))
     prod = recs.select(CUSTOMER, "draw_rank", F.posexplode(F.array(
         fixed_width(F.lit(PRODUCT_LABELS[0]), id_prefix(F.col(PRODUCT)), LEFT, RIGHT),

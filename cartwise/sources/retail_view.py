@@ -26,9 +26,6 @@ ORPHAN_TRANSLATION = ("Orphan", "orphan")
 SECOND_PAYMENT_EVERY = 50
 # Orders with this status have no review (exercises NULL scores).
 UNREVIEWED_STATUS = "P"
-# Money is fixed-point: prices are in cents, freight = price x tax rate.
-PRICE_DECIMALS = 2
-FREIGHT_DECIMALS = 4
 # ---------------------------------------------------------------------------
 
 DRIVER_TABLES = ("customer", "orders", "lineitem", "part", "supplier", "embeddings")

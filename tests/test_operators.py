@@ -38,12 +38,40 @@ def test_natural_join_requires_shared_column(spark):
         joins.natural_full_outer(a, b)
 
 
-def test_full_outer_with_small_matches_plain(spark):
+def test_full_outer_with_dimension_matches_plain(spark):
     big = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (5, "d")], "k int, v string")
     small = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k int, w string")
-    a = joins.full_outer_with_small(big, small, "k")
+    a = joins.full_outer_with_dimension(big, small, "k")
     b = joins.full_outer(big, small, "k")
     assert rows(a, "k", "v", "w") == rows(b, "k", "v", "w")
+    assert rows(b, "k", "v", "w") == rows(big.join(small, "k", "full"), "k", "v", "w")
+
+
+def test_full_outer_reads_each_input_once_and_spreads_null_keys(spark, tmp_path):
+    for name, col in (("a", "x"), ("b", "y"), ("c", "z")):
+        spark.range(4000).select(F.when(F.col("id") < 9, F.col("id")).alias("k"),
+                                 F.col("id").alias(col)).write.parquet(f"{tmp_path}/{name}")
+    a, b, c = (spark.read.parquet(f"{tmp_path}/{n}") for n in "abc")
+    out = joins.natural_full_outer(joins.natural_full_outer(a, b), c)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3
+    assert out.count() == 9 + 3 * 3991
+    salts = joins._null_salt(a, ["k"], 1).where("k IS NULL").select("__salt").distinct().count()
+    assert salts == 3991
+
+
+def test_top_within_any_depth(spark):
+    from pyspark.sql import Window
+
+    from cartwise.operators.ranking import top_within
+
+    df = spark.range(9000).select((F.col("id") % 3).alias("g"), F.hash("id").alias("v"), "id")
+    df = df.withColumn("n", F.col("g") * 700 + 5)
+    order = [F.col("v"), F.col("id")]
+    plain = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    for n in (10, 1001, F.col("n")):
+        got = top_within(df, ["g"], order, n, ["id"], out="r")
+        assert rows(got, "id", "r") == rows(plain.where(F.col("r") <= n), "id", "r")
 
 
 def test_not_this_customer_keeps_null(spark):
@@ -197,10 +225,18 @@ def test_scalar_text_functions(spark):
     assert w == "Labcdefg"  # padding never cuts
     c = spark.range(1).select(fx.centered(F.lit("ab"), 7, "#").alias("x")).first()["x"]
     assert c == f"{'ab':#^7}"
-    n = spark.createDataFrame([(0.125,), (2.675,), (None,)], "x double").select(
-        fx.two_decimals(F.col("x")).alias("t"))
-    assert sorted(r["t"] for r in n.collect()) == sorted(
-        [f"{0.125:.2f}", f"{2.675:.2f}", "nan"])
+    import random
+
+    r = random.Random(1)
+    xs = [0.125, 0.375, 2.675, 1.005, 0.0, -0.0, -1.5, -0.125, 99.995, 0.994999, 0.995, 1e-12,
+          123456789.125, None]
+    xs += [r.randrange(10 ** 7) / 1000 for _ in range(3000)]
+    xs += [r.random() * 10 ** r.randrange(6) for _ in range(3000)]
+    n = spark.createDataFrame([(x,) for x in xs], "x double").select(
+        "x", fx.two_decimals(F.col("x")).alias("t"))
+    bad = [(q["x"], q["t"]) for q in n.collect()
+           if q["t"] != ("nan" if q["x"] is None else f"{q['x']:.2f}")]
+    assert bad == []
 
 
 def test_days_floor_and_parse(spark):
