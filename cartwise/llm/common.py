@@ -71,14 +71,14 @@ def ascii_lower(c: Column) -> Column:
         .otherwise(F.translate(c, upper, upper.lower()))
 
 
-# a word: digits, lower-case letters a-z and everything beyond ASCII
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# what stands between words; a word is digits, letters a-z and all beyond ASCII
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(c: Column) -> Column:
     """The words of a text in order; null has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(c), F.lit(f"({WORD})"), F.lit(1)),
-                      F.array().cast("array<string>"))
+    parts = F.split(ascii_lower(F.coalesce(c, F.lit(""))), BETWEEN)
+    return F.array_remove(parts, "")
 
 
 def arrow_bound(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
