@@ -1,13 +1,14 @@
 """The whole engine as three Spark jobs (I11): prepare, model, recommend.
 
-    prepare  : retail tables -> zip clusters -> wide table (written once)
-               -> predictor table -> fitted encoders
+    prepare  : retail tables -> zip clusters -> wide table -> predictor table
+               -> fitted encoders; also the features of all unlabelled rows,
+               the score per product and the column roles
     model    : cross-validation over the C grid, final fit with C = 1 (S12)
     recommend: sample rows -> encode -> predict the next category -> decode
                -> recommend products -> report lines
 
-Tables cross step boundaries as Parquet in the shared checkpoint folder,
-models through ``pyspark.ml`` writers -- never through the driver.
+Each job reads what the one before it wrote below one output folder (Parquet,
+``pyspark.ml`` writers, JSON), so each can run alone in a session of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from cartwise.operators import sequences as seq
 from cartwise.operators.ranking import sample_key
 from cartwise.plans import recommend as rec
 from cartwise.plans.prepare import complete_data, prepared
-from cartwise.session import scratch_path
+from cartwise.session import scratch_path, stored
 from cartwise.sources.retail_view import retail_tables
 
 CU = "customer_unique_id"
@@ -37,6 +39,7 @@ ROW_KEYS = ("customer_unique_id", "order_id", "order_item_id", "product_id",
             "seller_id", "payment_sequential")
 # With the retail binding a customer has about 40 joined rows: cohort n.
 DEFAULT_N_PURCHASE = 37
+ROLES = "role string, k int, column string"
 
 
 def zip_clusters(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
@@ -88,10 +91,10 @@ def model_artifacts(spark: SparkSession, sf_dir: str, n: int = DEFAULT_N_PURCHAS
     data = wide_clustered(spark, sf_dir)
     train = prepared(spark, f"predictor_table_{n}", os.path.abspath(sf_dir),
                      lambda: seq.training_rows(data, n, spec))
-    usable = train.where(" AND ".join(f"`{c}` IS NOT NULL" for c in spec.numerical))
+    usable = usable_training(train, spec)
     features, labels = fe.fit_encoders(usable, spec)
-    enc = fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL)
-    enc = enc.persist()
+    enc = stored(fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL),
+                 "classifier_data")
     model = ml.train_classifier(enc, 1.0)
     art = Artifacts(data, usable, features, labels, model, enc, spec)
     _ARTIFACTS[key] = art
@@ -111,6 +114,62 @@ def coefficients(spark: SparkSession, art: Artifacts) -> DataFrame:
                                        "coefficient double")
 
 
+def gradient_norms(spark: SparkSession, art: Artifacts) -> DataFrame:
+    """H8 check: (class, category, gradient_norm) of the training objective,
+    the mean softmax loss plus the L2 term, at the fitted coefficients."""
+    names = fe.label_names(art.labels)
+    weights = art.model.coefficientMatrix.toArray()
+    reg = 1.0 / art.train_encoded.count()               # C = 1
+    scored = art.model.transform(art.train_encoded).select(
+        fe.LABEL, vector_to_array(fe.FEATURES).alias("x"),
+        vector_to_array("probability").alias("p"))
+    per_class = scored.select(fe.LABEL, "x", F.posexplode("p").alias("class", "p"))
+    miss = F.col("p") - F.when(F.col(fe.LABEL) == F.col("class"), 1.0).otherwise(0.0)
+    slots = per_class.select("class", miss.alias("miss"), F.posexplode("x").alias("slot", "x"))
+    loss = slots.groupBy("class", "slot").agg(F.avg(F.col("miss") * F.col("x")).alias("g"))
+    table = spark.createDataFrame([(k, names[k], j, float(weights[k, j]))
+                                   for k in range(weights.shape[0])
+                                   for j in range(weights.shape[1])],
+                                  "class int, category string, slot int, w double")
+    full = loss.join(table, ["class", "slot"]).withColumn("d", F.col("g") + reg * F.col("w"))
+    return full.groupBy("class", "category").agg(
+        F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("gradient_norm"))
+
+
+def check_predictions(spark: SparkSession, art: Artifacts, sample_size: int, seed) -> DataFrame:
+    """I6 check: the sample with ``most_likely``, whether the predicted category
+    is that of the highest linear score."""
+    names = fe.label_names(art.labels)
+    weights, bias = art.model.coefficientMatrix.toArray(), art.model.interceptVector.toArray()
+    pred = fe.encode(predict_category_sample(art, sample_size, seed), art.features)
+    x = vector_to_array(fe.FEATURES)
+    scores = [F.struct((F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in row]),
+                                               lambda a, b: a * b),
+                                    F.lit(float(b)), lambda a, v: a + v)).alias("s"),
+                       F.lit(-k).alias("k"), F.lit(names[k]).alias("c"))
+              for k, (row, b) in enumerate(zip(weights, bias))]
+    best = F.array_max(F.array(*scores))["c"]
+    return pred.withColumn("most_likely", best == F.coalesce(
+        F.col("predicted_category"), F.lit("__null__")))
+
+
+def usable_training(train: DataFrame, spec: seq.FeatureSpec) -> DataFrame:
+    """Training rows without a missing numeric feature."""
+    return train.where(" AND ".join(f"`{c}` IS NOT NULL" for c in spec.numerical))
+
+
+def left_out_rows(data: DataFrame, spec: seq.FeatureSpec) -> DataFrame:
+    """Rows that can't be scored: all rows, those of an unknown customer,
+    those of a known one with a missing numeric feature."""
+    known = F.col(CU).isNotNull()
+    missing = F.lit(False)
+    for c in spec.numerical:
+        missing = missing | F.col(c).isNull()
+    return data.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count(F.when(~known, 1)).alias("n_unknown_customer"),
+                    F.count(F.when(known & missing, 1)).alias("n_missing_numeric"))
+
+
 def usable_rows(data: DataFrame, spec: seq.FeatureSpec) -> DataFrame:
     """Rows the model can score: known customer, no missing numeric."""
     cond = F.col(CU).isNotNull()
@@ -172,10 +231,11 @@ def roundtrip_predictions(spark: SparkSession, art: Artifacts, base: str) -> Dat
 
 # --- I11: the whole program --------------------------------------------------
 def report_for_sample(art: Artifacts, sample_size: int, product_number: int,
-                      estimation_n: int = 1000, seed=42) -> DataFrame:
+                      estimation_n: int = 1000, seed=42, verbose: bool = False) -> DataFrame:
     """I10 on a model prediction: sampled customers, their sampled row's
     category as the previous one, recommendations estimated from
-    ``estimation_n`` rows as the print path does (S7)."""
+    ``estimation_n`` rows as the print path does (S7).  ``verbose`` adds the
+    sampled row's columns."""
     pred = predict_category_sample(art, sample_size, seed)
     w = Window.partitionBy(CU).orderBy(F.col("sample_pos").desc())
     last = pred.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
@@ -184,8 +244,9 @@ def report_for_sample(art: Artifacts, sample_size: int, product_number: int,
     recs = rec.recommend(art.data, preds, product_number, estimation_n, seed=seed,
                          keep_rank=True)
     customers = last.select(CU, F.col("product_category_name").alias("previous_category"),
-                            "predicted_category")
-    return rec.report_lines(recs, customers)
+                            "predicted_category",
+                            *([F.struct(*art.data.columns).alias("details")] if verbose else []))
+    return rec.report_lines(recs, customers, verbose)
 
 
 def best_inverse_reg(cv: DataFrame) -> float:
@@ -195,37 +256,94 @@ def best_inverse_reg(cv: DataFrame) -> float:
     return float(row["inverse_reg"])
 
 
-def run(spark: SparkSession, sf_dir: str, out_dir: str, sample_size: int = 5,
-        product_number: int = 5, n: int = DEFAULT_N_PURCHASE, seed=42,
-        select_best: bool = False) -> dict[str, str]:
-    """prepare -> model -> recommend, every result written under ``out_dir``
-    (a shared folder on a cluster).  Returns the written paths.
+def _put(df: DataFrame, out_dir: str, name: str) -> str:
+    path = f"{out_dir.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return path
 
-    The reference reports cross-validation but always trains with C = 1
-    (S12); ``select_best=True`` trains with the best C of the grid instead."""
-    art = model_artifacts(spark, sf_dir, n)
+
+def prepare(spark: SparkSession, t: dict[str, DataFrame], out_dir: str,
+            n: int = DEFAULT_N_PURCHASE, spec: seq.FeatureSpec = seq.PIPELINE_SPEC
+            ) -> dict[str, str]:
+    """Job 1: everything that the later jobs read, from the retail tables."""
     out = {}
+    clusters = spark.read.parquet(_put(ml.cluster_zips(agg.geo_average(t["geolocation"])),
+                                       out_dir, "zip_clusters"))
+    out["complete_data"] = _put(complete_data(t, clusters), out_dir, "complete_data")
+    data = spark.read.parquet(out["complete_data"])
+    out["predictor_table"] = _put(seq.training_rows(data, n, spec), out_dir, "predictor_table")
+    usable = usable_training(spark.read.parquet(out["predictor_table"]), spec)
+    features, labels = fe.fit_encoders(usable, spec)
+    base = f"{out_dir.rstrip('/')}/encoders"
+    features.write().overwrite().save(base + "/features")
+    labels.write().overwrite().save(base + "/labels")
+    out["encoders"] = base
+    encoded = fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL)
+    out["classifier_data"] = _put(fe.slots(encoded, [CU, fe.LABEL]), out_dir, "classifier_data")
+    unlabeled = fe.encode(usable_rows(data, spec), features).select(*ROW_KEYS, fe.FEATURES)
+    out["unlabeled_data"] = _put(unlabeled, out_dir, "unlabeled_data")
+    out["avg_score_per_product"] = _put(agg.avg_score_per_product(data), out_dir,
+                                        "avg_score_per_product")
+    roles = [(role, k, c) for role, columns in vars(spec).items() for k, c in enumerate(columns)]
+    out["columns"] = f"{out_dir.rstrip('/')}/columns"
+    spark.createDataFrame(roles, ROLES).write.mode("overwrite").json(out["columns"])
+    return out
 
-    def put(name: str, df: DataFrame) -> None:
-        path = f"{out_dir.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        out[name] = path
-
-    put("complete_data", art.data)
-    put("classifier_data", fe.slots(art.train_encoded, [CU, fe.LABEL]))
-    put("avg_score_per_product", agg.avg_score_per_product(art.data))
-    cv_path = f"{out_dir.rstrip('/')}/cv_scores"
-    ml.cross_validate(art.train_encoded, CU).write.mode("overwrite").parquet(cv_path)
-    out["cv_scores"] = cv_path
-    if select_best:
-        c = best_inverse_reg(spark.read.parquet(cv_path))
-        art = Artifacts(art.data, art.train, art.features, art.labels,
-                        ml.train_classifier(art.train_encoded, c), art.train_encoded,
-                        art.spec)
-    base = f"{out_dir.rstrip('/')}/models"
-    art.features.write().overwrite().save(base + "/features")
-    art.labels.write().overwrite().save(base + "/labels")
-    art.model.write().overwrite().save(base + "/classifier")
-    out["models"] = base
-    put("report", report_for_sample(art, sample_size, product_number, seed=seed))
+
+def _prepared_parts(spark: SparkSession, out_dir: str):
+    """(column roles, feature encoder, label encoder) that ``prepare`` saved."""
+    base = out_dir.rstrip("/")
+    roles: dict[str, tuple[str, ...]] = {"numerical": (), "categorical": (), "target": ()}
+    for r in spark.read.schema(ROLES).json(base + "/columns").orderBy("role", "k").collect():
+        roles[r["role"]] += (r["column"],)
+    return (seq.FeatureSpec(**roles), PipelineModel.load(base + "/encoders/features"),
+            PipelineModel.load(base + "/encoders/labels"))
+
+
+def model(spark: SparkSession, out_dir: str, select_best: bool = False) -> dict[str, str]:
+    """Job 2: cross-validation and the final fit, on what ``prepare`` wrote.
+
+    The reference reports cross-validation but always trains with C = 1
+    (S12); ``select_best=True`` trains with the best C of the grid instead."""
+    spec, features, labels = _prepared_parts(spark, out_dir)
+    base = out_dir.rstrip("/")
+    usable = usable_training(spark.read.parquet(base + "/predictor_table"), spec)
+    enc = fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL).persist()
+    try:
+        out = {"cv_scores": _put(ml.cross_validate(enc, CU), out_dir, "cv_scores")}
+        c = best_inverse_reg(spark.read.parquet(out["cv_scores"])) if select_best else 1.0
+        out["classifier"] = base + "/classifier"
+        ml.train_classifier(enc, c).write().overwrite().save(out["classifier"])
+    finally:
+        enc.unpersist()
     return out
+
+
+def load_artifacts(spark: SparkSession, out_dir: str) -> Artifacts:
+    """What ``prepare`` and ``model`` saved, for predictions in a new session."""
+    spec, features, labels = _prepared_parts(spark, out_dir)
+    base = out_dir.rstrip("/")
+    usable = usable_training(spark.read.parquet(base + "/predictor_table"), spec)
+    return Artifacts(spark.read.parquet(base + "/complete_data"), usable, features, labels,
+                     LogisticRegressionModel.load(base + "/classifier"),
+                     fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL), spec)
+
+
+def recommend(spark: SparkSession, out_dir: str, sample_size: int = 5, product_number: int = 5,
+              seed=42, verbose: bool = False) -> dict[str, str]:
+    """Job 3: the report for a sample, from saved files only."""
+    art = load_artifacts(spark, out_dir)
+    report = report_for_sample(art, sample_size, product_number, seed=seed, verbose=verbose)
+    return {"report": _put(report, out_dir, "report")}
+
+
+def run(spark: SparkSession, tables: str | dict[str, DataFrame], out_dir: str,
+        sample_size: int = 5, product_number: int = 5, n: int = DEFAULT_N_PURCHASE, seed=42,
+        select_best: bool = False, verbose: bool = False) -> dict[str, str]:
+    """prepare -> model -> recommend below ``out_dir`` (a shared folder on a
+    cluster).  ``tables``: the retail tables, or the folder of the driver's
+    tables.  Returns the written paths."""
+    t = retail_tables(spark, tables) if isinstance(tables, str) else tables
+    out = prepare(spark, t, out_dir, n)
+    out |= model(spark, out_dir, select_best)
+    return out | recommend(spark, out_dir, sample_size, product_number, seed, verbose)

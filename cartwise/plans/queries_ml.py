@@ -1,9 +1,9 @@
 """Registered queries: feature encoding and models.
 
-The exact (oracle-checked) encoder queries use the exploratory column set
-(score; category -> next category), whose inputs are all SQL-derivable.
-Queries that need location clusters or a fitted classifier are iterative
-model fits and have no oracle; their invariants are covered by tests.
+The encoder queries use the exploratory column set (score; category -> next
+category), whose inputs are all SQL-derivable; ``training_table_full`` has the
+pipeline's whole set with a fixed centre table.  A fitted model's numbers have
+no SQL text; its queries return what any right fit must satisfy.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from cartwise.operators import sequences as seq
 from cartwise.plans import oracle_sql as osql
 from cartwise.plans import pipeline as pl
 from cartwise.plans.catalog import register
+from cartwise.plans.prepare import complete_data, prepared
 from cartwise.plans.queries_core import tables, wide
 from cartwise.plans.queries_flow import COHORT_CTES, COHORT_N, SEED
 
@@ -210,39 +211,149 @@ def q_assign_cluster(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", "location_cluster")
 
 
-# --- H7a (model) -------------------------------------------------------------
-@register("geo_clusters")
+# --- H7a: what a fitted clustering must satisfy ------------------------------
+@register("geo_clusters", osql.with_ctes(osql.GEO_AVG_CTE, body="""
+SELECT geolocation_zip_code_prefix, geolocation_lat, geolocation_lng, true AS nearest
+FROM r_geo_avg"""))
 def q_geo_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return pl.zip_clusters(spark, tables(spark, sf))
-
-
-# --- C7 (needs the fitted clusters) ------------------------------------------
-@register("join_location")
+    """Every zip belongs to the cluster whose members' mean is nearest: the
+    fixed point that k-means ends at."""
+    coords = ("geolocation_lat", "geolocation_lng")
+    zips = pl.zip_clusters(spark, tables(spark, sf))
+    means = zips.groupBy("location_cluster").agg(*[F.avg(c).alias(c) for c in coords])
+    centres = [tuple(r[c] for c in coords) for r in
+               means.orderBy("location_cluster").collect()]        # the k clusters
+    return ml.assign_nearest(zips, centres, coords, "_near").select(
+        "geolocation_zip_code_prefix", *coords,
+        (F.col("_near") == F.col("location_cluster")).alias("nearest"))
+
+
+# --- C7, I1, I2 with a fixed centre table -----------------------------------
+CLUSTERS_CTE = """
+zip_clusters AS (
+  SELECT geolocation_zip_code_prefix, geolocation_lat, geolocation_lng,
+         CAST(cluster AS INTEGER) AS location_cluster FROM (
+    SELECT g.*, c.cluster, row_number() OVER (
+      PARTITION BY g.geolocation_zip_code_prefix ORDER BY
+        (g.geolocation_lat - c.geolocation_lat) * (g.geolocation_lat - c.geolocation_lat)
+        + (g.geolocation_lng - c.geolocation_lng) * (g.geolocation_lng - c.geolocation_lng),
+        c.cluster) AS r
+    FROM r_geo_avg g CROSS JOIN centres c)
+  WHERE r = 1)"""
+
+
+def fixed_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The zip table with the cluster of the nearest fixed centre."""
+    return ml.assign_nearest(agg.geo_average(tables(spark, sf)["geolocation"]),
+                             fixed_centres(spark, sf), ("geolocation_lat", "geolocation_lng"),
+                             "location_cluster")
+
+
+@register("join_location", osql.with_ctes(osql.GEO_AVG_CTE, FIXED_CENTRES_CTE, CLUSTERS_CTE,
+                                          body="""
+SELECT c.customer_id, c.customer_unique_id, c.customer_zip_code_prefix,
+       z.geolocation_lat AS customer_geolocation_lat,
+       z.geolocation_lng AS customer_geolocation_lng,
+       z.location_cluster AS customer_location_cluster
+FROM r_customers c
+LEFT JOIN zip_clusters z ON z.geolocation_zip_code_prefix = c.customer_zip_code_prefix"""))
 def q_join_location(spark: SparkSession, sf: str) -> DataFrame:
-    t = tables(spark, sf)
-    return pl.join_location(t["customers"], pl.zip_clusters(spark, t),
+    return pl.join_location(tables(spark, sf)["customers"], fixed_clusters(spark, sf),
                             "customer_zip_code_prefix", "customer")
 
 
-# --- H8 ----------------------------------------------------------------------
-@register("train_classifier")
+def wide_with_fixed_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return prepared(spark, "complete_data_fixed", os.path.abspath(sf),
+                    lambda: complete_data(tables(spark, sf), fixed_clusters(spark, sf)))
+
+
+FULL_ROWS_CTES = (FIXED_CENTRES_CTE, CLUSTERS_CTE, """
+placed AS (
+  SELECT d.*, zc.location_cluster AS customer_location_cluster,
+         zs.location_cluster AS seller_location_cluster
+  FROM r_complete d
+  LEFT JOIN zip_clusters zc ON zc.geolocation_zip_code_prefix = d.customer_zip_code_prefix
+  LEFT JOIN zip_clusters zs ON zs.geolocation_zip_code_prefix = d.seller_zip_code_prefix)""")
+
+
+@register("training_table_full", osql.with_complete(
+    *FULL_ROWS_CTES, COHORT_CTES[0], COHORT_CTES[1].replace("FROM r_complete", "FROM placed"),
+    *COHORT_CTES[2:4], f"""
+full_firsts AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT customer_unique_id, review_score, customer_location_cluster,
+           seller_location_cluster, product_category_name, row_number() OVER w AS rn,
+           lead(product_category_name) OVER w AS next_product_category
+    FROM cohort_rows
+    WINDOW w AS (PARTITION BY customer_unique_id ORDER BY {osql.TOTAL_ORDER_SQL}))
+  WHERE rn = 1)""", body="SELECT * FROM full_firsts"))
+def q_training_table_full(spark: SparkSession, sf: str) -> DataFrame:
+    """I1 with the pipeline's whole column set."""
+    return seq.training_rows(wide_with_fixed_clusters(spark, sf), COHORT_N, seq.PIPELINE_SPEC)
+
+
+@register("left_out_rows", osql.with_complete(body="""
+SELECT count(*) AS n_rows,
+       count(*) FILTER (WHERE customer_unique_id IS NULL) AS n_unknown_customer,
+       count(*) FILTER (WHERE customer_unique_id IS NOT NULL AND review_score IS NULL)
+         AS n_missing_numeric
+FROM r_complete"""))
+def q_left_out_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows no prediction can be made for."""
+    return pl.left_out_rows(wide(spark, sf), seq.PIPELINE_SPEC)
+
+
+# --- H8: what a fitted classifier must satisfy -------------------------------
+USABLE_LABELS_CTE = """
+usable AS (SELECT * FROM firsts WHERE review_score IS NOT NULL)"""
+GRADIENT_TOLERANCE = 1e-3
+
+
+@register("train_classifier", osql.with_complete(*COHORT_CTES[:5], USABLE_LABELS_CTE, body="""
+SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS class,
+       true AS at_optimum
+FROM (SELECT DISTINCT coalesce(next_product_category, '__null__') AS category FROM usable)"""))
 def q_train_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    art = pl.model_artifacts(spark, sf)
-    return pl.coefficients(spark, art)
+    """Per class: the gradient of the regularised mean loss vanishes."""
+    return pl.gradient_norms(spark, pl.model_artifacts(spark, sf)).select(
+        "category", "class", (F.col("gradient_norm") < GRADIENT_TOLERANCE).alias("at_optimum"))
 
 
 # --- H11 ---------------------------------------------------------------------
-@register("cv_scores")
+@register("cv_scores", osql.with_complete(*COHORT_CTES[:5], USABLE_LABELS_CTE, body=f"""
+SELECT c.inverse_reg, 0 AS repeat, CAST(f.fold AS INTEGER) AS fold,
+       (n.n // {ml.CV_FOLDS}) + CASE WHEN f.fold < n.n % {ml.CV_FOLDS} THEN 1 ELSE 0 END
+         AS n_test, true AS scored
+FROM (SELECT unnest([{", ".join(f"CAST({c!r} AS DOUBLE)" for c in ml.INVERSE_REG_GRID)}])
+        AS inverse_reg) c,
+     (SELECT unnest(range({ml.CV_FOLDS})) AS fold) f,
+     (SELECT count(*) AS n FROM usable) n"""))
 def q_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows tested per (C, repeat, fold); the accuracy is a share."""
     art = pl.model_artifacts(spark, sf)
-    return ml.cross_validate(art.train_encoded, CU)
+    return ml.cross_validate(art.train_encoded, CU).select(
+        "inverse_reg", "repeat", "fold", "n_test",
+        F.col("accuracy").between(0, 1).alias("scored"))
 
 
 # --- I6 / H9 / H4 ------------------------------------------------------------
-@register("predict_category")
+SAMPLE = 5
+
+
+@register("predict_category", osql.with_complete(body=f"""
+SELECT customer_unique_id, order_id, product_id,
+       CAST(row_number() OVER (ORDER BY {{key}}) AS INTEGER) AS sample_pos, true AS most_likely
+FROM r_complete WHERE customer_unique_id IS NOT NULL AND review_score IS NOT NULL
+ORDER BY {{key}} LIMIT {SAMPLE}""".format(key=(
+    f"md5(concat_ws(':', '{SEED}', "
+    + ", ".join(f"CAST({k} AS VARCHAR)" for k in pl.ROW_KEYS) + ")), "
+    + ", ".join(f"{k} ASC NULLS LAST" for k in pl.ROW_KEYS)))))
 def q_predict_category(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampled rows; the decoded category is the class of the highest
+    linear score, computed from the coefficients."""
     art = pl.model_artifacts(spark, sf)
-    return pl.predict_category_sample(art, sample_size=5, seed=SEED)
+    return pl.check_predictions(spark, art, SAMPLE, SEED).select(
+        "customer_unique_id", "order_id", "product_id", "sample_pos", "most_likely")
 
 
 # --- I9 ----------------------------------------------------------------------
@@ -254,8 +365,10 @@ def q_recommend_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- A5 ----------------------------------------------------------------------
-@register("model_roundtrip")
+@register("model_roundtrip", osql.with_complete(*COHORT_CTES[:5], USABLE_LABELS_CTE, body="""
+SELECT customer_unique_id, true AS same FROM usable"""))
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved and loaded models predict as the ones in memory do."""
     art = pl.model_artifacts(spark, sf)
     path = pl.save_models(spark, art, os.path.abspath(sf))
-    return pl.roundtrip_predictions(spark, art, path)
+    return pl.roundtrip_predictions(spark, art, path).select("customer_unique_id", "same")

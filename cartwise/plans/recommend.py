@@ -275,21 +275,29 @@ LEFT, RIGHT, BANNER = 35, 15, 50
 HEADER_LABELS = ("Predictions for customer:", "Last purchase product category:",
                  "Predicted next product category:")
 BANNER_TITLE = "  Recommended products  "
+DETAILS_TITLE = "Complete data for order:"
 PRODUCT_LABELS = ("Product:", "Price + estimated shipping cost:",
                   "Estimated delivery time:", "Avg. review score:")
 
 
-def report_lines(recs: DataFrame, customers: DataFrame) -> DataFrame:
+def report_lines(recs: DataFrame, customers: DataFrame, verbose: bool = False) -> DataFrame:
     """I10 as rows (customer, line_no, line): three header lines, a blank
     line and a banner, four lines per recommended product in draw order, a
     closing banner and two blank lines.  ``recs`` comes from
     ``recommend(..., keep_rank=True)``; ``customers`` holds the customer,
-    ``previous_category`` and ``predicted_category``."""
+    ``previous_category`` and ``predicted_category``.  ``verbose`` adds, before
+    the first banner, a line for each field of the struct column ``details``."""
     from cartwise.functions.scalar import centered, fixed_width, id_prefix, two_decimals
 
     def txt(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
+    details = []
+    if verbose:
+        names = customers.schema["details"].dataType.names
+        details = [F.lit(""), F.lit(DETAILS_TITLE), *[fixed_width(
+            F.lit(n), txt(f"details.`{n}`"), LEFT, RIGHT) for n in names]]
+    first = len(HEADER_LABELS) + len(details) + 2          # lines above the products
     n_products = recs.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("_np"))
     head = customers.join(n_products, CUSTOMER, "left").select(
         CUSTOMER, F.coalesce(F.col("_np"), F.lit(0)).alias("_np"),
@@ -297,11 +305,11 @@ def report_lines(recs: DataFrame, customers: DataFrame) -> DataFrame:
             fixed_width(F.lit(HEADER_LABELS[0]), id_prefix(F.col(CUSTOMER)), LEFT, RIGHT),
             fixed_width(F.lit(HEADER_LABELS[1]), txt("previous_category"), LEFT, RIGHT),
             fixed_width(F.lit(HEADER_LABELS[2]), txt("predicted_category"), LEFT, RIGHT),
-            F.lit(""), centered(F.lit(BANNER_TITLE), BANNER, "#")).alias("_lines"))
+            *details, F.lit(""), centered(F.lit(BANNER_TITLE), BANNER, "#")).alias("_lines"))
     top = head.select(CUSTOMER, F.posexplode("_lines").alias("line_no", "line"))
     foot = head.select(CUSTOMER, F.posexplode(F.array(
         centered(F.lit(""), BANNER, "#"), F.lit(""), F.lit(""))).alias("_k", "line"),
-        "_np").select(CUSTOMER, (F.lit(5) + 4 * F.col("_np") + F.col("_k")).alias("line_no"),
+        "_np").select(CUSTOMER, (F.lit(first) + 4 * F.col("_np") + F.col("_k")).alias("line_no"),
                       "line")
     price = F.concat(two_decimals(money(F.col("estimated_price"))), F.lit(" + "),
                      two_decimals(money(F.col("shipping_price"))), F.lit("R$"))
@@ -312,7 +320,7 @@ def report_lines(recs: DataFrame, customers: DataFrame) -> DataFrame:
         fixed_width(F.lit(PRODUCT_LABELS[2]), days, LEFT, RIGHT),
         fixed_width(F.lit(PRODUCT_LABELS[3]), two_decimals(F.col("review_score")),
                     LEFT, RIGHT))).alias("_k", "line")).select(
-        CUSTOMER, (F.lit(5) + 4 * (F.col("draw_rank") - 1) + F.col("_k")).alias("line_no"),
+        CUSTOMER, (F.lit(first) + 4 * (F.col("draw_rank") - 1) + F.col("_k")).alias("line_no"),
         "line")
     return (top.unionByName(prod).unionByName(foot)
             .select(CUSTOMER, F.col("line_no").cast("int"), "line"))

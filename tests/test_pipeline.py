@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from cartwise.operators import sequences as seq
 from cartwise.plans import pipeline as pl
-from cartwise.plans.recommend import BANNER, HEADER_LABELS
+from cartwise.plans.recommend import BANNER, DETAILS_TITLE, HEADER_LABELS
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +13,7 @@ def test_run_writes_every_step(spark, tmp_path):
     out = pl.run(spark, SF, str(tmp_path / "res"), sample_size=2, product_number=3,
                  select_best=True)
     assert {"complete_data", "classifier_data", "avg_score_per_product", "cv_scores",
-            "models", "report"} <= set(out)
+            "encoders", "classifier", "unlabeled_data", "columns", "report"} <= set(out)
     wide = spark.read.parquet(out["complete_data"])
     assert wide.count() == 6144  # FIXTURES.md: joined size at sf0.001
     cv = spark.read.parquet(out["cv_scores"]).collect()
@@ -33,3 +34,27 @@ def test_best_inverse_reg(spark):
     cv = spark.createDataFrame([(1.0, 0, 0, 0.5), (0.1, 0, 0, 0.7), (0.01, 0, 0, 0.7)],
                                "inverse_reg double, repeat int, fold int, accuracy double")
     assert pl.best_inverse_reg(cv) == 0.1
+
+
+def test_recommend_runs_from_saved_files_only(spark, tmp_path):
+    """The third job in a session of its own, which has nothing in memory."""
+    out = str(tmp_path / "res")
+    pl.run(spark, SF, out, sample_size=2, product_number=3)
+    first = spark.read.parquet(out + "/report").collect()
+    other = spark.newSession()
+    art = pl.load_artifacts(other, out)
+    assert art.spec == seq.PIPELINE_SPEC
+    assert spark.read.parquet(out + "/unlabeled_data").count() == \
+        pl.usable_rows(art.data, art.spec).count()
+    path = pl.recommend(other, out, sample_size=2, product_number=3, verbose=True)["report"]
+    second = other.read.parquet(path).collect()
+    lines = {(r.customer_unique_id, r.line) for r in second}
+    assert {(r.customer_unique_id, r.line) for r in first} <= lines
+    details = [r for r in second if r.line == DETAILS_TITLE]
+    people = {r.customer_unique_id for r in second}
+    assert {r.customer_unique_id for r in details} == people
+    assert len(second) == len(first) + len(people) * (len(art.data.columns) + 2)
+    per = {}
+    for r in second:
+        per.setdefault(r.customer_unique_id, []).append(r.line_no)
+    assert all(sorted(nos) == list(range(len(nos))) for nos in per.values())

@@ -102,3 +102,39 @@ def test_recommend_matches_literal_semantics(spark, seed):
                 assert a is None, (k, g, w)
             else:
                 assert a == pytest.approx(b, rel=1e-12), (k, g, w)
+
+
+def test_search_does_not_grow_with_customers_at_one_place(spark):
+    """3000 customers at one place, one product: one search, not 3000."""
+    from pyspark.sql import functions as F
+
+    n = 3000
+    units = spark.range(n).select(
+        F.lit("p").alias("product_id"), F.concat(F.lit("c"), "id").alias("customer_unique_id"),
+        F.col("id").cast("double").alias("customer_geolocation_lat"),
+        F.lit(0.0).alias("customer_geolocation_lng"), F.lit(1).cast("long").alias("_rows"))
+    pairs = spark.range(n).select(
+        F.concat(F.lit("c"), "id").alias("customer_unique_id"), F.lit("p").alias("product_id"),
+        F.lit(0.0).alias("pred_lat"), F.lit(0.0).alias("pred_lng"))
+    keyed = pairs.select("customer_unique_id", "product_id",
+                         F.struct(F.col("pred_lat").alias("lat"),
+                                  F.col("pred_lng").alias("lng")).alias("_place"))
+    assert rec.places_near(keyed, units, 5).count() == 6      # 5 and the one that may be own
+    out = rec.nearest_customers(pairs, None, 5, units)
+    per = {r.customer_unique_id: r["count"] for r in
+           out.groupBy("customer_unique_id").count().collect()}
+    assert len(per) == n and set(per.values()) == {5}
+    own = out.where("customer_unique_id = _c").count()
+    assert own == 0
+
+
+def test_report_plan_has_group_limits_and_no_python(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["report_lines"](spark, "/root/testdata/sf0.001")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+    data = spark.range(100_000).selectExpr("id % 10 AS a", "id AS b")
+    from cartwise.operators.ranking import top_within
+    plan = top_within(data, ["a"], [data["b"]], 1000, ["b"])
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
