@@ -13,7 +13,6 @@ Each job reads what the one before it wrote below one output folder (Parquet,
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -31,6 +30,7 @@ from cartwise.operators.ranking import sample_key
 from cartwise.plans import recommend as rec
 from cartwise.plans.prepare import complete_data, prepared
 from cartwise.session import scratch_path, stored
+from cartwise.sources.files import version
 from cartwise.sources.retail_view import retail_tables
 
 CU = "customer_unique_id"
@@ -62,7 +62,7 @@ def wide_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         t = retail_tables(spark, sf_dir)
         return complete_data(t, zip_clusters(spark, t))
-    return prepared(spark, "complete_data_clustered", os.path.abspath(sf_dir), build)
+    return prepared(spark, "complete_data_clustered", sf_dir, build)
 
 
 @dataclass
@@ -76,7 +76,7 @@ class Artifacts:
     spec: seq.FeatureSpec
 
 
-_ARTIFACTS: dict[tuple[str, str, int], Artifacts] = {}
+_ARTIFACTS: dict[tuple, Artifacts] = {}
 
 
 def model_artifacts(spark: SparkSession, sf_dir: str, n: int = DEFAULT_N_PURCHASE,
@@ -85,11 +85,11 @@ def model_artifacts(spark: SparkSession, sf_dir: str, n: int = DEFAULT_N_PURCHAS
 
     Training rows with a missing numeric feature are left out: the model
     cannot take them (S10)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), n)
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), n)
     if key in _ARTIFACTS:
         return _ARTIFACTS[key]
     data = wide_clustered(spark, sf_dir)
-    train = prepared(spark, f"predictor_table_{n}", os.path.abspath(sf_dir),
+    train = prepared(spark, f"predictor_table_{n}", sf_dir,
                      lambda: seq.training_rows(data, n, spec))
     usable = usable_training(train, spec)
     features, labels = fe.fit_encoders(usable, spec)

@@ -34,10 +34,13 @@ must compare all shared columns, and each table is still read once.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.operators import joins
+from cartwise.session import scratch_path
 
 ORDER_TABLES = ("order_items", "order_payments", "order_reviews")
 
@@ -174,25 +177,24 @@ def complete_data(t: dict[str, DataFrame], zip_table: DataFrame | None = None,
 
 
 # --- step boundary: the prepared table is written once and read back ------
-_PREPARED: dict[tuple[str, str, str], str] = {}
+_PREPARED: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
-def prepared(spark, name: str, source_key: str, build) -> DataFrame:
-    """Write ``build()`` once per application and source as Parquet in the
-    shared checkpoint folder, then read it back (A3/A4).
+def prepared(spark, name: str, source: str, build) -> DataFrame:
+    """Write ``build()`` once per application and state of its source (files or
+    folders, comma-separated) as Parquet in the shared checkpoint folder, then
+    read it back (A3/A4).  A changed source is prepared anew.
 
     Later steps scan the file instead of re-planning the join chain: the
     lineage is cut (a lost executor re-reads the file rather than redoing
     the joins) and column pruning and filter pushdown reach the scan.
     """
-    import uuid
-
-    from cartwise.session import scratch_path
+    from cartwise.sources.files import version
 
-    key = (spark.sparkContext.applicationId, name, source_key)
-    path = _PREPARED.get(key)
-    if path is None:
+    key, now = (spark.sparkContext.applicationId, name, source), version(spark, source)
+    then, path = _PREPARED.get(key, (None, ""))
+    if then != now:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-        build().write.mode("overwrite").parquet(path)
-        _PREPARED[key] = path
+        build().write.parquet(path)
+        _PREPARED[key] = now, path
     return spark.read.parquet(path)

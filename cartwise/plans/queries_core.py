@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ def build_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     """The prepared wide table (written once per application, then read)."""
-    return prepared(spark, "complete_data", os.path.abspath(sf),
+    return prepared(spark, "complete_data", sf,
                     lambda: build_wide(spark, sf))
 
 

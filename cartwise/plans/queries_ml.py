@@ -8,8 +8,6 @@ no SQL text; its queries return what any right fit must satisfy.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,7 +261,7 @@ def q_join_location(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_with_fixed_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(spark, "complete_data_fixed", os.path.abspath(sf),
+    return prepared(spark, "complete_data_fixed", sf,
                     lambda: complete_data(tables(spark, sf), fixed_clusters(spark, sf)))
 
 
@@ -370,5 +368,5 @@ SELECT customer_unique_id, true AS same FROM usable"""))
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Saved and loaded models predict as the ones in memory do."""
     art = pl.model_artifacts(spark, sf)
-    path = pl.save_models(spark, art, os.path.abspath(sf))
+    path = pl.save_models(spark, art, sf)
     return pl.roundtrip_predictions(spark, art, path).select("customer_unique_id", "same")

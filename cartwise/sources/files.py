@@ -58,6 +58,21 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
                   if not s.getPath().getName().startswith(("_", ".")))
 
 
+def version(spark: SparkSession, paths: str) -> str:
+    """Length and change time of comma-separated files or folders' members: a
+    key that differs once a source has changed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for text in paths.split(","):
+        p = jvm.org.apache.hadoop.fs.Path(text)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            out += [f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}"
+                    for s in fs.listStatus(p)]
+    return ",".join(sorted(out))
+
+
 def table_name(path: str, prefix: str = "", extension: str = "") -> str:
     """A2: file name with ``prefix`` cut from the front and ``extension``
     from the end."""

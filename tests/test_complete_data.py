@@ -79,3 +79,20 @@ def test_full_outer_null_bypass_equals_plain_join(spark, seed):
     b = spark.createDataFrame([(maybe(r, r.randrange(5), 0.3), i) for i in range(15)],
                               "k long, b int")
     assert canon(joins.full_outer(a, b, "k")) == canon(a.join(b, "k", "full"))
+
+
+def test_prepared_follows_its_source(spark, tmp_path):
+    """A table is prepared once, and anew after its source has changed."""
+    src = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(src)
+    built = []
+
+    def get():
+        def build():
+            built.append(1)
+            return spark.read.parquet(src)
+        return prepare.prepared(spark, "probe", src, build).count()
+
+    assert (get(), get(), len(built)) == (3, 3, 1)
+    spark.range(2).write.mode("append").parquet(src)
+    assert (get(), get(), len(built)) == (5, 5, 2)
