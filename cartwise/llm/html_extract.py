@@ -43,11 +43,13 @@ NEVER = frozenset(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar "
                   "navigation search".split())
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
-    "comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav "
-    "navbar navigation newsletter notice overlay pager pagination popup promo promotion related "
-    "replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar "
-    "widget".split())
+    "ad adbox ads adslot adunit advert adverts advertisement advertising alert announcement "
+    "banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus "
+    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
+    "overlay pager pagination paywall popup promo promotion related replies reply responses share "
+    "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+# inside an article these hold its own title
+TITLES = frozenset({"header", "masthead"})
 # an opening tag of the key closes an open element of the value
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -75,7 +77,8 @@ def _excluded(tag: str, attrs: list, in_article: bool) -> bool:
         if k == "hidden" or (k == "aria-hidden" and v == "true"):
             return True
         if v and (k == "class" or k == "id"):
-            if not NAMES.isdisjoint(_NAME.findall(v.lower())):
+            found = NAMES.intersection(_NAME.findall(v.lower()))
+            if found and not (in_article and found <= TITLES):
                 return True
         elif v and k == "role" and v.lower() in ROLES:
             return True
