@@ -14,6 +14,7 @@ from pyspark.sql.column import Column
 from ..session import scratch_path
 
 _SHIPPED: set[str] = set()
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,25 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(spark, f"cartwise-llm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    _MADE.append(path)
+    return out
+
+
+def discard(spark: SparkSession, *what: DataFrame | str | None) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for x in what:
+        path = x if isinstance(x, str) else getattr(x, "_written_at", None)
+        if path in _MADE:
+            _MADE.remove(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def made() -> list[str]:
+    """Tables that ``written`` made and that still exist."""
+    return list(_MADE)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 MOST_ROUNDS = 60
 
@@ -27,8 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if live.isEmpty():
             break
-        hook = live.groupBy("x").agg(F.min("y").alias("y"))
-        hook = written(spark, hook, "hooks")
+        hook = first = written(spark, live.groupBy("x").agg(F.min("y").alias("y")), "hooks")
         for _ in range(2):
             on = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
             hook = hook.join(on, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
@@ -36,10 +35,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if labels is None:
             nodes = live.select("x").union(live.select("y")).distinct()
             labels = nodes.select(F.col("x").alias("node"), F.col("x").alias("label"))
+        old = labels, live, first, hook
         labels = written(spark, _follow(labels, "label", hook), "labels")
         moved = _follow(_follow(live, "x", hook), "y", hook).filter("x <> y")
         live = written(spark, moved.select(F.greatest("x", "y").alias("x"),
                                            F.least("x", "y").alias("y")).distinct(), "edges")
+        discard(spark, *old)
     else:
         raise RuntimeError(f"components need more than {MOST_ROUNDS} rounds")
     if labels is None:

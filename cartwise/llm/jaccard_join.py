@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bound, ship_package, slices_by_bytes, small_enough, written
+from .common import arrow_bound, discard, ship_package, slices_by_bytes, small_enough, written
 from .components import components
 from .text_bytes import column_bytes, mix, word_hashes, word_spans
 
@@ -36,7 +36,7 @@ BAND = 4                # 32 bands of 4: a pair at 0.8 meets in one with 1 - 5e-
 STEP = 16               # MinHash values compared at a time
 BLOCK_ROWS = 768
 BLOCK_SHINGLES = 1_000_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000     # of ids and numbers only, 80 bytes a row: 20 MB
 SLICE_BYTES = 1 << 20
 
 _WORD = np.zeros(256, bool)
@@ -252,20 +252,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = components(bands.join(buckets, "key").select("cid", "low"), "cid", "low")
 
     member = near.join(sets, near["node"] == sets["cid"]).select(
-        "cid", F.col("label").alias("comp"), "rep", "copies", "n_sh", "sig")
+        "cid", F.col("label").alias("comp"), "rep", "copies", "n_sh")
     member = written(spark, member, "members")
+    discard(spark, buckets, near)
     blocks = (member.groupBy("comp")
               .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS),
                               F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).cast("int").alias("nb")))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     dealt = (member.join(blocks, "comp")
              .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-             .select("cid", "comp", "rep", "copies", "sig", "nb", "block"))
+             .select("cid", "comp", "rep", "copies", "nb", "block"))
     fit = F.broadcast if small_enough(member, BROADCAST_ROWS) else (lambda d: d)
     texts = (docs.join(fit(dealt), docs["doc_id"].eqNullSafe(dealt["rep.doc_id"])
                        & (docs["th"] == dealt["rep.th"]))
-             .select("cid", "comp", "copies", "sig", "block", "text", other.alias("other"))
-             .select("cid", "comp", "copies", "sig", "block", "text",
+             .select("cid", "comp", "copies", "block", "text", other.alias("other"))
+             .select("cid", "comp", "copies", "block", "text",
                      F.least("block", "other").alias("first"),
                      F.greatest("block", "other").alias("second")))
 
@@ -277,9 +278,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _, one = np.unique(cid, return_index=True)        # a repeated row comes again
         t = table.take(pa.array(one)).combine_chunks()
         cid = cid[one]
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()])
-        text = t.column("text")
-        found = shingle_sets(*column_bytes(text.chunk(0)), shingle)
+        # sets and MinHash values again from the texts: less than what it would
+        # take to carry them through the shuffle
+        found = shingle_sets(*column_bytes(t.column("text").chunk(0)), shingle)
+        sig = np.stack([minhash(s) for s in found])
         links, low = compare_block(cid, t.column("copies").to_numpy(),
                                    t.column("block").to_numpy(), sig, found, first, second,
                                    threshold, tolerance)
@@ -288,6 +290,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = written(spark, texts.groupBy("comp", "first", "second")
                     .applyInArrow(compare, "cid long, low long, links long"), "links")
+    discard(spark, member)
     linked = components(links, "cid", "low")
     per_set = (sets.select("cls", "cid", "copies", "rep")
                .join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
@@ -297,6 +300,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_set = written(spark, per_set.join(best, "label").select(
         "cls", "rep", "best", (F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
         .alias("n_links")), "classes")
+    discard(spark, links, linked, sets)
     return (rows.select("doc_id", "th", "cls").join(per_set, "cls", "left")
             .select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id"))
                     .otherwise(F.col("best.doc_id")).alias("class_id"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwise.llm import decontam, exact_dedup, jaccard_join, piece_fst, quality
-from cartwise.llm.common import table, written
+from cartwise.llm.common import discard, made, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        before = made()
+        out = stage(spark, docs, sf_dir)
+        inside = [p for p in made() if p not in before]
+        done = written(spark, out, f"stage-{name}")
+        discard(spark, docs, *inside)       # the written stage needs them no more
+        docs = done
     return docs
 
 
