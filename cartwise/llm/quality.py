@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import arrow_bound, ship_package, slices_by_bytes
 from .text_bytes import column_bytes, texts_bytes, word_hashes, word_spans
 
-SAMPLE_ROWS = 3000          # documents that the scorer is fitted on, at most
-SAMPLE_CHARS = 20_000       # longer ones aren't taken into that sample
+SAMPLE_ROWS = 2000          # documents that the scorer is fitted on, at most
+SAMPLE_CHARS = 12_000       # longer ones aren't taken into that sample
 BINS = 4096
 THRESHOLD = 0.5
 SLICE_BYTES = 2 << 20
@@ -157,7 +157,7 @@ def fit_scorer(texts: list[str], labels: np.ndarray, rounds: int = 250, ridge: f
     x[:, -1] = 1
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     labels = labels.astype(np.float32)
-    step = np.float32(4.0 / (x * x).sum(axis=1).mean()) if len(texts) else 0
+    step = np.float32(4.0 * len(texts) / max(np.einsum("ij,ij->", x, x), 1)) if texts else 0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = (p - labels) @ x / max(1, len(texts)) + np.float32(ridge) * w
