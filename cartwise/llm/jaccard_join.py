@@ -36,7 +36,7 @@ BAND = 4                # 32 bands of 4: a pair at 0.8 meets in one with 1 - 5e-
 STEP = 16               # MinHash values compared at a time
 BLOCK_ROWS = 768
 BLOCK_SHINGLES = 1_000_000
-BROADCAST_ROWS = 250_000     # of ids and numbers only, 80 bytes a row: 20 MB
+BROADCAST_ROWS = 100_000     # of ids and numbers only, 200 bytes a row: 20 MB
 SLICE_BYTES = 1 << 20
 
 _WORD = np.zeros(256, bool)
