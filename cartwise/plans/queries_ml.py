@@ -327,11 +327,13 @@ FROM (SELECT unnest([{", ".join(f"CAST({c!r} AS DOUBLE)" for c in ml.INVERSE_REG
      (SELECT unnest(range({ml.CV_FOLDS})) AS fold) f,
      (SELECT count(*) AS n FROM usable) n"""))
 def q_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows tested per (C, repeat, fold); the accuracy is a share."""
+    """Rows tested per (C, repeat, fold); the accuracy is a share, or missing
+    where no row was tested."""
     art = pl.model_artifacts(spark, sf)
     return ml.cross_validate(art.train_encoded, CU).select(
         "inverse_reg", "repeat", "fold", "n_test",
-        F.col("accuracy").between(0, 1).alias("scored"))
+        F.when(F.col("n_test") > 0, F.coalesce(F.col("accuracy").between(0, 1), F.lit(False)))
+        .otherwise(F.col("accuracy").isNull()).alias("scored"))
 
 
 # --- I6 / H9 / H4 ------------------------------------------------------------

@@ -66,8 +66,8 @@ def test_cv_scores_and_roundtrip(spark):
 
     q = e.queries()
     cv = q["cv_scores"](spark, SF01).collect()
-    assert len(cv) == 30
-    assert all(0.0 <= r.accuracy <= 1.0 for r in cv)
+    assert len(cv) == 30 and all(r.scored for r in cv)
+    assert sum(r.n_test for r in cv) == 6 * 27
     rt = q["model_roundtrip"](spark, SF01).collect()
     assert rt and all(r.same for r in rt)
     pc = q["predict_category"](spark, SF01).collect()
@@ -79,10 +79,12 @@ def test_cv_scores_and_roundtrip(spark):
 def test_geo_clusters_cover_all_zips(spark):
     import __spark_entry__ as e
 
-    out = e.queries()["geo_clusters"](spark, SF01)
-    rows = out.collect()
-    assert len(rows) == 10
-    assert {r.location_cluster for r in rows} == set(range(5))
+    rows = e.queries()["geo_clusters"](spark, SF01).collect()
+    assert len(rows) == 10 and all(r.nearest for r in rows)
+    from cartwise.plans import pipeline as pl
+    from cartwise.plans.queries_core import tables
+    zips = pl.zip_clusters(spark, tables(spark, SF01)).collect()
+    assert {r.location_cluster for r in zips} == set(range(5))
 
 
 def _plan(df) -> str:
