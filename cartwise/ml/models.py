@@ -34,10 +34,17 @@ CV_SEED = 42
 INVERSE_REG_GRID = (1.0, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5)
 KMEANS_K = 5
 KMEANS_STARTS = 10
+ROWS_PER_FIT_PARTITION = 250_000
 # hex digits of a digest that name a bucket: 4096 buckets a class
 BUCKET_DIGITS = 3
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt to as many partitions as its rows need in an iterative fit;
+    a shuffle, so that the stage before it keeps its own parallelism."""
+    return df.repartition(max(1, -(-rows // ROWS_PER_FIT_PARTITION)))
+
+
 # --- H7 ----------------------------------------------------------------------
 def fit_kmeans(points: DataFrame, coords: Sequence[str], k: int = KMEANS_K,
                starts: int = KMEANS_STARTS, seed: int = CV_SEED, max_iter: int = 300):
@@ -45,7 +52,8 @@ def fit_kmeans(points: DataFrame, coords: Sequence[str], k: int = KMEANS_K,
     Returns the centres sorted by coordinates as a list of tuples."""
     vec = VectorAssembler(inputCols=list(coords), outputCol="_xy").transform(
         points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in coords)))
-    vec = vec.select("_xy").persist()
+    vec = vec.select("_xy")
+    vec = _dealt(vec, vec.count()).persist()
 
     def fit(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_xy",
@@ -184,9 +192,14 @@ def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_R
             "repeat", F.lit(r))
         folded = f if folded is None else folded.unionByName(f)
     folded = folded.select(key, FEATURES, LABEL, "repeat", "fold").persist()
+    source = folded
     sizes = {(row["repeat"], row["fold"]): row["n"] for row in
              folded.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {r: sum(n for (rr, _), n in sizes.items() if rr == r) for r in range(repeats)}
+    # every L-BFGS iteration is a job over all partitions: as many as the rows need
+    folded = _dealt(source, sum(sizes.values())).persist()
+    folded.count()
+    source.unpersist()
 
     def run(task):
         c, r, fold = task
