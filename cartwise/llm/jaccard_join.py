@@ -296,11 +296,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
                .join(linked.withColumnRenamed("node", "cid"), "cid", "left")
                .withColumn("label", F.coalesce("label", "cid")))
-    best = per_set.groupBy("label").agg(F.min("rep").alias("best"))
+    # written first, so that a hot class's rows can be split in the join
+    best = written(spark, per_set.groupBy("label").agg(F.min("rep").alias("best")), "best")
     per_set = written(spark, per_set.join(best, "label").select(
         "cls", "rep", "best", (F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
         .alias("n_links")), "classes")
-    discard(spark, links, linked, sets)
+    discard(spark, links, linked, sets, best)
     return (rows.select("doc_id", "th", "cls").join(per_set, "cls", "left")
             .select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id"))
                     .otherwise(F.col("best.doc_id")).alias("class_id"),
