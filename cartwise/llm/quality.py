@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_bound, ship_package, slices_by_bytes
-from .text_bytes import column_bytes, texts_bytes, word_hashes, word_spans
+from .text_bytes import column_bytes, word_hashes, word_spans
 
 SAMPLE_ROWS = 2000          # documents that the scorer is fitted on, at most
-SAMPLE_CHARS = 12_000       # longer ones aren't taken into that sample
 BINS = 4096
 THRESHOLD = 0.5
 SLICE_BYTES = 2 << 20
@@ -147,20 +146,34 @@ def hashed(data: np.ndarray, ends: np.ndarray, bins: int = BINS):
 REPEAT_WEIGHT = 4.0         # the repeated-word feature's scale beside the triples' shares
 
 
-def fit_scorer(texts: list[str], labels: np.ndarray, rounds: int = 250, ridge: float = 1e-4):
-    """Weights (bins + repeat + bias) of a logistic scorer on soft labels."""
-    x = np.zeros((len(texts), BINS + 2), np.float32)
-    for i, t in enumerate(texts):
-        code, _, repeats = hashed(*texts_bytes([t]))
-        x[i, :BINS] = np.sqrt(np.bincount(code, minlength=BINS) / max(1, len(code)))
-        x[i, BINS] = REPEAT_WEIGHT * repeats[0]
+def features(data: np.ndarray, ends: np.ndarray):
+    """(bins, shares, ends, repeats): the bins of each row and the square roots
+    of their shares of its triples, at most ``BINS`` a row, where each row's
+    end, and its share of repeated words."""
+    n = len(ends) - 1
+    code, row, repeats = hashed(data, ends)
+    at, k = np.unique(row * BINS + code, return_counts=True)
+    r = at // BINS
+    total = np.maximum(np.bincount(row, minlength=n), 1)
+    return ((at % BINS).astype(np.uint16), np.sqrt(k / total[r]).astype(np.float32),
+            np.searchsorted(r, np.arange(n + 1)), repeats)
+
+
+def fit_scorer(rows: list[tuple[bytes, bytes, float]], labels: np.ndarray, rounds: int = 250,
+               ridge: float = 1e-4):
+    """Weights (bins + repeat + bias) of a logistic scorer on soft labels, from
+    the bins, shares and repeats of ``features``."""
+    x = np.zeros((len(rows), BINS + 2), np.float32)
+    for i, (bins, shares, repeats) in enumerate(rows):
+        x[i, np.frombuffer(bins, np.uint16)] = np.frombuffer(shares, np.float32)
+        x[i, BINS] = REPEAT_WEIGHT * repeats
     x[:, -1] = 1
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     labels = labels.astype(np.float32)
-    step = np.float32(4.0 * len(texts) / max(np.einsum("ij,ij->", x, x), 1)) if texts else 0
+    step = np.float32(4.0 * len(rows) / max(np.einsum("ij,ij->", x, x), 1)) if rows else 0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = (p - labels) @ x / max(1, len(texts)) + np.float32(ridge) * w
+        g = (p - labels) @ x / max(1, len(rows)) + np.float32(ridge) * w
         speed = np.float32(0.9) * speed - step * g
         w += speed
     return w.astype(np.float64)
@@ -196,8 +209,40 @@ def _patterns(narrow: DataFrame) -> DataFrame:
         .groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
-        sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, dict]:
+def _sample(rows: DataFrame, sample_rows: int) -> list:
+    """Pattern and features of the distinct texts of ``rows`` (h, text), at most
+    ``sample_rows``.  A text is read in its task, whatever its length; what
+    leaves the task has a fixed size at most."""
+    def read(batches):
+        import pyarrow as pa
+
+        seen = set()                # copies of a text are read once a task
+        for b in slices_by_bytes(batches, 1, SLICE_BYTES):
+            new = []
+            for i, h in enumerate(b.column(0).to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
+            data, ends = column_bytes(b.column(1))
+            bins, shares, cut, repeats = features(data, ends)
+            parts = list(zip(cut[:-1], cut[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(pattern_of(votes(measures(data, ends))), pa.int64()),
+                 pa.array([bins[i:j].tobytes() for i, j in parts], pa.binary()),
+                 pa.array([shares[i:j].tobytes() for i, j in parts], pa.binary()),
+                 pa.array(repeats, pa.float64())],
+                names=["h", "pattern", "bins", "shares", "repeats"])
+
+    return (rows.mapInArrow(read, "h long, pattern long, bins binary, shares binary, "
+                                  "repeats double")
+            .groupBy("h").agg(F.first(F.struct("pattern", "bins", "shares", "repeats"))
+                              .alias("f"))
+            .orderBy(F.hash("h"), "h").limit(sample_rows).select("f.*").collect())
+
+
+def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS
+        ) -> tuple[np.ndarray, dict]:
     """(scorer weights, {labeller: (accuracy on good, accuracy on junk)})."""
     ship_package(df.sparkSession)
     arrow_bound(df.sparkSession)
@@ -214,15 +259,17 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
                 for j, name in enumerate(LABELLERS)}
     # a hash of the text picks the sample: about twice the rows, then exactly
     share = min(1.0, 2 * sample_rows / max(1, int(n.sum())))
-    h = F.xxhash64("text")
-    sample = (narrow.filter(F.char_length("text") <= sample_chars)
-              .withColumn("h", h)
-              .filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-              .groupBy("h").agg(F.first("text").alias("text"))
-              .orderBy(F.hash("h"), "h").limit(sample_rows).select("text").collect())
-    texts = [r["text"] for r in sample]
-    mine = pattern_of(votes(measures(*texts_bytes(texts))))
-    return fit_scorer(texts, post[np.searchsorted(pattern, mine)]), accuracy
+    rows = narrow.select(F.xxhash64("text").alias("h"), "text")
+    sample = _sample(rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1),
+                     sample_rows)
+    if share < 1 and len(sample) < sample_rows // 2:
+        # so many copies that the hash picked few texts or none
+        picked = [r["h"] for r in rows.select("h").distinct().orderBy(F.hash("h"), "h")
+                  .limit(sample_rows).collect()]
+        sample = _sample(rows.filter(F.col("h").isin(picked)), sample_rows)
+    mine = np.array([r["pattern"] for r in sample], np.int64)
+    return fit_scorer([(r["bins"], r["shares"], r["repeats"]) for r in sample],
+                      post[np.searchsorted(pattern, mine)]), accuracy
 
 
 def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -373,6 +373,40 @@ def test_quality_against_the_labels(spark, con):
         sum(not out[i].keep for i, q in truth.items() if q) <= 0.01 * len(truth)
 
 
+def test_quality_of_long_documents(spark, con):
+    """Only documents beyond any bound on a sampled text's length."""
+    rows = []
+    for q in (True, False):
+        texts = [t for (t,) in con.execute(
+            "SELECT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id "
+            f"WHERE d.text <> '' AND l.quality::INT = {int(q)} ORDER BY d.doc_id").fetchall()]
+        k = 0
+        while k < len(texts) and len(rows) < (80 if q else 120):
+            long = ""
+            while len(long) <= 12_500 and k < len(texts):
+                long, k = f"{long} {texts[k]}", k + 1
+            if len(long) > 12_500:
+                rows.append((len(rows), long, q))
+    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
+    got = {r.doc_id: r for r in quality.quality_scores(df).collect()}
+    junk = [i for i, _, q in rows if not q]
+    assert len(junk) >= 5 and len(rows) - len(junk) >= 20
+    assert sum(got[i].keep for i in junk) <= 0.1 * len(junk)
+    assert sum(got[i].keep for i, _, q in rows if q) >= 0.9 * (len(rows) - len(junk))
+
+
+def test_quality_of_many_copies(spark, con):
+    """Few distinct texts in so many rows that a share of the hashes has none."""
+    texts = {q: con.execute(
+        "SELECT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text <> '' "
+        f"AND l.quality::INT = {q} ORDER BY length(d.text) DESC LIMIT 3").fetchall()
+        for q in (0, 1)}
+    rows = [(k, texts[int(k % 2)][k // 2 % 3][0]) for k in range(600)]
+    weights, _ = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                             sample_rows=6)
+    assert np.abs(weights).max() > 0
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.8
