@@ -20,12 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from .common import arrow_bound, ship_package, slices_by_bytes
-from .text_bytes import column_bytes, texts_bytes
+from .text_bytes import column_bytes
 
 ROWS_PER_LANG = 500        # training rows a language, at most
 LANDMARKS_PER_LANG = 48    # stretches
-MOST_LANGS = 1000
-TRAIN_CHARS = 20_000       # longer rows aren't trained on
+SHARED_LANGS = 1000        # more languages share the rows and landmarks of so many
 STRETCHES_PER_ROW = 3      # of a training row, spread over its length
 STRETCH = 4096
 SLICE_BYTES = 1 << 20
@@ -123,23 +122,21 @@ def _kernel(x: np.ndarray, landmarks: np.ndarray, own: np.ndarray) -> np.ndarray
     return both / np.sqrt(mine[:, None] * own[None, :])
 
 
-def train(texts: list[str], langs: list[str]) -> KernelClassifier | None:
-    """Fit on the rows given; None without any."""
+def train(pieces: list[list[bytes]], langs: list[str]) -> KernelClassifier | None:
+    """Fit on the rows given, each by its stretches; None without any."""
     names = sorted(set(langs))
-    if not names:
+    flat = [p for own in pieces for p in own]
+    if not flat:
         return None
-    data, ends = texts_bytes(texts)
-    start, stop, row = stretches(ends)
-    first = np.searchsorted(row, np.arange(len(texts)))
-    count = np.bincount(row, minlength=len(texts))
-    pick = np.concatenate([f + np.unique(np.linspace(0, c - 1, min(c, STRETCHES_PER_ROW))
-                                         .astype(int)) for f, c in zip(first, count) if c]
-                          or [np.zeros(0, int)])
-    if not len(pick):
-        return None
-    y = np.array([names.index(v) for v in langs])[row[pick]]
-    marks = np.concatenate([pick[y == k][np.unique(np.linspace(
-        0, (y == k).sum() - 1, min((y == k).sum(), LANDMARKS_PER_LANG)).astype(int))]
+    data = np.frombuffer(b"".join(flat), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in flat])])
+    start, stop = ends[:-1], ends[1:]
+    row = np.repeat(np.arange(len(pieces)), [len(own) for own in pieces])
+    number = {v: k for k, v in enumerate(names)}
+    most = max(1, min(LANDMARKS_PER_LANG, LANDMARKS_PER_LANG * SHARED_LANGS // len(names)))
+    y = np.array([number[v] for v in langs])[row]
+    marks = np.concatenate([np.flatnonzero(y == k)[np.unique(np.linspace(
+        0, (y == k).sum() - 1, min((y == k).sum(), most)).astype(int))]
         for k in range(len(names)) if (y == k).any()])
     # the vocabulary: the n-grams of the landmarks
     index = np.full(ALL_GRAMS, -1, np.int64)
@@ -149,11 +146,13 @@ def train(texts: list[str], langs: list[str]) -> KernelClassifier | None:
     known = np.flatnonzero(index == 0)
     index[:] = len(known)
     index[known] = np.arange(len(known))
-    rows = np.concatenate([presence(data, start[k:k + 1], stop[k:k + 1], index, len(known))
-                           for k in pick])
-    landmarks = rows[np.searchsorted(pick, np.sort(marks))]
+    marks = np.sort(marks)
+    landmarks = np.concatenate([presence(data, start[k:k + 1], stop[k:k + 1], index, len(known))
+                                for k in marks])
     own = np.maximum(landmarks.sum(axis=1), 1)
-    block = _kernel(rows, landmarks, own).astype(np.float64)
+    block = np.concatenate([
+        _kernel(presence(data, start[k:k + 256], stop[k:k + 256], index, len(known)),
+                landmarks, own) for k in range(0, len(flat), 256)]).astype(np.float64)
     values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks, own).astype(np.float64))
     ok = values > 1e-8 * values.max()
     root = vectors[:, ok] / np.sqrt(values[ok])          # K_mm ** -1/2
@@ -164,25 +163,41 @@ def train(texts: list[str], langs: list[str]) -> KernelClassifier | None:
     return KernelClassifier(names, index, landmarks, weights.astype(np.float32))
 
 
+def trained_on(text: Column) -> Column:
+    """array<binary>: the stretches of a text that are trained on, cut as
+    ``stretches`` does, at most ``STRETCHES_PER_ROW`` spread over its length."""
+    size = F.octet_length(text).cast("long")
+    parts = F.ceil(size / STRETCH)
+    spread = F.array(*[F.floor((parts - 1) * F.lit(k) / (STRETCHES_PER_ROW - 1))
+                       for k in range(STRETCHES_PER_ROW)])
+    at = lambda k: F.floor(k * size / parts).cast("int")
+    return F.transform(F.array_distinct(spread), lambda k: F.substring(
+        text.cast("binary"), at(k) + 1, at(k + 1) - at(k)))
+
+
 def training_rows(df: DataFrame, text_col: str, lang_col: str, id_col: str,
-                  per_lang: int) -> tuple[list[str], list[str]]:
-    """At most ``per_lang`` rows a language, picked by a hash of the id after a
-    count a language, so that a frequent one sends no more than a rare one."""
+                  per_lang: int) -> tuple[list[list[bytes]], list[str]]:
+    """Stretches and language of at most ``per_lang`` rows a language, picked by
+    a hash of the id after a count a language, so that a frequent one sends no
+    more than a rare one.  Rows of every length are drawn; a row is cut in its
+    task.  Beyond ``SHARED_LANGS`` languages each sends fewer rows, one at
+    least."""
     rows = (df.select(df[id_col].alias("i"), df[text_col].alias("text"),
                       df[lang_col].alias("lang"))
             .filter("lang IS NOT NULL AND text IS NOT NULL")
-            .filter((F.octet_length("text") > 0) & (F.char_length("text") <= TRAIN_CHARS)
-                    & F.col("text").rlike(r"\p{L}")))
+            .filter((F.octet_length("text") > 0) & F.col("text").rlike(r"\p{L}")))
     n = rows.groupBy("lang").count()
-    if n.limit(MOST_LANGS + 1).count() > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages to learn")
+    per_lang = max(1, min(per_lang, per_lang * SHARED_LANGS // max(1, n.count())))
     draw = F.pmod(F.xxhash64("i", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # a language of few rows sends them all; of others about twice the rows are
+    # cut, 20 at least, so that none is left without a row
     some = (rows.join(n, "lang").withColumn("u", draw)
-            .filter(F.col("u") < 2.0 * per_lang / F.col("count")))
-    first = Window.partitionBy("lang").orderBy("u", "text")
+            .filter(F.col("u") < max(2.0 * per_lang, 20.0) / F.col("count"))
+            .select("lang", "u", trained_on(F.col("text")).alias("pieces")))
+    first = Window.partitionBy("lang").orderBy("u", "pieces")
     got = (some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang)
-           .orderBy("lang", "r").select("text", "lang").collect())
-    return [g["text"] for g in got], [g["lang"] for g in got]
+           .orderBy("lang", "r").select("pieces", "lang").collect())
+    return [[bytes(p) for p in g["pieces"]] for g in got], [g["lang"] for g in got]
 
 
 def held_out(id_col: str) -> Column:

@@ -51,6 +51,47 @@ def test_languages_held_out(spark, con):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
+def test_language_of_long_rows_only(spark):
+    """A language whose labelled rows are all long is learnt like the others."""
+    rng = random.Random(8)
+    kinds = {"xx": ["bada", "gobo", "luda", "mobu"], "yy": ["skri", "tsch", "pfel", "zwik"]}
+
+    def text(kind, n):
+        return " ".join(rng.choice(kinds[kind]) + rng.choice(kinds[kind]) for _ in range(n))
+
+    rows = [(k, text("xx", 3_000), "xx") for k in range(40)]
+    rows += [(100 + k, text("yy", 40), "yy") for k in range(40)]
+    rows += [(200 + k, text(("xx", "yy")[k % 2], 30), None) for k in range(20)]
+    assert min(len(t) for _, t, v in rows if v == "xx") > 20_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert [got[200 + k] for k in range(20)] == ["xx", "yy"] * 10
+    assert all(got[k] == "xx" for k in range(40))
+
+
+def test_languages_beyond_a_thousand(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, f"{a}{b}{a}{b} " * 8, f"{a}{b}") for k, (a, b) in enumerate(
+        (a, b) for a in alphabet + "éèñöüß" for b in alphabet + "éèñöüßåç")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces, langs = langid.training_rows(df, "text", "lang", "doc_id", 500)
+    assert len(set(langs)) == len(rows) > 1000 and len(pieces) == len(rows)
+    assert langid.train(pieces, langs).langs == sorted(langs)
+
+
+def test_stretches_cut_in_the_task(spark):
+    texts = ["é" * n for n in (1, 2048, 2049, 5000, 9000, 40_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [[bytes(p) for p in r.p] for r in
+           df.select(langid.trained_on(df.text).alias("p")).collect()]
+    data, ends = texts_bytes(texts)
+    start, stop, row = langid.stretches(ends)
+    for i, own in enumerate(got):
+        cuts = np.flatnonzero(row == i)
+        cuts = cuts[np.unique(np.linspace(0, len(cuts) - 1, min(len(cuts), 3)).astype(int))]
+        assert own == [data[start[k]:stop[k]].tobytes() for k in cuts]
+
+
 def test_kernel_is_the_plain_one():
     texts = ["abc abd", "zzz abc", "hello there world", "völlig anders"]
     data, ends = texts_bytes(texts)
