@@ -135,15 +135,18 @@ class _Builder(HTMLParser):
     def unknown_decl(self, data):
         pass
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:      # an unknown declaration is a comment up to '>'
+            return self.parse_bogus_comment(i)
+
 
 def parse(html: str | None) -> Node:
     """The page's tree; mark-up that isn't closed ends where HTML lets it."""
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except AssertionError:      # a declaration that the parser can't read
-        pass
+    b.feed(html or "")
+    b.close()
     return b.root
 
 

@@ -134,6 +134,16 @@ def test_wrapper_finds_the_template():
     assert all(t.startswith("Share") and "w1x7" in t for t in copies)
 
 
+def test_text_after_an_unknown_declaration():
+    for odd in ("<![1]>", "<![foo[x]]>", "<![>", "<![ x", "<!x>", "<![endif]-->", "<![if x]>",
+                "<![CDATA[x]]>", "<!DOCTYPE", "<!>", "<?x?>"):
+        page = f"<p>one</p>{odd}<p>two</p><p>three</p>"
+        out, = html_extract.extract_block([page])
+        assert out.startswith("one") and out.endswith("three"), (odd, out)
+        if odd.endswith(">"):
+            assert "two" in out, (odd, out)
+
+
 def test_tree_match_is_the_largest():
     def tree(spec, parent=None):
         n = html_extract.Node(spec[0], parent)
