@@ -5,8 +5,11 @@ the DOM trees are aligned with a reference page's by simple tree matching
 (largest order-preserving match of the children of matched nodes).  A node
 that has the same text on nearly all pages it aligns on is template; slots
 that vary are content.  What a page's own mark-up calls navigation, notice,
-advert, form or comment is never content, however it varies; an article or
-main element, where a page has one, bounds the content.
+advert, form or comment is not content, however it varies; an article or
+main element, where a page has one, bounds the content.  But a class, an id or
+a form says so only beside the content: one that holds it is released, and an
+article that holds less of what varies than the rest of main or body doesn't
+bound it.
 
 A host with very many pages has very many blocks, so no task sees more than a
 block's pages; the block comes from a hash of the page id.
@@ -30,6 +33,8 @@ VOTERS = 4              # pages of different content that a template node needs
 CONSTANT = 0.9          # share of those on which it has one text
 COPY = 0.5              # pages that share more of their text are copies, not voters
 DEPTH = 200             # deeper elements hang on their ancestor of this depth
+LITTLE = 0.1            # share of a page's varying text that is too little to be its content
+BOUND = 0.5             # share of it that an article has to hold to bound the content
 CELLS = 250_000         # of one child-list comparison; longer lists match in order
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -61,30 +66,32 @@ _NAME = re.compile(r"[a-z]+")
 class Node:
     """An element (tag, kids) or a text (tag '#text', text)."""
 
-    __slots__ = ("tag", "text", "kids", "parent", "never", "shape", "size")
+    __slots__ = ("tag", "text", "kids", "parent", "never", "named", "shape", "size")
 
     def __init__(self, tag: str, parent: "Node | None", text: str = ""):
         self.tag, self.parent, self.text = tag, parent, text
         self.kids: list[Node] = []
-        self.never = False
+        self.never = False      # excluded
+        self.named = False      # by a name or as a form only
         self.shape = self.size = 0
 
 
-def _excluded(tag: str, attrs: list, in_article: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not in_article):
-        return True
+def _excluded(tag: str, attrs: list, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is excluded, and whether by a name or as a form only."""
+    named = tag == "form"
+    if not named and (tag in NEVER or (tag == "header" and not in_article)):
+        return True, False
     for k, v in attrs:
         if k == "hidden" or (k == "aria-hidden" and v == "true"):
-            return True
+            return True, False
         if v and (k == "class" or k == "id"):
             found = NAMES.intersection(_NAME.findall(v.lower()))
-            if found and not (in_article and found <= TITLES):
-                return True
+            named = named or bool(found and not (in_article and found <= TITLES))
         elif v and k == "role" and v.lower() in ROLES:
-            return True
+            return True, False
         elif v and k == "style" and "display:none" in v.replace(" ", "").lower():
-            return True
-    return False
+            return True, False
+    return named, named
 
 
 class _Builder(HTMLParser):
@@ -108,8 +115,9 @@ class _Builder(HTMLParser):
             self._close({"p"}, BLOCKS - {"p"})
         parent = self.open[-1]
         node = Node(tag, parent)
-        node.never = bool(attrs or tag in NEVER or tag == "header") and _excluded(
-            tag, attrs, any(n.tag == "article" for n in self.open))
+        if attrs or tag in NEVER or tag == "header":
+            node.never, node.named = _excluded(tag, attrs,
+                                               any(n.tag == "article" for n in self.open))
         parent.kids.append(node)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
@@ -225,22 +233,78 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def scope(nodes: list[Node]) -> list[Node]:
+def _varying(nodes: list[Node], template: set[int], named: bool) -> dict[int, int]:
+    """For each element the characters below it that vary and aren't excluded;
+    with ``named`` those that only a name or a form excludes count too."""
+    out: dict[int, int] = {}
+    for n in reversed(nodes):
+        if n.never and not (named and n.named):
+            out[id(n)] = 0
+        elif n.tag == "#text":
+            out[id(n)] = 0 if id(n) in template else sum(map(len, n.text.split()))
+        else:
+            out[id(n)] = sum(out[id(k)] for k in n.kids)
+    return out
+
+
+def _outermost(nodes: list[Node], wanted) -> list[Node]:
+    """The outermost elements that ``wanted`` accepts and nothing excludes."""
+    found, skip = [], set()
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in skip:
+            skip.add(id(n))
+        elif wanted(n):
+            found.append(n)
+            skip.add(id(n))
+        elif n.never:
+            skip.add(id(n))
+    return found
+
+
+def release(nodes: list[Node], template: set[int]) -> None:
+    """Undo exclusions by name or as a form, the outermost first, of what holds
+    the content: the only article or main, or those with most of the page's
+    varying text, where none is left; and where little of that text is left,
+    any article or main, or most of the text.  (That a comment section is longer
+    than its article doesn't release it.)"""
+    if not any(n.named and n.never for n in nodes):
+        return
+    whole = _varying(nodes, template, True)
+    total = whole[id(nodes[0])]
+    bounds: dict[int, int] = {}                 # articles and mains with text, outermost
+    for n in reversed(nodes):
+        if n.tag in ("article", "main") and whole[id(n)]:
+            bounds[id(n)] = 1
+        else:
+            bounds[id(n)] = sum(bounds[id(k)] for k in n.kids) if whole[id(n)] else 0
+    while total:
+        left = _varying(nodes, template, False)
+        little = left[id(nodes[0])] < LITTLE * total
+        none = not any(n.tag in ("article", "main") and left[id(n)] and not n.never
+                       for n in _outermost(nodes, lambda n: n.tag in ("article", "main")))
+        out = []
+        for n in _outermost(nodes, lambda n: n.never and n.named):
+            held, most = bounds[id(n)], 2 * whole[id(n)] > total
+            if (none and (held == 1 or held and most)) or (little and (held or most)):
+                out.append(n)
+        if not out:
+            return
+        for n in out:
+            n.never = False
+
+
+def scope(nodes: list[Node], template: set[int] = frozenset()) -> list[Node]:
     """The elements that bound the content: outermost articles, else main
-    elements, else the body, else the whole page."""
-    for tag in ("article", "main", "body"):
-        found, skip = [], set()
-        for n in nodes:
-            if n.parent is not None and (id(n.parent) in skip):
-                skip.add(id(n))
-            elif n.never:
-                skip.add(id(n))
-            elif n.tag == tag:
-                found.append(n)
-                skip.add(id(n))
-        if found:
-            return found
-    return nodes[:1]
+    elements, else the body, else the whole page.  Articles or a main element
+    that hold less than ``BOUND`` of the varying text of the next don't."""
+    size = _varying(nodes, template, False)
+    held = lambda found: sum(size[id(n)] for n in found)
+    best: list[Node] = []
+    for tag in ("article", "main", "body", "#root"):
+        found = _outermost(nodes, lambda n: n.tag == tag and not n.never)  # noqa: B023
+        if found and (not best or held(best) < BOUND * held(found)):
+            best = found
+    return best or nodes[:1]
 
 
 def content_text(roots: list[Node], template: set[int]) -> str:
@@ -318,7 +382,11 @@ def induce(trees: list[list[Node]]) -> list[set[int]]:
 def extract_block(pages: list[str | None]) -> list[str]:
     """Texts of the pages of one block."""
     trees = [_walk(parse(h)) for h in pages]
-    return [content_text(scope(t), skip) for t, skip in zip(trees, induce(trees))]
+    out = []
+    for t, skip in zip(trees, induce(trees)):
+        release(t, skip)
+        out.append(content_text(scope(t, skip), skip))
+    return out
 
 
 def host_of(url_col: str) -> Column:

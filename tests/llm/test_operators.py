@@ -144,6 +144,35 @@ def test_text_after_an_unknown_declaration():
             assert "two" in out, (odd, out)
 
 
+def test_names_of_wrappers_exclude_nothing():
+    def words(k, n, mark="w"):
+        return " ".join(f"{mark}{k}x{j}" for j in range(n))
+
+    pages = {
+        "body": lambda k: f"<body class='has-sidebar'><article>{words(k, 60)}</article>"
+                          f"<div class='comments'>{words(k, 300, 'c')}</div></body>",
+        "nested": lambda k: "<body class='modal-open'><div class='content with-sidebar'><main>"
+                            f"{words(k, 60)}</main><div class='sidebar'>{words(k, 9, 'c')}</div>"
+                            "</div></body>",
+        "share": lambda k: f"<body><p>t{k}</p><div class='post-share'><p>{words(k, 60)}</p></div>"
+                           f"<div class='share'>{words(k, 9, 'c')}</div></body>",
+        "beside": lambda k: f"<body><p>{words(k, 20, 'i')}</p><div class='content no-sidebar'>"
+                            f"<article>{words(k, 60)}</article></div></body>",
+        "form": lambda k: f"<body><form><div><p>{words(k, 60)}</p></div><nav>c{k}x</nav>"
+                          "</form></body>",
+        "teaser": lambda k: f"<body><main><div><p>{words(k, 60)}</p></div><nav>c{k}x</nav>"
+                            f"<article>t{k} more</article></main></body>",
+    }
+    for name, page in pages.items():
+        for many in (1, 8):
+            for k, text in enumerate(html_extract.extract_block([page(k) for k in range(many)])):
+                assert words(k, 60) in text and f"c{k}x" not in text, (name, many, text)
+    # what a name rightly excludes stays out, however long beside an article
+    side = "<body><article>{}</article><div class='comments'>{}</div></body>"
+    out, = html_extract.extract_block([side.format(words(1, 50), words(1, 300, "c"))])
+    assert out == words(1, 50)
+
+
 def test_tree_match_is_the_largest():
     def tree(spec, parent=None):
         n = html_extract.Node(spec[0], parent)
