@@ -31,11 +31,12 @@ from .common import arrow_bound, ship_package, written
 BLOCK = 32
 VOTERS = 4              # pages of different content that a template node needs
 CONSTANT = 0.9          # share of those on which it has one text
-COPY = 0.5              # pages that share more of their text are copies, not voters
+COPY = 0.5              # pages that share more of what varies are copies, not voters
+SAME = 0.1              # pages that vary in no more of their text are copies too
 DEPTH = 200             # deeper elements hang on their ancestor of this depth
 LITTLE = 0.1            # share of a page's varying text that is too little to be its content
 BOUND = 0.5             # share of it that an article has to hold to bound the content
-CELLS = 250_000         # of one child-list comparison; longer lists match in order
+CELLS = 250_000         # of one child-list comparison; longer lists match in a band
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
@@ -185,7 +186,7 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             return 0
         if x.shape == y.shape:
             return x.size
-        key = (id(x), id(y))
+        key = (x.shape, y.shape)
         if key not in weights:
             weights[key] = 1 + sum(weight(*p) for p in pairs(x.kids, y.kids))
         return weights[key]
@@ -195,35 +196,47 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             return list(zip(xs, ys))
         if not xs or not ys:
             return []
-        if len(xs) * len(ys) > CELLS:
-            out, j = [], 0
-            for x in xs:
-                k = next((k for k in range(j, min(len(ys), j + 64)) if ys[k].tag == x.tag), None)
-                if k is not None:
-                    out.append((x, ys[k]))
-                    j = k + 1
-            return out
-        best = [[0] * (len(ys) + 1)]
+        n, m, half = len(xs), len(ys), len(ys)
+        head: list[tuple[Node, Node]] = []
+        tail: list[tuple[Node, Node]] = []
+        if n * m > CELLS:
+            # equal structures at the ends are in a largest match; of what is
+            # left the table has a band along the diagonal
+            k = next((k for k, (x, y) in enumerate(zip(xs, ys)) if x.shape != y.shape), min(n, m))
+            head, xs, ys = list(zip(xs[:k], ys[:k])), xs[k:], ys[k:]
+            k = next((k for k, (x, y) in enumerate(zip(xs[::-1], ys[::-1]))
+                      if x.shape != y.shape), min(len(xs), len(ys)))
+            n, m = len(xs) - k, len(ys) - k
+            tail, xs, ys = list(zip(xs[n:], ys[m:])), xs[:n], ys[:m]
+            half = m if n * m <= CELLS else max(4, 2 * CELLS // n)
+        lo = [max(0, i * m // max(1, n) - half) for i in range(n + 1)]
+        hi = [min(m, (i + 1) * m // max(1, n) + half) for i in range(n + 1)]
+        best = [[0] * (hi[0] + 1)]
         gain = []
-        for x in xs:
-            up, row, g = best[-1], [0], []
-            for j, y in enumerate(ys):
-                w = weight(x, y)
+        for i, x in enumerate(xs, 1):
+            up, first, last = best[-1], lo[i - 1], hi[i - 1]
+            row, g, most = [], [], 0
+            for j in range(lo[i], hi[i] + 1):
+                # right of its band a row is as at the band's end
+                w = weight(x, ys[j - 1]) if j > first else 0
+                most = max(up[min(j, last) - first], most,
+                           up[min(j - 1, last) - first] + w if w else 0)
                 g.append(w)
-                row.append(max(up[j + 1], row[j], up[j] + w if w else 0))
+                row.append(most)
             best.append(row)
             gain.append(g)
-        out, i, j = [], len(xs), len(ys)
-        while i and j:
-            g = gain[i - 1][j - 1]
-            if g and best[i][j] == best[i - 1][j - 1] + g:
+        out, i, j = [], n, m
+        while i and j and j >= lo[i]:
+            here, w = best[i][j - lo[i]], gain[i - 1][j - lo[i]]
+            first, last = lo[i - 1], hi[i - 1]
+            if w and here == best[i - 1][min(j - 1, last) - first] + w:
                 out.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
+                i, j = i - 1, min(j - 1, last)
+            elif here == best[i - 1][min(j, last) - first]:
+                i, j = i - 1, min(j, last)
             else:
                 j -= 1
-        return out[::-1]
+        return head + out[::-1] + tail
 
     out, todo = [], [(a, b)] if a.tag == b.tag else []
     while todo:
@@ -340,6 +353,17 @@ def content_text(roots: list[Node], template: set[int]) -> str:
     return " ".join(blocks)
 
 
+def _shown(nodes: list[Node]) -> list[int]:
+    """Ids of the texts that nothing but a name or a form excludes."""
+    out, skip = [], set()
+    for n in nodes:
+        if (n.never and not n.named) or (n.parent is not None and id(n.parent) in skip):
+            skip.add(id(n))
+        elif n.tag == "#text":
+            out.append(id(n))
+    return out
+
+
 def induce(trees: list[list[Node]]) -> list[set[int]]:
     """For each tree (its nodes, parents first): the ids of its template texts."""
     none: list[set[int]] = [set() for _ in trees]
@@ -354,14 +378,21 @@ def induce(trees: list[list[Node]]) -> list[set[int]]:
         aligned.append({id(y): x for x, y in match(t[0], trees[ref][0]) if x.tag == "#text"})
     clean = lambda n: " ".join(n.text.split())
     mine = {id(n): clean(n) for n in trees[ref] if n.tag == "#text"}
-    total = sum(map(len, mine.values())) or 1
-    voters, seen = [], set()
-    for k, a in enumerate(aligned):
-        whole = hash(tuple(clean(n) for n in trees[k] if n.tag == "#text"))
-        alike = sum(len(mine[y]) for y, x in a.items() if clean(x) == mine[y])
-        if whole not in seen and (k == ref or alike <= COPY * total):
-            voters.append(k)
-            seen.add(whole)
+    # pages of one content have one vote
+    distinct = list({tuple(clean(n) for n in trees[k] if n.tag == "#text"): k
+                     for k in [*range(len(trees)), ref]}.values())
+    alike = [{y for y, x in a.items() if clean(x) == mine[y]} for a in aligned]
+    # copies are told by what varies: not by scripts and the like, nor by texts
+    # that nearly all pages share, unless next to nothing else is there
+    shown = _shown(trees[ref])
+    varied = [y for y in shown
+              if sum(y in alike[k] for k in distinct) < CONSTANT * len(distinct)]
+    chars = lambda ys: sum(len(mine[y]) for y in ys)
+    if chars(varied) <= SAME * chars(shown):
+        varied = shown
+    most = COPY * chars(varied)
+    voters = [k for k in distinct
+              if k == ref or chars(y for y in varied if y in alike[k]) <= most]
     if len(voters) < VOTERS:
         return none
     constant: dict[int, str] = {}

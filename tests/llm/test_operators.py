@@ -134,6 +134,39 @@ def test_wrapper_finds_the_template():
     assert all(t.startswith("Share") and "w1x7" in t for t in copies)
 
 
+@pytest.mark.parametrize("heavy", ["notice", "style", "script"])
+def test_wrapper_finds_a_template_larger_than_the_content(heavy):
+    fixed = " ".join(f"fixed{j}" for j in range(120))
+    around = {"notice": f"<p>{fixed}</p>", "style": f"<style>{fixed}</style>",
+              "script": f"<script>{fixed}</script>"}[heavy]
+
+    def page(k):
+        own = " ".join(f"w{k}x{j}" for j in range(25))
+        return f"<body><div>{around}<p>Share this story</p><p>{own}</p></div></body>"
+
+    out = html_extract.extract_block([page(k) for k in range(8)])
+    assert out == [" ".join(f"w{k}x{j}" for j in range(25)) for k in range(8)]
+    # near copies, which differ in a date only, still say nothing about a template
+    near = html_extract.extract_block([page(1).replace("</div>", f"<p>{k} May</p></div>")
+                                       for k in range(8)])
+    assert all("w1x7" in t for t in near)
+
+
+def test_long_lists_are_aligned():
+    """700 rows, some of another form, and 90 more in front of the others."""
+    def page(k, more):
+        rows = [f"<li>t{j}</li>" if j % 7 else f"<li><b>t{j}</b></li>" for j in range(700)]
+        rows.insert(350, f"<li><i>own{k}</i></li>")
+        return "<body><ul>" + f"<li><u>w{k}</u></li>" * more + "".join(rows) + "</ul></body>"
+
+    a, b = (html_extract._walk(html_extract.parse(page(k, n))) for k, n in ((1, 1), (2, 90)))
+    shapes: dict = {}
+    html_extract.measure(a, shapes)
+    html_extract.measure(b, shapes)
+    texts = [(x.text, y.text) for x, y in html_extract.match(a[0], b[0]) if x.tag == "#text"]
+    assert sum(x == y for x, y in texts) == 700
+
+
 def test_text_after_an_unknown_declaration():
     for odd in ("<![1]>", "<![foo[x]]>", "<![>", "<![ x", "<!x>", "<![endif]-->", "<![if x]>",
                 "<![CDATA[x]]>", "<!DOCTYPE", "<!>", "<?x?>"):
