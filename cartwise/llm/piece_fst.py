@@ -1,15 +1,17 @@
-"""SentencePiece encoding and decoding as a weighted transducer.
+"""SentencePiece encoding and decoding as a transducer.
 
 The machine for a text is the composition of
 
 * the normaliser: a blank in front, blanks become U+2581;
-* the pieces: an arc for each piece of the vocabulary, weight one;
+* the pieces: an arc for each piece of the vocabulary;
 * byte fallback: a character without a piece becomes its UTF-8 byte pieces;
-* the merge order: an acceptor of pairs of neighbouring pieces, with an
-  infinite weight for a pair that the merges would not leave side by side.
+* the merge order: an acceptor of pairs of neighbouring pieces, which refuses
+  a pair that the merges would not leave side by side.
 
-A merge vocabulary leaves exactly one path of finite weight to each position,
-so the tropical shortest path over (min, +) is the library's encoding.  Runs
+A merge vocabulary leaves exactly one admitted path to each position, so there
+is no weight to minimise: whatever the arcs weighed, the shortest path over
+(min, +) would be that one, which is the library's encoding.  A depth-first
+search, longest arcs first, finds it.  Runs
 of U+2581, whose pieces all have one score, are a sub-machine of their own:
 an arc for a run's length, with the output of the leftmost merges.
 
@@ -166,7 +168,7 @@ class PieceTransducer:
     def shortest_path(self, s: str) -> list[int]:
         """Ids of the shortest path over a word without unknown characters.
 
-        Every position has one path of finite weight, so the first one found
+        Every position has one admitted path, so the first one found
         is its shortest; arcs are tried longest first, and the search ends at
         the last position.
         """
