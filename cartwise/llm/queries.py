@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
 from . import (decontam, exact_dedup, html_extract, jaccard_join, langid, pii, piece_fst,
-               quality, sharding, token_count)
+               quality, sharding, token_count, token_files)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +72,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                                    table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, f"cartwise-llm-tokens-{uuid.uuid4().hex}")
+    token_files.write_token_files(docs, path)
+    return token_files.read_token_files(spark, path, docs.schema["doc_id"].dataType)
+
+
 ORACLES["op6_sharding"] = sharding.ORACLE
 ORACLES["op7_exact_dedup"] = exact_dedup.ORACLE
 ORACLES["op10_benchmark_decontamination"] = decontam.ORACLE
