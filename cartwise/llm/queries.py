@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import (decontam, exact_dedup, html_extract, jaccard_join, langid, pii, piece_fst,
-               quality, sharding, token_count, token_files)
+from . import (decontam, exact_dedup, hard_negatives, html_extract, jaccard_join, langid,
+               periodic_runs, pii, piece_fst, quality, sharding, token_count, token_files)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,18 @@ def op11_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, docs.schema["doc_id"].dataType)
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.check_query(spark, sf_dir)
+
+
 ORACLES["op6_sharding"] = sharding.ORACLE
 ORACLES["op7_exact_dedup"] = exact_dedup.ORACLE
 ORACLES["op10_benchmark_decontamination"] = decontam.ORACLE
+ORACLES["op13_hard_negatives"] = hard_negatives.ORACLE
