@@ -20,6 +20,7 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -90,10 +91,12 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if self.held > MEMO_BYTES:
             self._forget()
-        new = set(chunks).difference(self.codes)
-        if new:
-            self._learn(list(new))
-        which = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        which = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            missing = [chunks[i] for i in new]
+            self._learn(list(set(missing)))
+            which[new] = [self.codes[c] for c in missing]
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
         shift = np.repeat(self.starts[which] - (ends - sizes), sizes)
