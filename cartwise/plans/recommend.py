@@ -27,8 +27,9 @@ work bounded at scale:
   search runs once for each distinct (product, place) and its result is joined
   to the customers there, who leave out their own rows.  Rows are
   pre-aggregated to *units* (product, customer, location), written once; each
-  location contributes at most ``n_nearest + 1`` customers.  The search costs
-  places x locations of a product, not customers x locations.
+  location contributes at most ``n_nearest + 1`` customers.  A place meets the
+  cells of a grid and the locations in a few of them (``operators.nearest``),
+  not all locations of its product.
 * Rankings deeper than the engine's group limit are cut in salted parts first,
   so a hot group never sorts whole in one task.
 """
@@ -38,7 +39,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.functions.scalar import days_floor, l1_distance, money, seconds_between
+from cartwise.functions.scalar import days_floor, money, seconds_between
+from cartwise.operators import nearest
 from cartwise.operators.aggregates import avg_score_per_product
 from cartwise.operators.ranking import DEFAULT_SEED, sample_key, top_within
 from cartwise.session import stored
@@ -146,6 +148,10 @@ def places_near(pairs: DataFrame, units: DataFrame, n_nearest: int) -> DataFrame
     customer, ``_extra`` more than ``n_nearest`` of them, the most that one of
     the customers there owns itself."""
     key, cls = [CUSTOMER, PRODUCT], [PRODUCT, "_place"]
+    # at least as many as the pairs of places and locations
+    most_pairs = (pairs.groupBy(PRODUCT).agg(F.count(F.lit(1)).alias("_p"))
+                  .join(units.groupBy(PRODUCT).agg(F.count(F.lit(1)).alias("_u")), PRODUCT)
+                  .agg(F.sum(F.col("_p").cast("double") * F.col("_u"))).first()[0] or 0)
     own = (pairs.join(units.select(*key), key).groupBy(*key)
            .agg(F.count(F.lit(1)).alias("_own")))
     places = (pairs.join(own, key, "left").groupBy(*cls)
@@ -156,8 +162,8 @@ def places_near(pairs: DataFrame, units: DataFrame, n_nearest: int) -> DataFrame
     locs = units.groupBy(PRODUCT, LAT, LNG).agg(F.count(F.lit(1)).alias("_units"))
 
     # locations that can hold one of the first n_nearest + _extra units
-    pl = places.join(locs, PRODUCT).withColumn(
-        "_d", l1_distance(F.col(LAT), F.col(LNG), F.col("_place.lat"), F.col("_place.lng")))
+    pl = nearest.reachable(places, locs, PRODUCT, LAT, LNG, n_nearest + F.col("_extra"),
+                           most_pairs)
     by_d = Window.partitionBy(*cls).orderBy(F.col("_d").asc_nulls_last()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     same_d = Window.partitionBy(*cls, "_d")
@@ -183,9 +189,12 @@ def nearest_customers(pairs: DataFrame, data: DataFrame, n_nearest: int,
     units = units if units is not None else stored(purchase_units(data, pairs), "units")
     units = units.select(PRODUCT, CUSTOMER, LAT, LNG, "_rows")
     key = [CUSTOMER, PRODUCT]
-    # as a struct, so that a missing coordinate equals itself in joins
-    pairs = pairs.select(*key, F.struct(F.col("pred_lat").alias("lat"),
-                                        F.col("pred_lng").alias("lng")).alias("_place"))
+    # as a struct, so that a missing coordinate equals itself in joins; with one
+    # of them missing every distance is
+    known = F.col("pred_lat").isNotNull() & F.col("pred_lng").isNotNull()
+    place = F.struct(F.when(known, F.col("pred_lat")).alias("lat"),
+                     F.when(known, F.col("pred_lng")).alias("lng"))
+    pairs = pairs.select(*key, place.alias("_place"))
     cand = pairs.join(places_near(pairs, units, n_nearest), [PRODUCT, "_place"]).where(
         ~F.coalesce(F.col("_c") == F.col(CUSTOMER), F.lit(False)))
     # n_nearest + _extra rows a pair at most
