@@ -108,11 +108,12 @@ def _fast_plan_applies(t: dict[str, DataFrame]) -> bool:
 
 
 def _literal_chain(t: dict[str, DataFrame], null_safe: bool) -> DataFrame:
-    x = joins.full_outer(t["customers"], t["orders"], "customer_id", null_safe)
+    # hot_rows=None: a sketch at each step would compute the steps before it again
+    x = joins.full_outer(t["customers"], t["orders"], "customer_id", null_safe, None)
     for name in ORDER_TABLES:
-        x = joins.natural_full_outer(x, t[name], null_safe)
-    x = joins.full_outer(x, t["products"], "product_id", null_safe)
-    return joins.full_outer(x, t["sellers"], "seller_id", null_safe)
+        x = joins.natural_full_outer(x, t[name], null_safe, None)
+    x = joins.full_outer(x, t["products"], "product_id", null_safe, None)
+    return joins.full_outer(x, t["sellers"], "seller_id", null_safe, None)
 
 
 def _fast_chain(t: dict[str, DataFrame]) -> DataFrame:
@@ -165,7 +166,7 @@ def complete_data(t: dict[str, DataFrame], zip_table: DataFrame | None = None,
         seen = None if null_safe else _keys(t["products"], "product_category_name")
         if null_safe:
             wide = joins.full_outer(wide, t["product_translation"],
-                                    "product_category_name", null_safe=True)
+                                    "product_category_name", null_safe=True, hot_rows=None)
             cols = [c for c in wide.columns
                     if c not in ("product_category_name", "product_category_name_english")]
             wide = wide.select(*cols, F.col("product_category_name_english")
