@@ -3,6 +3,8 @@ expressions: they stay inside whole-stage code generation, no UDF."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,13 +92,47 @@ def centered(text: Column, width: int = 50, fill: str = "#") -> Column:
     return F.concat(F.repeat(F.lit(fill), left), text, F.repeat(F.lit(fill), right))
 
 
-# Means of money are compared and printed to this many decimals.  Many of them
-# are ties there, which the order of a distributed sum would decide; a tenth of
-# a millionth of the unit moves every tie to the same side.
-MONEY_DECIMALS = 6
-TIE_SHIFT = 1e-10
+def nulls_last_key(columns: Sequence[str]) -> Column:
+    """A struct that sorts like ``ORDER BY c1 ASC NULLS LAST, c2 ...``."""
+    fields = []
+    for i, c in enumerate(columns):
+        fields += [F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(f"_v{i}")]
+    return F.struct(*fields)
+
+
+# Amounts of money are multiples of 10 ** -MONEY_SCALE of their unit (a finer one is
+# rounded to it) below 10 ** 14.
+MONEY_SCALE = 4
+
+
+def exact_sum(amount: Column) -> Column:
+    """Aggregate: the sum of amounts of money as a decimal, so that it is the same
+    whatever the order of the rows or the partitions."""
+    return F.sum(amount.cast(f"decimal(18,{MONEY_SCALE})"))
+
+
+def exact_quotient(total: Column, n: Column) -> Column:
+    """A decimal sum by a count: one division of two whole numbers, NULL if n is 0."""
+    scale = 10 ** MONEY_SCALE
+    return F.try_divide((total * scale).cast("double"), n.cast("double") * float(scale))
+
+
+def exact_mean(amount: Column) -> Column:
+    """Aggregate: the mean of amounts of money, NULLs left out; free of the order of
+    summation, with one rounding."""
+    return exact_quotient(exact_sum(amount), F.count(amount))
+
+
+# Fractions are summed in units of 2 ** -FRACTION_BITS.
+FRACTION_BITS = 52
 
 
-def money(x: Column) -> Column:
-    """A mean to MONEY_DECIMALS decimals, ties up, whatever the order of summation."""
-    return F.round(x + F.lit(TIE_SHIFT), MONEY_DECIMALS)
+def stable_mean(x: Column) -> Column:
+    """Aggregate: the mean of doubles below 2 ** 63, free of the order of summation:
+    whole parts and fractions (cut at 2 ** -52) are summed as whole numbers."""
+    unit = F.lit(float(1 << FRACTION_BITS))
+    whole = F.floor(x)
+    part = F.floor((x - whole) * unit)
+    n = F.count(x)
+    return (F.try_divide(F.sum(whole.cast("decimal(20,0)")).cast("double"), n)
+            + F.try_divide(F.sum(part.cast("decimal(20,0)")).cast("double"), n) / unit)

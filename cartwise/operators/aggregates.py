@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.functions.scalar import days_floor, seconds_between
+from cartwise.functions.scalar import (days_floor, exact_mean, nulls_last_key,
+                                       seconds_between, stable_mean)
 
-# Coordinates are averaged per zip and kept to 1e-12 degrees so that the
-# value does not depend on the summation order of a distributed average.
+# Mean coordinates per zip are kept to 1e-12 degrees.
 COORD_DECIMALS = 12
 
 
@@ -37,9 +37,10 @@ def keys_with_count(data: DataFrame, n: int, key: str = "customer_unique_id",
 def geo_average(geolocation: DataFrame, zip_column: str = "geolocation_zip_code_prefix",
                 value_columns: Sequence[str] = ("geolocation_lat", "geolocation_lng"),
                 decimals: int = COORD_DECIMALS) -> DataFrame:
-    """D3: mean coordinates per zip prefix (one row per zip)."""
+    """D3: mean coordinates per zip prefix (one row per zip), whatever the order of
+    the rows."""
     return (geolocation.where(F.col(zip_column).isNotNull()).groupBy(zip_column)
-            .agg(*[F.round(F.avg(c), decimals).alias(c) for c in value_columns]))
+            .agg(*[F.round(stable_mean(F.col(c)), decimals).alias(c) for c in value_columns]))
 
 
 def avg_score_per_product(data: DataFrame, product: str = "product_id",
@@ -54,10 +55,11 @@ def purchase_estimates(rows: DataFrame, group_by: Sequence[str],
                        price: str = "price", freight: str = "freight_value",
                        purchased: str = "order_purchase_timestamp",
                        delivered: str = "order_delivered_customer_date") -> DataFrame:
-    """D5 + D6 per group: mean price, mean freight and the floored mean delivery time in days (NULL parts skipped,
-    NULL if none)."""
+    """D5 + D6 per group: mean price, mean freight and the floored mean delivery time
+    in days (NULL parts skipped, NULL if none).  Amounts are summed exactly."""
     return rows.groupBy(*group_by).agg(
-        F.avg(price).alias("estimated_price"), F.avg(freight).alias("shipping_price"),
+        exact_mean(F.col(price)).alias("estimated_price"),
+        exact_mean(F.col(freight)).alias("shipping_price"),
         days_floor(F.avg(seconds_between(F.col(purchased), F.col(delivered))))
         .alias("estimated_delivery_time"),
     )
@@ -108,9 +110,21 @@ def distinct_values(data: DataFrame, columns: str | Sequence[str]) -> DataFrame:
 
 
 def first_per_subset(data: DataFrame, subset: Sequence[str],
-                     total_order: Sequence[Column]) -> DataFrame:
-    """De-duplicate on ``subset`` keeping the first row of a total order
-    (NULL equals NULL within the subset, as window partitions group them)."""
-    w = Window.partitionBy(*subset).orderBy(*total_order)
-    return (data.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == 1).drop("_rn"))
+                     order_columns: Sequence[str]) -> DataFrame:
+    """De-duplicate on ``subset`` keeping the first row by ``order_columns``
+    (ascending, NULLs last) and then by the other columns (NULLs first); NULL equals
+    NULL within the subset.
+
+    The rows are structs that sort in that order, and the least of a group is an
+    aggregate: every task sends one row a group, so a hot group never meets whole.
+    Columns must be of types that can be compared (no maps)."""
+    order = [c for c in order_columns if c in data.columns and c not in subset]
+    rest = [c for c in data.columns if c not in order and c not in subset]
+    row = F.struct(*([nulls_last_key(order).alias("o")] if order else []),
+                   *[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)])
+    if not order and not rest:
+        return data.select(*subset).distinct().select(*data.columns)
+    least = data.groupBy(*subset).agg(F.min(row).alias("_row"))
+    at = {c: F.col(f"_row.o._v{i}") for i, c in enumerate(order)}
+    at |= {c: F.col(f"_row.r{i}") for i, c in enumerate(rest)}
+    return least.select(*[at[c].alias(c) if c in at else F.col(c) for c in data.columns])

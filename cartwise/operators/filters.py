@@ -8,12 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def prefix_columns(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
-    """Rename ``columns`` to ``<prefix>_<name>``."""
-    return df.select(*[F.col(c).alias(f"{prefix}_{c}") if c in columns else F.col(c)
-                       for c in df.columns])
-
-
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename by mapping; other columns unchanged."""
     return df.withColumnsRenamed(mapping)

@@ -62,12 +62,43 @@ def sample_per_group(data: DataFrame, group: Sequence[str], keys: Sequence[str],
     return top_n_per_group(data, group, order, k, rank_col)
 
 
+# Hex digits of the digest by which rows are counted, first coarsely, then within
+# the bucket that the k-th row falls in: 16 ** 3 counts each time.
+COARSE, FINE = 3, 6
+
+
+def _reaching(counts: DataFrame, k: Column) -> Column:
+    """(bucket, rows before it) of the first bucket with which ``k`` rows are reached,
+    NULL if there are fewer rows.  ``counts`` has 16 ** COARSE rows at most."""
+    so_far = F.sum("n").over(Window.orderBy("b").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    reached = counts.withColumn("_to", so_far).where(F.col("_to") >= k)
+    return reached.agg(F.min(F.struct(F.col("b"), (F.col("_to") - F.col("n")).alias("before")))
+                       .alias("r")).select("r").scalar()
+
+
+def up_to_kth_digest(data: DataFrame, digest: Column, k: int) -> DataFrame:
+    """The rows of ``data`` whose digest (hex text, evenly spread) can be among the
+    ``k`` least: about ``k`` and those of one bucket of 16 ** 6, however many tasks
+    read them.  All rows if there are no more than ``k``."""
+    bucket = lambda n: F.substring(digest, 1, n)
+    counted = lambda d, n: d.groupBy(bucket(n).alias("b")).agg(
+        F.count(F.lit(1)).alias("n"))
+    coarse = _reaching(counted(data, COARSE), F.lit(k))
+    fine = _reaching(counted(data.where(bucket(COARSE) == coarse["b"]), FINE),
+                     F.lit(k) - coarse["before"])
+    return data.where(F.coalesce(bucket(FINE) <= fine["b"], F.lit(True)))
+
+
 def sample_rows(data: DataFrame, keys: Sequence[str], k: int,
                 seed: int | str = DEFAULT_SEED,
                 tie_break: Sequence[Column] = ()) -> DataFrame:
-    """F4/F5 on a whole table: global top-k by md5 order
-    (``TakeOrderedAndProject``: each task keeps k rows, the driver merges
-    at most k per task)."""
-    order = [sample_key(seed, *[F.col(x) for x in keys]),
-             *[F.col(x).asc_nulls_last() for x in keys], *tie_break]
-    return data.orderBy(*order).limit(k)
+    """F4/F5 on a whole table: ``k`` rows without replacement, the first in md5 order,
+    then by ``keys`` and ``tie_break``.
+
+    Counts of digest buckets give the bucket in which the k-th row falls; only rows
+    up to it are sorted, so not ``k`` rows of every task meet but about ``k`` in all
+    (and rows whose keys equal the k-th row's, which share its digest)."""
+    digest = sample_key(seed, *[F.col(x) for x in keys])
+    order = [digest, *[F.col(x).asc_nulls_last() for x in keys], *tie_break]
+    return up_to_kth_digest(data, digest, k).orderBy(*order).limit(k)

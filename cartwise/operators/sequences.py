@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwise.functions.scalar import nulls_last_key
 from cartwise.plans.prepare import total_order
 
 
@@ -106,14 +107,6 @@ def training_rows(data: DataFrame, n: int, spec: FeatureSpec = PIPELINE_SPEC,
     return next_purchase(cohort_rows(data, n, unit=unit), spec)
 
 
-def nulls_last_key(columns: Sequence[str]) -> Column:
-    """A struct that sorts like ``ORDER BY c1 ASC NULLS LAST, c2 ...``."""
-    fields = []
-    for i, c in enumerate(columns):
-        fields += [F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(f"_v{i}")]
-    return F.struct(*fields)
-
-
 def first_last_label(data: DataFrame, key: str, value: str,
                      order_columns: Sequence[str]) -> DataFrame:
     """E3 + G7: ``order_1: <first>, order_2: <last>`` per key, taking the

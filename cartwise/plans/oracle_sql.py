@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartwise.functions.scalar import MONEY_DECIMALS, TIE_SHIFT
+from cartwise.functions.scalar import MONEY_SCALE
 from cartwise.operators.aggregates import COORD_DECIMALS
 from cartwise.sources.retail_view import RETAIL_CTES
 
@@ -69,6 +69,6 @@ def with_complete(*ctes: str, body: str) -> str:
     return with_ctes(GEO_AVG_CTE, CHAIN_CTE, COMPLETE_CTE, *ctes, body=body)
 
 
-def money_sql(x: str) -> str:
-    """DuckDB text of ``scalar.money``."""
-    return f"round({x} + {TIE_SHIFT}, {MONEY_DECIMALS})"
+def amount_sql(x: str) -> str:
+    """DuckDB text of an amount of money as a decimal; its ``avg`` is exact."""
+    return f"CAST({x} AS DECIMAL(18, {MONEY_SCALE}))"

@@ -8,11 +8,13 @@
                -> recommend products -> report lines
 
 Each job reads what the one before it wrote below one output folder (Parquet,
-``pyspark.ml`` writers, JSON), so each can run alone in a session of its own.
+``pyspark.ml`` writers, JSON), so each can run alone in a session of its own.  A job's
+outputs appear together, by a manifest written last (``sources.versions``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -26,10 +28,11 @@ from cartwise.ml import models as ml
 from cartwise.operators import aggregates as agg
 from cartwise.operators import joins
 from cartwise.operators import sequences as seq
-from cartwise.operators.ranking import sample_key
+from cartwise.operators.ranking import sample_key, sample_rows
 from cartwise.plans import recommend as rec
 from cartwise.plans.prepare import complete_data, prepared
 from cartwise.session import scratch_path, stored
+from cartwise.sources import versions
 from cartwise.sources.files import version
 from cartwise.sources.retail_view import retail_tables
 
@@ -179,10 +182,10 @@ def usable_rows(data: DataFrame, spec: seq.FeatureSpec) -> DataFrame:
 
 
 def sample_purchases(data: DataFrame, k: int, seed) -> DataFrame:
-    """``k`` rows in md5(seed, row key) order (global top-k)."""
+    """``k`` rows in md5(seed, row key) order, numbered."""
     order = [sample_key(seed, *[F.col(c) for c in ROW_KEYS]),
              *[F.col(c).asc_nulls_last() for c in ROW_KEYS]]
-    return data.orderBy(*order).limit(k).withColumn(
+    return sample_rows(data, ROW_KEYS, k, seed).withColumn(
         "sample_pos", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -256,85 +259,133 @@ def best_inverse_reg(cv: DataFrame) -> float:
     return float(row["inverse_reg"])
 
 
-def _put(df: DataFrame, out_dir: str, name: str) -> str:
-    path = f"{out_dir.rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
+STEPS = ("prepare", "model", "recommend")
+
+
+def _put(df: DataFrame, run_dir: str, name: str) -> str:
+    path = f"{run_dir}/{name}"
+    df.write.parquet(path)
     return path
 
 
+def _inputs_key(spark: SparkSession, t: dict[str, DataFrame], *settings) -> str:
+    """A text that changes with the tables' files and the settings; empty if a table
+    isn't read from files."""
+    folders = set()
+    for df in t.values():
+        found = df.inputFiles()
+        if not found:
+            return ""
+        folders |= {f.rsplit("/", 1)[0] for f in found}
+    state = ";".join(version(spark, f) for f in sorted(folders))
+    return hashlib.sha256(repr((sorted(folders), state, settings)).encode()).hexdigest()
+
+
 def prepare(spark: SparkSession, t: dict[str, DataFrame], out_dir: str,
             n: int = DEFAULT_N_PURCHASE, spec: seq.FeatureSpec = seq.PIPELINE_SPEC
             ) -> dict[str, str]:
-    """Job 1: everything that the later jobs read, from the retail tables."""
+    """Job 1: everything that the later jobs read, from the retail tables.  Returns
+    the written paths; with unchanged files and settings those of the run before."""
+    key = _inputs_key(spark, t, n, spec)
+    done = versions.latest(spark, out_dir, "prepare")
+    if done and key and done["key"] == key:
+        return done["paths"]
+    run = versions.new_run(out_dir)
     out = {}
-    clusters = spark.read.parquet(_put(ml.cluster_zips(agg.geo_average(t["geolocation"])),
-                                       out_dir, "zip_clusters"))
-    out["complete_data"] = _put(complete_data(t, clusters), out_dir, "complete_data")
+    out["zip_clusters"] = _put(ml.cluster_zips(agg.geo_average(t["geolocation"])), run,
+                               "zip_clusters")
+    clusters = spark.read.parquet(out["zip_clusters"])
+    out["complete_data"] = _put(complete_data(t, clusters), run, "complete_data")
     data = spark.read.parquet(out["complete_data"])
-    out["predictor_table"] = _put(seq.training_rows(data, n, spec), out_dir, "predictor_table")
+    out["predictor_table"] = _put(seq.training_rows(data, n, spec), run, "predictor_table")
     usable = usable_training(spark.read.parquet(out["predictor_table"]), spec)
     features, labels = fe.fit_encoders(usable, spec)
-    base = f"{out_dir.rstrip('/')}/encoders"
-    features.write().overwrite().save(base + "/features")
-    labels.write().overwrite().save(base + "/labels")
-    out["encoders"] = base
+    out["encoders"] = f"{run}/encoders"
+    features.write().save(out["encoders"] + "/features")
+    labels.write().save(out["encoders"] + "/labels")
     encoded = fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL)
-    out["classifier_data"] = _put(fe.slots(encoded, [CU, fe.LABEL]), out_dir, "classifier_data")
+    out["classifier_data"] = _put(fe.slots(encoded, [CU, fe.LABEL]), run, "classifier_data")
     unlabeled = fe.encode(usable_rows(data, spec), features).select(*ROW_KEYS, fe.FEATURES)
-    out["unlabeled_data"] = _put(unlabeled, out_dir, "unlabeled_data")
-    out["avg_score_per_product"] = _put(agg.avg_score_per_product(data), out_dir,
+    out["unlabeled_data"] = _put(unlabeled, run, "unlabeled_data")
+    out["avg_score_per_product"] = _put(agg.avg_score_per_product(data), run,
                                         "avg_score_per_product")
     roles = [(role, k, c) for role, columns in vars(spec).items() for k, c in enumerate(columns)]
-    out["columns"] = f"{out_dir.rstrip('/')}/columns"
-    spark.createDataFrame(roles, ROLES).write.mode("overwrite").json(out["columns"])
+    out["columns"] = f"{run}/columns"
+    spark.createDataFrame(roles, ROLES).write.json(out["columns"])
+    versions.publish(spark, out_dir, "prepare", run, out, key)
     return out
 
 
-def _prepared_parts(spark: SparkSession, out_dir: str):
+def _prepared_parts(spark: SparkSession, paths: dict[str, str]):
     """(column roles, feature encoder, label encoder) that ``prepare`` saved."""
-    base = out_dir.rstrip("/")
     roles: dict[str, tuple[str, ...]] = {"numerical": (), "categorical": (), "target": ()}
-    for r in spark.read.schema(ROLES).json(base + "/columns").orderBy("role", "k").collect():
+    for r in spark.read.schema(ROLES).json(paths["columns"]).orderBy("role", "k").collect():
         roles[r["role"]] += (r["column"],)
-    return (seq.FeatureSpec(**roles), PipelineModel.load(base + "/encoders/features"),
-            PipelineModel.load(base + "/encoders/labels"))
+    return (seq.FeatureSpec(**roles), PipelineModel.load(paths["encoders"] + "/features"),
+            PipelineModel.load(paths["encoders"] + "/labels"))
 
 
 def model(spark: SparkSession, out_dir: str, select_best: bool = False) -> dict[str, str]:
-    """Job 2: cross-validation and the final fit, on what ``prepare`` wrote.
+    """Job 2: cross-validation and the final fit, on what the newest finished
+    ``prepare`` wrote.
 
     The reference reports cross-validation but always trains with C = 1
     (S12); ``select_best=True`` trains with the best C of the grid instead."""
-    spec, features, labels = _prepared_parts(spark, out_dir)
-    base = out_dir.rstrip("/")
-    usable = usable_training(spark.read.parquet(base + "/predictor_table"), spec)
+    source = versions.needed(spark, out_dir, "prepare")
+    key = f"{source['run']} {select_best}"
+    done = versions.latest(spark, out_dir, "model")
+    if done and done["key"] == key:
+        return done["paths"]
+    run = versions.new_run(out_dir)
+    spec, features, labels = _prepared_parts(spark, source["paths"])
+    usable = usable_training(spark.read.parquet(source["paths"]["predictor_table"]), spec)
     enc = fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL).persist()
     try:
-        out = {"cv_scores": _put(ml.cross_validate(enc, CU), out_dir, "cv_scores")}
+        out = {"cv_scores": _put(ml.cross_validate(enc, CU), run, "cv_scores")}
         c = best_inverse_reg(spark.read.parquet(out["cv_scores"])) if select_best else 1.0
-        out["classifier"] = base + "/classifier"
-        ml.train_classifier(enc, c).write().overwrite().save(out["classifier"])
+        out["classifier"] = f"{run}/classifier"
+        ml.train_classifier(enc, c).write().save(out["classifier"])
     finally:
         enc.unpersist()
+    # what it was trained on goes with it: a later prepare doesn't change the pair
+    versions.publish(spark, out_dir, "model", run, out, key, source["paths"])
     return out
 
 
 def load_artifacts(spark: SparkSession, out_dir: str) -> Artifacts:
-    """What ``prepare`` and ``model`` saved, for predictions in a new session."""
-    spec, features, labels = _prepared_parts(spark, out_dir)
-    base = out_dir.rstrip("/")
-    usable = usable_training(spark.read.parquet(base + "/predictor_table"), spec)
-    return Artifacts(spark.read.parquet(base + "/complete_data"), usable, features, labels,
-                     LogisticRegressionModel.load(base + "/classifier"),
+    """The newest finished ``model`` and the ``prepare`` it was trained on, for
+    predictions in a new session."""
+    trained = versions.needed(spark, out_dir, "model")
+    paths = trained["inputs"]
+    spec, features, labels = _prepared_parts(spark, paths)
+    usable = usable_training(spark.read.parquet(paths["predictor_table"]), spec)
+    return Artifacts(spark.read.parquet(paths["complete_data"]), usable, features, labels,
+                     LogisticRegressionModel.load(trained["paths"]["classifier"]),
                      fe.encode(usable, features, labels).select(CU, fe.FEATURES, fe.LABEL), spec)
 
 
 def recommend(spark: SparkSession, out_dir: str, sample_size: int = 5, product_number: int = 5,
               seed=42, verbose: bool = False) -> dict[str, str]:
     """Job 3: the report for a sample, from saved files only."""
+    trained = versions.needed(spark, out_dir, "model")
+    key = f"{trained['run']} {sample_size} {product_number} {seed!r} {verbose}"
+    done = versions.latest(spark, out_dir, "recommend")
+    if done and done["key"] == key:
+        return done["paths"]
+    run = versions.new_run(out_dir)
     art = load_artifacts(spark, out_dir)
     report = report_for_sample(art, sample_size, product_number, seed=seed, verbose=verbose)
-    return {"report": _put(report, out_dir, "report")}
+    out = {"report": _put(report, run, "report")}
+    versions.publish(spark, out_dir, "recommend", run, out, key, trained["paths"])
+    return out
+
+
+def outputs(spark: SparkSession, out_dir: str) -> dict[str, str]:
+    """The paths of every step's newest finished run below ``out_dir``."""
+    out: dict[str, str] = {}
+    for step in STEPS:
+        out |= (versions.latest(spark, out_dir, step) or {"paths": {}})["paths"]
+    return out
 
 
 def run(spark: SparkSession, tables: str | dict[str, DataFrame], out_dir: str,
@@ -342,8 +393,9 @@ def run(spark: SparkSession, tables: str | dict[str, DataFrame], out_dir: str,
         select_best: bool = False, verbose: bool = False) -> dict[str, str]:
     """prepare -> model -> recommend below ``out_dir`` (a shared folder on a
     cluster).  ``tables``: the retail tables, or the folder of the driver's
-    tables.  Returns the written paths."""
+    tables.  Returns the written paths; steps that are done for the same inputs
+    and settings are skipped."""
     t = retail_tables(spark, tables) if isinstance(tables, str) else tables
-    out = prepare(spark, t, out_dir, n)
+    out = dict(prepare(spark, t, out_dir, n))
     out |= model(spark, out_dir, select_best)
     return out | recommend(spark, out_dir, sample_size, product_number, seed, verbose)

@@ -11,9 +11,8 @@ from cartwise.operators.ranking import sample_rows, sample_per_group
 from cartwise.plans import oracle_sql as osql
 from cartwise.plans import recommend as rec
 from cartwise.plans.catalog import register
-from cartwise.plans.prepare import total_order
+from cartwise.plans.prepare import TOTAL_ORDER_COLUMNS, total_order
 from cartwise.plans.queries_core import category_top_products, wide
-from cartwise.functions.scalar import money
 
 # Parameters of the registered queries.  With the retail binding a
 # customer has about 40 joined rows, so the cohort uses n = 37 rows
@@ -107,8 +106,8 @@ near AS (
 chosen AS (SELECT DISTINCT u, product_id, c FROM near)""", f"""
 est AS (
   SELECT ch.u, ch.product_id,
-         {osql.money_sql("avg(d.price)")} AS estimated_price,
-         {osql.money_sql("avg(d.freight_value)")} AS shipping_price,
+         avg({osql.amount_sql("d.price")}) AS estimated_price,
+         avg({osql.amount_sql("d.freight_value")}) AS shipping_price,
          CAST(floor(avg(date_diff('second', d.order_purchase_timestamp,
                                   d.order_delivered_customer_date)) / 86400) AS BIGINT)
            AS estimated_delivery_time
@@ -131,11 +130,6 @@ def cohort_predictions(data: DataFrame, n: int = COHORT_N) -> DataFrame:
                         F.col(rec.LAT).alias("pred_lat"), F.col(rec.LNG).alias("pred_lng"))
 
 
-def _money(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*[money(F.col(c)).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
-
-
 def drawn_pairs(data: DataFrame) -> DataFrame:
     return rec.drawn_products(data, cohort_predictions(data), PRODUCT_NUMBER,
                               ESTIMATION_N, seed=SEED)
@@ -155,7 +149,7 @@ SELECT * EXCLUDE (rn) FROM (
 WHERE rn = 1"""))
 def q_dedupe_purchases(spark: SparkSession, sf: str) -> DataFrame:
     return agg.first_per_subset(wide(spark, sf), ["customer_unique_id", "order_id",
-                                                  "product_id"], total_order())
+                                                  "product_id"], TOTAL_ORDER_COLUMNS)
 
 
 # --- E4 --------------------------------------------------------------------
@@ -217,16 +211,15 @@ def q_same_purchase(spark: SparkSession, sf: str) -> DataFrame:
 # --- D5 / D6 over the cohort's purchases ------------------------------------
 @register("estimate_price", osql.with_complete(*COHORT_CTES[:4], body=f"""
 SELECT product_id,
-       {osql.money_sql("avg(price)")} AS estimated_price,
-       {osql.money_sql("avg(freight_value)")} AS shipping_price
+       avg({osql.amount_sql("price")}) AS estimated_price,
+       avg({osql.amount_sql("freight_value")}) AS shipping_price
 FROM r_complete WHERE customer_unique_id IN (SELECT customer_unique_id FROM cohort2)
 GROUP BY product_id"""))
 def q_estimate_price(spark: SparkSession, sf: str) -> DataFrame:
     d = wide(spark, sf)
     rows = d.join(seq.cohort_customers(d, COHORT_N), "customer_unique_id", "left_semi")
-    out = agg.purchase_estimates(rows, ["product_id"]).select(
+    return agg.purchase_estimates(rows, ["product_id"]).select(
         "product_id", "estimated_price", "shipping_price")
-    return _money(out, "estimated_price", "shipping_price")
 
 
 @register("estimate_shipping", osql.with_complete(*COHORT_CTES[:4], body="""
@@ -301,8 +294,7 @@ SELECT u AS customer_unique_id, product_id,
 def q_expected_values(spark: SparkSession, sf: str) -> DataFrame:
     d = wide(spark, sf)
     pairs = drawn_pairs(d).select(rec.CUSTOMER, rec.PRODUCT, "pred_lat", "pred_lng")
-    return _money(rec.expected_values(pairs, d, ESTIMATION_N),
-                  "estimated_price", "shipping_price")
+    return rec.expected_values(pairs, d, ESTIMATION_N)
 
 
 # --- I8 ----------------------------------------------------------------------
@@ -317,8 +309,7 @@ LEFT JOIN est e ON e.u = dw.u AND e.product_id = dw.product_id""")
 @register("recommend", RECOMMEND_SQL)
 def q_recommend(spark: SparkSession, sf: str) -> DataFrame:
     d = wide(spark, sf)
-    out = rec.recommend(d, cohort_predictions(d), PRODUCT_NUMBER, ESTIMATION_N, seed=SEED)
-    return _money(out, "estimated_price", "shipping_price")
+    return rec.recommend(d, cohort_predictions(d), PRODUCT_NUMBER, ESTIMATION_N, seed=SEED)
 
 
 # --- I10 / G8 ----------------------------------------------------------------

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.functions.scalar import days_floor, money, seconds_between
+from cartwise.functions.scalar import days_floor, exact_quotient, exact_sum, seconds_between
 from cartwise.operators import nearest
 from cartwise.operators.aggregates import avg_score_per_product
 from cartwise.operators.ranking import DEFAULT_SEED, sample_key, top_within
@@ -137,8 +137,8 @@ def purchase_units(data: DataFrame, products: DataFrame) -> DataFrame:
                            F.col("order_delivered_customer_date"))
     return rows.groupBy(PRODUCT, CUSTOMER, LAT, LNG).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum("price").alias("_sp"), F.count("price").alias("_cp"),
-        F.sum("freight_value").alias("_sf"), F.count("freight_value").alias("_cf"),
+        exact_sum(F.col("price")).alias("_sp"), F.count("price").alias("_cp"),
+        exact_sum(F.col("freight_value")).alias("_sf"), F.count("freight_value").alias("_cf"),
         F.sum(secs).alias("_ss"), F.count(secs).alias("_cs"))
 
 
@@ -217,8 +217,8 @@ def estimates_for(chosen: DataFrame, data: DataFrame,
     t = t.withColumnRenamed(CUSTOMER, "_tc").withColumnRenamed(PRODUCT, "_p")
     est = (chosen.join(t, (F.col(PRODUCT) == F.col("_p")) & F.col("_c").eqNullSafe(F.col("_tc")))
            .groupBy(*key).agg(
-               F.try_divide(F.sum("_sp"), F.sum("_cp")).alias("estimated_price"),
-               F.try_divide(F.sum("_sf"), F.sum("_cf")).alias("shipping_price"),
+               exact_quotient(F.sum("_sp"), F.sum("_cp")).alias("estimated_price"),
+               exact_quotient(F.sum("_sf"), F.sum("_cf")).alias("shipping_price"),
                days_floor(F.try_divide(F.sum("_ss"), F.sum("_cs"))).cast("bigint")
                .alias("estimated_delivery_time")))
     return est
@@ -320,8 +320,8 @@ def report_lines(recs: DataFrame, customers: DataFrame, verbose: bool = False) -
         centered(F.lit(""), BANNER, "#"), F.lit(""), F.lit(""))).alias("_k", "line"),
         "_np").select(CUSTOMER, (F.lit(first) + 4 * F.col("_np") + F.col("_k")).alias("line_no"),
                       "line")
-    price = F.concat(two_decimals(money(F.col("estimated_price"))), F.lit(" + "),
-                     two_decimals(money(F.col("shipping_price"))), F.lit("R$"))
+    price = F.concat(two_decimals(F.col("estimated_price")), F.lit(" + "),
+                     two_decimals(F.col("shipping_price")), F.lit("R$"))
     days = F.concat(txt("estimated_delivery_time"), F.lit(" days"))
     prod = recs.select(CUSTOMER, "draw_rank", F.posexplode(F.array(
         fixed_width(F.lit(PRODUCT_LABELS[0]), id_prefix(F.col(PRODUCT)), LEFT, RIGHT),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
+
 from cartwise.operators import sequences as seq
 from cartwise.plans import pipeline as pl
+from cartwise.sources import versions
 from cartwise.plans.recommend import BANNER, DETAILS_TITLE, HEADER_LABELS
 
 SF = "/root/testdata/sf0.001"
@@ -40,11 +43,11 @@ def test_recommend_runs_from_saved_files_only(spark, tmp_path):
     """The third job in a session of its own, which has nothing in memory."""
     out = str(tmp_path / "res")
     pl.run(spark, SF, out, sample_size=2, product_number=3)
-    first = spark.read.parquet(out + "/report").collect()
+    first = spark.read.parquet(pl.outputs(spark, out)["report"]).collect()
     other = spark.newSession()
     art = pl.load_artifacts(other, out)
     assert art.spec == seq.PIPELINE_SPEC
-    assert spark.read.parquet(out + "/unlabeled_data").count() == \
+    assert spark.read.parquet(pl.outputs(spark, out)["unlabeled_data"]).count() == \
         pl.usable_rows(art.data, art.spec).count()
     path = pl.recommend(other, out, sample_size=2, product_number=3, verbose=True)["report"]
     second = other.read.parquet(path).collect()
@@ -58,3 +61,50 @@ def test_recommend_runs_from_saved_files_only(spark, tmp_path):
     for r in second:
         per.setdefault(r.customer_unique_id, []).append(r.line_no)
     assert all(sorted(nos) == list(range(len(nos))) for nos in per.values())
+
+
+def test_a_killed_step_leaves_the_version_before_it(spark, tmp_path, monkeypatch):
+    """prepare dies between two writes: readers and later jobs see the old version
+    whole; the same call again finishes it; steps that are done are skipped."""
+    out = str(tmp_path / "res")
+    before = pl.run(spark, SF, out, sample_size=2, product_number=3)
+    assert pl.outputs(spark, out) == before
+    t = pl.retail_tables(spark, SF)
+    real, calls = pl._put, []
+
+    def dies(df, run_dir, name):
+        calls.append(name)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return real(df, run_dir, name)
+
+    monkeypatch.setattr(pl, "_put", dies)
+    with pytest.raises(KeyboardInterrupt):
+        pl.prepare(spark, t, out, n=36)
+    assert pl.outputs(spark, out) == before
+    assert spark.read.parquet(pl.outputs(spark, out)["complete_data"]).count() == 6144
+    assert pl.load_artifacts(spark, out).model.numClasses > 1
+
+    calls.clear()
+    assert pl.run(spark, SF, out, sample_size=2, product_number=3) == before    # nothing written
+    assert calls == []
+    monkeypatch.setattr(pl, "_put", real)
+    after = pl.prepare(spark, t, out, n=36)
+    assert set(after) == set(before) - {"cv_scores", "classifier", "report"}
+    assert not set(after.values()) & set(before.values())
+    now = pl.outputs(spark, out)
+    assert {k: now[k] for k in after} == after and now["classifier"] == before["classifier"]
+    # the model still goes with the files it was trained on
+    assert pl.load_artifacts(spark, out).train.count() == \
+        pl.usable_training(spark.read.parquet(before["predictor_table"]), seq.PIPELINE_SPEC).count()
+    gone = versions.prune(spark, out, pl.STEPS)
+    assert len(gone) == 1                                       # what the killed run wrote
+    assert pl.outputs(spark, out) == now and spark.read.parquet(now["report"]).count()
+
+
+def test_jobs_need_the_one_before(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        pl.model(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        pl.recommend(spark, str(tmp_path))
+    assert pl.outputs(spark, str(tmp_path)) == {}
