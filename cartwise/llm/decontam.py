@@ -7,7 +7,11 @@ As a window must occur whole, the shortest prefix of that order, its rarest
 shingle, is enough: only documents that have it, at a place that leaves room
 for the window, are candidates.  A candidate is verified word by word.
 
-Both passes read the texts once and shuffle counts or hits only.
+Both passes read the texts once and shuffle counts or hits only.  A benchmark of
+up to BROADCAST_BYTES is broadcast.  A larger one is joined by shuffle: a bit set
+of its shingles' hashes, of a fixed size at most, is broadcast instead and lets
+through the document shingles that may be in it; those travel with the few words
+around them, never with their text.
 """
 
 from __future__ import annotations
@@ -16,18 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import once, small_enough, words, written
+from .common import once, words, written
 
 WINDOW = 13
 SHINGLE = 5
-BROADCAST_ROWS = 400_000     # about 100 MB of windows; larger sets are joined by shuffle
+BROADCAST_BYTES = 64 << 20   # of windows and their shingles
+BITS_A_ROW = 1 << 15         # of the bit set
+MOST_BITS = 1 << 27          # 16 MB
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW) -> DataFrame:
-    """The distinct windows (words) with the sorted ids of their items."""
+    """The distinct windows (words) with the sorted distinct ids of their items,
+    without null ones: an item that has none still has windows."""
     w = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")) \
-        .filter("size(ws) > 0 AND item_id IS NOT NULL")
+        .filter("size(ws) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - F.lit(window - 1)))
     return (w.select("item_id", "ws", F.explode(starts).alias("at"))
             .select("item_id", F.slice("ws", F.col("at"), F.lit(window)).alias("win"))
@@ -75,8 +82,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     A null or empty text has no words and no hit; an empty benchmark hits
-    nothing; items without words or with a null id are left out.  Repeated
-    rows give a row each.  Other columns of either table are not read.
+    nothing; items without words are left out.  Words in windows of an item with
+    a null id are hit like others; ``n_items`` and ``items_sha256`` are of the
+    distinct ids that aren't null.  Repeated rows give a row each.  Other columns
+    of either table are not read.
     """
     return (_per_row(docs, benchmark, id_col, text_col, item_col, item_text_col, window, shingle)
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
@@ -100,41 +109,14 @@ def _per_row(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     parts = (wins.select("win_id", _word_hashes(F.col("win")).alias("hs"), "k",
                          F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
              .select("win_id", "off", of_length.alias("h")))
-    small = small_enough(parts, BROADCAST_ROWS)
-    fit = F.broadcast if small else (lambda d: d)
-
+    # a shingle's row; a window's words with their headers; the ids of its items
+    size = wins.agg(F.sum((F.col("len") - F.col("k") + 1) * 24 + 24 * F.col("len")
+                          + F.octet_length(F.concat_ws(" ", "win"))
+                          + 16 * F.size("items"))).first()[0] or 0
     rows = once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
                 .select("doc_id", F.xxhash64("t").alias("th"), words(F.col("t")).alias("ws")))
-    shingles = _doc_shingles(rows, lengths)
-
-    counts = (shingles.select("h", "pos").filter("pos >= 0")
-              .join(fit(parts.select("h").distinct()), "h")
-              .groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    counts = written(spark, counts, "shingle-counts")
-    # the prefix of length one; a window one of whose shingles never occurs has no match
-    prefix = (parts.join(counts, "h", "left")
-              .groupBy("win_id")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h"),
-                                  F.col("off"))).alias("p"))
-              .filter("p.n > 0")
-              .join(wins, "win_id")
-              .select(F.col("p.h").alias("h"), F.col("p.off").alias("off"), "win", "items"))
-    prefix = prefix.unionByName(spark.range(1).select(
-        F.lit(0).cast("long").alias("h"), F.lit(-1).alias("off"),
-        F.lit(None).cast("array<string>").alias("win"),
-        F.lit(None).cast(dict(wins.dtypes)["items"]).alias("items")))
-    # off -1 is the row that keeps documents without hits
-    at = F.col("pos") - F.col("off")
-    found = (shingles.join(fit(prefix), "h")
-             .filter(((F.col("pos") < 0) & (F.col("off") < 0)) | (
-                 (F.col("pos") >= 0) & (F.col("off") >= 0) & (at >= 0)
-                 & (at + F.size("win") <= F.size("ws"))
-                 & (F.slice("ws", F.greatest(at, F.lit(0)) + 1,
-                            F.greatest(F.size("win"), F.lit(0))) == F.col("win"))))
-             .select("doc_id", "th", "pos", F.size("ws").alias("n_words"),
-                     F.when(F.col("off") >= 0, F.struct(
-                         at.alias("s"), (at + F.size("win")).alias("e"))).alias("span"),
-                     "items"))
+    search = _found_by_broadcast if size <= BROADCAST_BYTES else _found_by_shuffle
+    found = search(rows, wins, parts, lengths, window)
     merged = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
@@ -155,6 +137,111 @@ def _per_row(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
                               & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+def _counts(passed: DataFrame) -> DataFrame:
+    """(h, n): how often the documents have each of the benchmark's shingles."""
+    return written(passed.sparkSession, passed.groupBy("h").agg(F.count(F.lit(1)).alias("n")),
+                   "shingle-counts")
+
+
+def _prefixes(wins: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(h, off, win, items): each window by its rarest shingle, the prefix of length
+    one.  A window one of whose shingles never occurs has no match."""
+    return (parts.join(counts, "h", "left")
+            .groupBy("win_id")
+            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h"),
+                                F.col("off"))).alias("p"))
+            .filter("p.n > 0")
+            .join(wins, "win_id")
+            .select(F.col("p.h").alias("h"), F.col("p.off").alias("off"), "win", "items"))
+
+
+def _found_by_broadcast(rows: DataFrame, wins: DataFrame, parts: DataFrame,
+                        lengths: list[int], window: int) -> DataFrame:
+    """(doc_id, th, pos, n_words, span, items): a row with pos -1 for each document
+    row, and one for each place where a window stands in it.  The windows and their
+    shingles are broadcast."""
+    spark = rows.sparkSession
+    shingles = _doc_shingles(rows, lengths)
+    counts = _counts(shingles.select("h", "pos").filter("pos >= 0")
+                     .join(F.broadcast(parts.select("h").distinct()), "h"))
+    prefix = _prefixes(wins, parts, counts)
+    prefix = prefix.unionByName(spark.range(1).select(
+        F.lit(0).cast("long").alias("h"), F.lit(-1).alias("off"),
+        F.lit(None).cast("array<string>").alias("win"),
+        F.lit(None).cast(dict(wins.dtypes)["items"]).alias("items")))
+    # off -1 is the row that keeps documents without hits
+    at = F.col("pos") - F.col("off")
+    return (shingles.join(F.broadcast(prefix), "h")
+            .filter(((F.col("pos") < 0) & (F.col("off") < 0)) | (
+                (F.col("pos") >= 0) & (F.col("off") >= 0) & (at >= 0)
+                & (at + F.size("win") <= F.size("ws"))
+                & (F.slice("ws", F.greatest(at, F.lit(0)) + 1,
+                           F.greatest(F.size("win"), F.lit(0))) == F.col("win"))))
+            .select("doc_id", "th", "pos", F.size("ws").alias("n_words"),
+                    F.when(F.col("off") >= 0, F.struct(
+                        at.alias("s"), (at + F.size("win")).alias("e"))).alias("span"),
+                    "items"))
+
+
+def _bit_set(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """((bucket, bits as 512 long numbers), number of bits in all) of the column h:
+    64 bits a hash or more, up to MOST_BITS."""
+    n = hashes.count()
+    bits = max(BITS_A_ROW, min(MOST_BITS, 1 << (64 * max(1, n) - 1).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    per_word = (hashes.select(slot.alias("s"))
+                .groupBy(F.shiftright("s", 15).cast("int").alias("bucket"),
+                         F.shiftright("s", 6).bitwiseAND(F.lit(511)).cast("int").alias("w"))
+                .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("x")))
+    words_of = per_word.groupBy("bucket").agg(
+        F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(511)),
+                        lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long")))
+    return written(hashes.sparkSession, words_of.select("bucket", dense.alias("bits")),
+                   "bit-set"), bits
+
+
+def _maybe_in(rows: DataFrame, bit_set: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose h may be in the set (all that are, and few others)."""
+    table, bits = bit_set
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    word = F.get("bits", F.shiftright(slot, 6).bitwiseAND(F.lit(511)).cast("int"))
+    return (rows.withColumn("bucket", F.shiftright(slot, 15).cast("int"))
+            .join(F.broadcast(table), "bucket")
+            .where(F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1)
+            .drop("bucket", "bits"))
+
+
+def _found_by_shuffle(rows: DataFrame, wins: DataFrame, parts: DataFrame,
+                      lengths: list[int], window: int) -> DataFrame:
+    """The rows of ``_found_by_broadcast`` for a benchmark of any size.  What is
+    shuffled of the documents is a few numbers a row, and shingles that the bit set
+    lets through, in the second pass with the words around them."""
+    spark = rows.sparkSession
+    shingles = _doc_shingles(rows, lengths).filter("pos >= 0")
+    hashes = written(spark, parts.select("h").distinct(), "benchmark-shingles")
+    counts = _counts(_maybe_in(shingles.select("h"), _bit_set(hashes))
+                     .join(hashes.hint("shuffle_merge"), "h"))
+    prefix = written(spark, _prefixes(wins, parts, counts), "prefixes")
+    # a window reaches less than its length before and behind its shingle
+    first = F.greatest(F.lit(0), F.col("pos") - window)
+    near = _maybe_in(shingles, _bit_set(prefix.select("h").distinct())).select(
+        "doc_id", "th", "pos", F.size("ws").alias("n_words"), "h", first.alias("first"),
+        F.slice("ws", first + 1, F.lit(3 * window)).alias("around"))
+    at = F.col("pos") - F.col("off")
+    hits = (near.join(prefix.hint("shuffle_merge"), "h")
+            .filter((at >= 0) & (at + F.size("win") <= F.col("n_words"))
+                    & (F.slice("around", F.greatest(F.lit(0), at - F.col("first")) + 1,
+                               F.size("win")) == F.col("win")))
+            .select("doc_id", "th", "pos", "n_words",
+                    F.struct(at.alias("s"), (at + F.size("win")).alias("e")).alias("span"),
+                    "items"))
+    own = rows.select("doc_id", "th", F.lit(-1).alias("pos"), F.size("ws").alias("n_words"),
+                      F.lit(None).cast(dict(hits.dtypes)["span"]).alias("span"),
+                      F.lit(None).cast(dict(wins.dtypes)["items"]).alias("items"))
+    return own.unionByName(hits)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns.
@@ -174,7 +261,7 @@ WITH dw AS (
 bw AS (
   SELECT item_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 wins AS (
   SELECT DISTINCT item_id, list_slice(ws, p, p + 12) AS win
   FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 11))) AS p
@@ -191,7 +278,8 @@ cover AS (
   GROUP BY doc_id),
 its AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits WHERE item_id IS NOT NULL)
+  GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit,
        coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.ws) AS contaminated

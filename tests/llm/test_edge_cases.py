@@ -111,7 +111,11 @@ def test_shards(results):
                for r in results["shards"])
 
 
-def test_decontam(spark, frame, nothing):
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
+def test_decontam(spark, frame, nothing, monkeypatch, most):
+    """By broadcast and by shuffle.  Windows of an item without an id hit words; the
+    ids are of the others."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
     text = "QUICK brown fox jumps over a lazy dog and runs away the quick"
     b = bench(spark, [(7, text, "x", "y"), (8, None, "x", "y"), (9, "...", "x", "y"),
                       (None, "é", "x", "y"), (10, "😀", "x", "y"), (7, text, "x", "y"),
@@ -121,7 +125,9 @@ def test_decontam(spark, frame, nothing):
     r = by_id(out)
     assert r[6].n_hit == r[6].n_words - 11 and r[6].n_items == 1 and r[6].contaminated
     assert r[6].items_sha256 == hashlib.sha256(b"7").hexdigest()
-    assert r[10].n_hit == 2 == r[10].n_words and r[9].n_hit == 0
+    assert r[10].n_hit == 2 == r[10].n_words
+    assert (r[9].n_hit, r[9].n_items, r[9].contaminated) == (1, 0, True)
+    assert r[9].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert (r[3].n_words, r[3].contaminated) == (0, False)
     assert max(x.n_hit for x in out if x.doc_id is None) == 2
     assert decontam.benchmark_hits(nothing, b).count() == 0
@@ -129,7 +135,7 @@ def test_decontam(spark, frame, nothing):
     assert len(none) == len(out) and not any(x.n_hit for x in none)
     kept = decontam.keep_clean(frame, b)
     assert kept.columns == frame.columns
-    assert {6, 7, 10}.isdisjoint({x.doc_id for x in kept.collect()})
+    assert {6, 7, 9, 10}.isdisjoint({x.doc_id for x in kept.collect()})
 
 
 def test_pages(spark):
