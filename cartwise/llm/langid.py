@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from .common import arrow_bound, ship_package, slices_by_bytes
+from .common import arrow_bound, ship_package, slices_by_bytes, written
 from .text_bytes import column_bytes
 
 ROWS_PER_LANG = 500        # training rows a language, at most
+ROWS = 6500                # of all languages, where one row each is fewer
 LANDMARKS_PER_LANG = 48    # stretches
-SHARED_LANGS = 1000        # more languages share the rows and landmarks of so many
+LANDMARKS = 400            # of all languages: their matrix is what a worker holds
+BROADCAST_LANGS = 100_000  # with their counts, about 50 bytes each
 STRETCHES_PER_ROW = 3      # of a training row, spread over its length
 STRETCH = 4096
 SLICE_BYTES = 1 << 20
@@ -122,6 +124,17 @@ def _kernel(x: np.ndarray, landmarks: np.ndarray, own: np.ndarray) -> np.ndarray
     return both / np.sqrt(mine[:, None] * own[None, :])
 
 
+def landmark_places(y: np.ndarray, n_langs: int) -> np.ndarray:
+    """Which stretches (``y``: the number of their language) become landmarks: as
+    many of each language, spread over its stretches, LANDMARKS in all; with more
+    languages than that, one of every so many languages."""
+    most = max(1, min(LANDMARKS_PER_LANG, LANDMARKS // n_langs))
+    own = [np.flatnonzero(y == k) for k in np.unique(np.linspace(
+        0, n_langs - 1, min(n_langs, LANDMARKS)).astype(int))]
+    return np.concatenate([x[np.unique(np.linspace(0, len(x) - 1, min(len(x), most)).astype(int))]
+                           for x in own if len(x)])
+
+
 def train(pieces: list[list[bytes]], langs: list[str]) -> KernelClassifier | None:
     """Fit on the rows given, each by its stretches; None without any."""
     names = sorted(set(langs))
@@ -133,11 +146,8 @@ def train(pieces: list[list[bytes]], langs: list[str]) -> KernelClassifier | Non
     start, stop = ends[:-1], ends[1:]
     row = np.repeat(np.arange(len(pieces)), [len(own) for own in pieces])
     number = {v: k for k, v in enumerate(names)}
-    most = max(1, min(LANDMARKS_PER_LANG, LANDMARKS_PER_LANG * SHARED_LANGS // len(names)))
     y = np.array([number[v] for v in langs])[row]
-    marks = np.concatenate([np.flatnonzero(y == k)[np.unique(np.linspace(
-        0, (y == k).sum() - 1, min((y == k).sum(), most)).astype(int))]
-        for k in range(len(names)) if (y == k).any()])
+    marks = landmark_places(y, len(names))
     # the vocabulary: the n-grams of the landmarks
     index = np.full(ALL_GRAMS, -1, np.int64)
     for a, b in zip(start[marks], stop[marks]):
@@ -157,9 +167,11 @@ def train(pieces: list[list[bytes]], langs: list[str]) -> KernelClassifier | Non
     ok = values > 1e-8 * values.max()
     root = vectors[:, ok] / np.sqrt(values[ok])          # K_mm ** -1/2
     phi = block @ root
-    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
+    # the targets are 1 for the stretch's own language and -1 for the others
+    sums = np.zeros((len(names), phi.shape[1]))
+    np.add.at(sums, y, phi)
     gram = phi.T @ phi + RIDGE * len(phi) * np.eye(phi.shape[1]) / 10
-    weights = root @ np.linalg.solve(gram, phi.T @ target)
+    weights = root @ np.linalg.solve(gram, (2 * sums - phi.sum(axis=0)).T)
     return KernelClassifier(names, index, landmarks, weights.astype(np.float32))
 
 
@@ -177,21 +189,23 @@ def trained_on(text: Column) -> Column:
 
 def training_rows(df: DataFrame, text_col: str, lang_col: str, id_col: str,
                   per_lang: int) -> tuple[list[list[bytes]], list[str]]:
-    """Stretches and language of at most ``per_lang`` rows a language, picked by
-    a hash of the id after a count a language, so that a frequent one sends no
-    more than a rare one.  Rows of every length are drawn; a row is cut in its
-    task.  Beyond ``SHARED_LANGS`` languages each sends fewer rows, one at
-    least."""
+    """Stretches and language of at most ``per_lang`` rows a language and ROWS in
+    all (one a language at least), picked by a hash of the id after a count a
+    language, so that a frequent one sends no more than a rare one.  Rows of every
+    length are drawn; a row is drawn and cut in its task, and only the stretches
+    that are trained on leave it."""
     rows = (df.select(df[id_col].alias("i"), df[text_col].alias("text"),
                       df[lang_col].alias("lang"))
             .filter("lang IS NOT NULL AND text IS NOT NULL")
             .filter((F.octet_length("text") > 0) & F.col("text").rlike(r"\p{L}")))
-    n = rows.groupBy("lang").count()
-    per_lang = max(1, min(per_lang, per_lang * SHARED_LANGS // max(1, n.count())))
+    n = written(df.sparkSession, rows.groupBy("lang").count(), "languages")
+    n_langs = n.count()
+    per_lang = max(1, min(per_lang, ROWS // max(1, n_langs)))
+    counted = F.broadcast(n) if n_langs <= BROADCAST_LANGS else n
     draw = F.pmod(F.xxhash64("i", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # a language of few rows sends them all; of others about twice the rows are
     # cut, 20 at least, so that none is left without a row
-    some = (rows.join(n, "lang").withColumn("u", draw)
+    some = (rows.join(counted, "lang").withColumn("u", draw)
             .filter(F.col("u") < max(2.0 * per_lang, 20.0) / F.col("count"))
             .select("lang", "u", trained_on(F.col("text")).alias("pieces")))
     first = Window.partitionBy("lang").orderBy("u", "pieces")
