@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
@@ -180,11 +181,33 @@ def accuracy(pred: DataFrame, prediction: str = "prediction", label: str = LABEL
     return pred.agg(F.avg(hit).alias("accuracy"))
 
 
+@dataclass(frozen=True)
+class MajorityModel:
+    """The same label for every row: the yardstick of an accuracy."""
+
+    label: float | None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.lit(self.label).cast("double"))
+
+
+def train_majority(train: DataFrame, inverse_reg: float = 1.0, n_rows: int | None = None
+                   ) -> MajorityModel:
+    """The most frequent label (ties: the smallest); the arguments after the table are
+    those of ``train_classifier`` and have no effect."""
+    row = (train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_n"))
+           .orderBy(F.col("_n").desc(), F.col(LABEL).asc_nulls_last()).first())
+    return MajorityModel(None if row is None else row[LABEL])
+
+
 def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_REG_GRID,
                    k: int = CV_FOLDS, repeats: int = CV_REPEATS, seed: int = CV_SEED,
-                   parallelism: int | None = None) -> DataFrame:
+                   parallelism: int | None = None, fit=None) -> DataFrame:
     """Test rows and accuracy per (C, repeat, fold).  The training table is
-    persisted once; the fits are independent Spark jobs run concurrently."""
+    persisted once; the fits are independent Spark jobs run concurrently.  ``fit`` is
+    what trains on the other folds (``train_classifier``; ``train_majority`` gives
+    the share of right answers without any feature)."""
+    fit = fit or train_classifier
     spark = train.sparkSession
     folded = None
     for r in range(repeats):
@@ -205,7 +228,7 @@ def cross_validate(train: DataFrame, key: str, grid: Sequence[float] = INVERSE_R
         c, r, fold = task
         tr = folded.where((F.col("repeat") == r) & (F.col("fold") != fold))
         te = folded.where((F.col("repeat") == r) & (F.col("fold") == fold))
-        model = train_classifier(tr, c, n_rows=total[r] - sizes.get((r, fold), 0))
+        model = fit(tr, c, n_rows=total[r] - sizes.get((r, fold), 0))
         acc = accuracy(model.transform(te)).first()["accuracy"]
         return (float(c), r, fold, int(sizes.get((r, fold), 0)),
                 float(acc) if acc is not None else None)

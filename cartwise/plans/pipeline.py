@@ -139,23 +139,58 @@ def gradient_norms(spark: SparkSession, art: Artifacts) -> DataFrame:
         F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("gradient_norm"))
 
 
-def check_predictions(spark: SparkSession, art: Artifacts, sample_size: int, seed) -> DataFrame:
-    """I6 check: the sample with ``most_likely``, whether the predicted category
-    is that of the highest linear score."""
+def likeliest_category(art: Artifacts) -> F.Column:
+    """The category of the highest linear score of an encoded row, from the
+    coefficients alone."""
     names = fe.label_names(art.labels)
     weights, bias = art.model.coefficientMatrix.toArray(), art.model.interceptVector.toArray()
-    pred = fe.encode(predict_category_sample(art, sample_size, seed), art.features)
     x = vector_to_array(fe.FEATURES)
     scores = [F.struct((F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in row]),
                                                lambda a, b: a * b),
                                     F.lit(float(b)), lambda a, v: a + v)).alias("s"),
                        F.lit(-k).alias("k"), F.lit(names[k]).alias("c"))
               for k, (row, b) in enumerate(zip(weights, bias))]
-    best = F.array_max(F.array(*scores))["c"]
-    return pred.withColumn("most_likely", best == F.coalesce(
+    return F.array_max(F.array(*scores))["c"]
+
+
+def check_predictions(spark: SparkSession, art: Artifacts, sample_size: int, seed) -> DataFrame:
+    """I6 check: the sample with ``most_likely``, whether the predicted category
+    is that of the highest linear score."""
+    pred = fe.encode(predict_category_sample(art, sample_size, seed), art.features)
+    return pred.withColumn("most_likely", likeliest_category(art) == F.coalesce(
         F.col("predicted_category"), F.lit("__null__")))
 
 
+def check_batch(spark: SparkSession, art: Artifacts, sample_size: int, product_number: int,
+                estimation_n: int, seed) -> DataFrame:
+    """I9 check: per customer of the batch, ``sample_pos`` of its last sampled row and
+    ``as_single``, whether its rows are those of a recommendation for it alone with
+    the likeliest category.  ``sample_size`` recommendations are made: keep it small."""
+    sample = sample_purchases(usable_rows(art.data, art.spec), sample_size, seed)
+    coded = fe.encode(sample, art.features).withColumn("_c", likeliest_category(art))
+    category = F.when(F.col("_c") != "__null__", F.col("_c"))
+    rows = coded.select(CU, "sample_pos", category.alias("predicted_category"),
+                        F.col(rec.LAT).alias("pred_lat"),
+                        F.col(rec.LNG).alias("pred_lng")).collect()
+    last = {r[CU]: r for r in sorted(rows, key=lambda r: r["sample_pos"])}
+    batch = stored(recommend_sample(art, sample_size, product_number, estimation_n, seed),
+                   "batch")
+    schema = sample.select(CU, "sample_pos").schema
+    out = []
+    for customer, r in last.items():
+        one = spark.createDataFrame([(customer, r["predicted_category"], r["pred_lat"],
+                                      r["pred_lng"])],
+                                    f"{CU} {schema[CU].dataType.simpleString()}, "
+                                    "predicted_category string, pred_lat double, pred_lng double")
+        alone = stored(rec.recommend(art.data, one, product_number, estimation_n, seed=seed),
+                       "alone")
+        mine = batch.where(F.col(CU) == F.lit(customer)).select(*alone.columns)
+        differ = mine.exceptAll(alone).count() + alone.exceptAll(mine).count()
+        out.append((customer, r["sample_pos"], differ == 0))
+    return spark.createDataFrame(out, f"{CU} {schema[CU].dataType.simpleString()}, "
+                                      "sample_pos int, as_single boolean")
+
+
 def usable_training(train: DataFrame, spec: seq.FeatureSpec) -> DataFrame:
     """Training rows without a missing numeric feature."""
     return train.where(" AND ".join(f"`{c}` IS NOT NULL" for c in spec.numerical))

@@ -336,6 +336,39 @@ def q_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.col("accuracy").isNull()).alias("scored"))
 
 
+@register("cv_baseline", osql.with_complete(*COHORT_CTES[:5], USABLE_LABELS_CTE, """
+labelled AS (
+  SELECT customer_unique_id,
+         dense_rank() OVER (ORDER BY coalesce(next_product_category, '__null__')) - 1 AS label
+  FROM usable)""", f"""
+folded AS (
+  SELECT label, CAST((off + rn - 1) % {ml.CV_FOLDS} AS INTEGER) AS fold
+  FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY
+                 md5(concat_ws(':', '{ml.CV_SEED}', '0', CAST(customer_unique_id AS VARCHAR))),
+                 customer_unique_id) AS rn
+        FROM labelled) r
+  JOIN (SELECT label, coalesce(sum(size) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING
+                                               AND 1 PRECEDING), 0) AS off
+        FROM (SELECT label, count(*) AS size FROM labelled GROUP BY label)) o USING (label))""",
+                                            """
+majority AS (
+  SELECT fold, label FROM (
+    SELECT f.fold, l.label,
+           row_number() OVER (PARTITION BY f.fold ORDER BY count(*) DESC, l.label) AS rn
+    FROM (SELECT DISTINCT fold FROM folded) f JOIN folded l ON l.fold <> f.fold
+    GROUP BY f.fold, l.label)
+  WHERE rn = 1)""", body="""
+SELECT 0 AS repeat, t.fold, count(*) AS n_test,
+       avg(CASE WHEN t.label = m.label THEN 1.0 ELSE 0.0 END) AS accuracy
+FROM folded t JOIN majority m ON m.fold = t.fold GROUP BY t.fold"""))
+def q_cv_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy per fold of the most frequent category of the other folds: what the
+    classifier's has to be seen against, by the same cross-validation."""
+    art = pl.model_artifacts(spark, sf)
+    out = ml.cross_validate(art.train_encoded, CU, grid=(1.0,), fit=ml.train_majority)
+    return out.where("n_test > 0").select("repeat", "fold", "n_test", "accuracy")
+
+
 # --- I6 / H9 / H4 ------------------------------------------------------------
 SAMPLE = 5
 
@@ -364,6 +397,26 @@ def q_recommend_batch(spark: SparkSession, sf: str) -> DataFrame:
                                seed=SEED)
 
 
+BATCH = 2
+
+
+@register("recommend_batch_check", osql.with_complete(body=f"""
+SELECT customer_unique_id, CAST(max(sample_pos) AS INTEGER) AS sample_pos, true AS as_single
+FROM (SELECT customer_unique_id, row_number() OVER (ORDER BY {{key}}) AS sample_pos
+      FROM r_complete WHERE customer_unique_id IS NOT NULL AND review_score IS NOT NULL
+      ORDER BY {{key}} LIMIT {BATCH})
+GROUP BY customer_unique_id""".format(key=(
+    f"md5(concat_ws(':', '{SEED}', "
+    + ", ".join(f"CAST({k} AS VARCHAR)" for k in pl.ROW_KEYS) + ")), "
+    + ", ".join(f"{k} ASC NULLS LAST" for k in pl.ROW_KEYS)))))
+def q_recommend_batch_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers of the batch, each with its last sampled row; whether the batch
+    gave it what ``recommend`` gives it alone, for the category of the highest linear
+    score."""
+    art = pl.model_artifacts(spark, sf)
+    return pl.check_batch(spark, art, BATCH, product_number=3, estimation_n=5, seed=SEED)
+
+
 # --- A5 ----------------------------------------------------------------------
 @register("model_roundtrip", osql.with_complete(*COHORT_CTES[:5], USABLE_LABELS_CTE, body="""
 SELECT customer_unique_id, true AS same FROM usable"""))
