@@ -320,17 +320,33 @@ def _line(label: str, value: str) -> str:
     return f"printf('%-35s%15s', '{label}', {value})"
 
 
-REPORT_SQL = osql.with_complete(
-    *COHORT_CTES, *drawn_ctes(REPORT_ESTIMATION_N, PRODUCT_NUMBER),
-    *near_ctes(REPORT_ESTIMATION_N), f"""
+# Columns of the sampled row that the verbose report lists here: numbers and texts
+# that both engines print alike.
+DETAILS = ("order_id", "order_item_id", "product_id", "seller_id", "payment_sequential",
+           "product_category_name", "customer_id", "customer_unique_id")
+
+
+def report_sql(details: tuple[str, ...] = ()) -> str:
+    """The report's lines; with ``details`` a block of them before the first banner."""
+    verbose = "" if not details else f"'', '{rec.DETAILS_TITLE}', " + "".join(
+        _line(c, f"coalesce(CAST(f.{c} AS VARCHAR), 'nan')") + ", " for c in details)
+    first = len(rec.HEADER_LABELS) + 2 + (len(details) + 2 if details else 0)
+    return osql.with_complete(
+        *COHORT_CTES, *drawn_ctes(REPORT_ESTIMATION_N, PRODUCT_NUMBER),
+        *near_ctes(REPORT_ESTIMATION_N), f"""
+rows_first AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER w AS rn, lead(product_category_name) OVER w AS next_product_category
+    FROM cohort_rows WINDOW w AS (PARTITION BY customer_unique_id ORDER BY {T}))
+  WHERE rn = 1)""", """
 np AS (SELECT u, count(*) AS n FROM drawn GROUP BY u)""", f"""
 head AS (
   SELECT f.customer_unique_id, coalesce(np.n, 0) AS n, [
     {_line(rec.HEADER_LABELS[0], "substring(CAST(f.customer_unique_id AS VARCHAR), 1, 5)")},
     {_line(rec.HEADER_LABELS[1], "coalesce(f.product_category_name, 'nan')")},
     {_line(rec.HEADER_LABELS[2], "coalesce(f.next_product_category, 'nan')")},
-    '', format('{{:#^50}}', '{rec.BANNER_TITLE}')] AS lines
-  FROM firsts f LEFT JOIN np ON np.u = f.customer_unique_id)""", f"""
+    {verbose}'', format('{{:#^50}}', '{rec.BANNER_TITLE}')] AS lines
+  FROM rows_first f LEFT JOIN np ON np.u = f.customer_unique_id)""", f"""
 prod AS (
   SELECT dw.u AS customer_unique_id, dw.dr, [
     {_line(rec.PRODUCT_LABELS[0], "substring(CAST(dw.product_id AS VARCHAR), 1, 5)")},
@@ -340,24 +356,24 @@ prod AS (
            " || ' days'")},
     {_line(rec.PRODUCT_LABELS[3], "coalesce(printf('%.2f', dw.review_score), 'nan')")}] AS lines
   FROM drawn dw LEFT JOIN est e ON e.u = dw.u AND e.product_id = dw.product_id)""",
-    body="""
+        body=f"""
 SELECT customer_unique_id, CAST(k - 1 AS INTEGER) AS line_no, lines[k] AS line
-FROM head, range(1, 6) t(k)
+FROM head, range(1, {first + 1}) t(k)
 UNION ALL
-SELECT customer_unique_id, CAST(5 + 4 * (dr - 1) + k - 1 AS INTEGER) AS line_no,
+SELECT customer_unique_id, CAST({first} + 4 * (dr - 1) + k - 1 AS INTEGER) AS line_no,
        lines[k] AS line
 FROM prod, range(1, 5) t(k)
 UNION ALL
-SELECT customer_unique_id, CAST(5 + 4 * n + k - 1 AS INTEGER) AS line_no,
+SELECT customer_unique_id, CAST({first} + 4 * n + k - 1 AS INTEGER) AS line_no,
        CASE WHEN k = 1 THEN repeat('#', 50) ELSE '' END AS line
 FROM head, range(1, 4) t(k)""")
 
 
-@register("report_lines", REPORT_SQL)
-def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+def _report(spark: SparkSession, sf: str, details: tuple[str, ...] = ()) -> DataFrame:
     d = wide(spark, sf)
+    more = tuple(c for c in details if c not in (rec.CUSTOMER, rec.CATEGORY))
     first = seq.next_purchase(seq.cohort_rows(d, COHORT_N), seq.EXPLORATION_SPEC,
-                              extra=(rec.LAT, rec.LNG))
+                              extra=(rec.LAT, rec.LNG, *more))
     preds = first.select(rec.CUSTOMER,
                          F.col("next_product_category").alias("predicted_category"),
                          F.col(rec.LAT).alias("pred_lat"), F.col(rec.LNG).alias("pred_lng"))
@@ -365,5 +381,17 @@ def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
                          keep_rank=True)
     customers = first.select(rec.CUSTOMER,
                              F.col("product_category_name").alias("previous_category"),
-                             F.col("next_product_category").alias("predicted_category"))
-    return rec.report_lines(recs, customers)
+                             F.col("next_product_category").alias("predicted_category"),
+                             *([F.struct(*details).alias("details")] if details else []))
+    return rec.report_lines(recs, customers, verbose=bool(details))
+
+
+@register("report_lines", report_sql())
+def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _report(spark, sf)
+
+
+@register("report_lines_verbose", report_sql(DETAILS))
+def q_report_lines_verbose(spark: SparkSession, sf: str) -> DataFrame:
+    """The report with a line for each column of the customer's row."""
+    return _report(spark, sf, DETAILS)

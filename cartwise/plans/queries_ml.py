@@ -226,6 +226,22 @@ def q_geo_clusters(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("_near") == F.col("location_cluster")).alias("nearest"))
 
 
+@register("raw_geo_clusters", osql.with_ctes(body="""
+SELECT vec_id, true AS nearest FROM embeddings"""))
+def q_raw_geo_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """k-means on the raw points instead of the zips' means: every point belongs to the
+    cluster whose members' mean is nearest."""
+    coords = ("lat", "lng")
+    points = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet").select(
+        "vec_id", F.col("embedding")[0].cast("double").alias("lat"),
+        F.col("embedding")[1].cast("double").alias("lng"))
+    own = ml.assign_nearest(points, ml.fit_kmeans(points, coords), coords, "_cluster")
+    means = own.groupBy("_cluster").agg(*[F.avg(c).alias(c) for c in coords])
+    centres = [(r["lat"], r["lng"]) for r in means.orderBy("_cluster").collect()]  # k rows
+    return ml.assign_nearest(own, centres, coords, "_near").select(
+        "vec_id", (F.col("_near") == F.col("_cluster")).alias("nearest"))
+
+
 # --- C7, I1, I2 with a fixed centre table -----------------------------------
 CLUSTERS_CTE = """
 zip_clusters AS (
