@@ -33,6 +33,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept.  Other columns of ``df`` are not read.  An empty table gives an
     empty result.
     """
+    return _grouped(df, id_col, text_col, salts).drop("run_n")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, salts: int = 256) -> DataFrame:
+    """``exact_dedup`` with the code points of the best row of a row's run, which of
+    a kept row are its own."""
     spark = df.sparkSession
     text = F.coalesce(F.col("t"), F.lit(""))
     rows = (df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
@@ -65,19 +71,23 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (runs.join(groups, ["sha", "salt"])
             .select("doc_id", F.col("best.id").alias("keep_id"), "group_size",
                     ((F.col("rn") == 1) & (F.col("salt") == F.col("best.s"))).alias("kept"),
-                    F.lower(F.hex("sha")).alias("text_sha256")))
+                    F.lower(F.hex("sha")).alias("text_sha256"), "run_n"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    kept = (exact_dedup(df, id_col, text_col).filter("kept")
-            .select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, ""), 256)
-    tagged = df.withColumn("__sha", sha)
-    cols = df.columns
-    return (tagged.join(kept, F.col(id_col).eqNullSafe(F.col("__keep_id"))
-                        & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-            .dropDuplicates([id_col, "__sha"]).select(*[F.col(f"`{c}`") for c in cols]))
+    """The rows of ``df`` that stay, with all their columns, whatever their names: of
+    equal texts the longest before normalisation, then the smallest id, then any."""
+    kept = (_grouped(df, id_col, text_col).filter("kept")
+            .select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "run_n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row as a struct beside what is compared: no name can clash
+    tagged = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
+                       F.sha2(F.regexp_replace(text, WHITE, ""), 256).alias("sha"),
+                       F.char_length(text).cast("long").alias("run_n"))
+    same = (tagged["id"].eqNullSafe(kept["id"]) & (tagged["sha"] == kept["sha"])
+            & (tagged["run_n"] == kept["run_n"]))
+    return (tagged.join(kept, same, "left_semi").dropDuplicates(["id", "sha"])
+            .select("row.*"))
 
 
 ORACLE = r"""

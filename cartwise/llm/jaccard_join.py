@@ -229,16 +229,20 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links connect.  A row without words (null and empty texts among them)
     links to none and is its own class.  Repeated rows are rows of one set.
     Other columns are not read.  ``kept`` is true for one row of each class:
-    the smallest id (null first, then a hash of the text, then any).
+    the smallest id (null first, then a hash of the text, then any one row).
     """
     spark = df.sparkSession
     ship_package(spark)
     arrow_bound(spark)
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"),
                      F.col(text_col).alias("text"))
-    rows = written(spark, _signatures(docs, shingle), "signatures")
+    # the row's number is written with it: rows that repeat id and text are told apart
+    rows = written(spark, _signatures(docs, shingle)
+                   .withColumn("row", F.monotonically_increasing_id()), "signatures")
+    repeats = not (rows.filter("cls IS NOT NULL").groupBy("doc_id", "th").count()
+                   .filter("count > 1").isEmpty())
     sets = (rows.filter("cls IS NOT NULL").groupBy("cls")
-            .agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"),
+            .agg(F.min(F.struct("doc_id", "th", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")))
     sets = written(spark, sets.withColumn("cid", F.monotonically_increasing_id()), "sets")
 
@@ -265,7 +269,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fit = F.broadcast if small_enough(member, BROADCAST_ROWS) else (lambda d: d)
     texts = (docs.join(fit(dealt), docs["doc_id"].eqNullSafe(dealt["rep.doc_id"])
                        & (docs["th"] == dealt["rep.th"]))
-             .select("cid", "comp", "copies", "block", "text", other.alias("other"))
+             .select("cid", "comp", "copies", "block", "nb", "text"))
+    if repeats:
+        # one of a representative's rows stands for them: their tasks send one each
+        texts = texts.groupBy("cid").agg(*[F.first(c).alias(c) for c in texts.columns[1:]])
+    texts = (texts.select("cid", "comp", "copies", "block", "text", other.alias("other"))
              .select("cid", "comp", "copies", "block", "text",
                      F.least("block", "other").alias("first"),
                      F.greatest("block", "other").alias("second")))
@@ -302,26 +310,36 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "cls", "rep", "best", (F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
         .alias("n_links")), "classes")
     discard(spark, links, linked, sets, best)
-    return (rows.select("doc_id", "th", "cls").join(per_set, "cls", "left")
+    return (rows.select("doc_id", "th", "cls", "row").join(per_set, "cls", "left")
             .select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id"))
                     .otherwise(F.col("best.doc_id")).alias("class_id"),
                     F.when(F.col("cls").isNull(), F.col("doc_id"))
                     .otherwise(F.col("rep.doc_id")).alias("set_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    (F.col("cls").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-                                              & (F.col("th") == F.col("best.th")))).alias("kept"),
-                    "th"))
+                    (F.col("cls").isNull() | (F.col("row") == F.col("best.row"))).alias("kept"),
+                    "th", F.col("cls").isNull().alias("alone")))
 
 
 def join_classes(df: DataFrame, **options) -> DataFrame:
     """``near_copies`` without its text hash."""
-    return near_copies(df, **options).drop("th")
+    return near_copies(df, **options).drop("th", "alone")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              **options) -> DataFrame:
-    """The rows of ``df`` that stay, one of each class, with all their columns."""
-    kept = (near_copies(df, id_col, text_col, **options).filter("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")))
-    return df.join(kept, df[id_col].eqNullSafe(kept["__id"])
-                   & (F.xxhash64(df[text_col]) == kept["__th"]), "left_semi")
+    """The rows of ``df`` that stay, one of each class, with all their columns (of
+    rows that repeat id and text any one; rows without words all stay)."""
+    found = written(df.sparkSession, near_copies(df, id_col, text_col, **options)
+                    .select("doc_id", "th", "alone", "kept"), "near-copies")
+    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = df[id_col].eqNullSafe(kept["__id"]) & (F.xxhash64(df[text_col]) == kept["__th"])
+    stay = df.join(kept, same, "left_semi")
+    twice = found.filter("NOT alone").groupBy("doc_id", "th").agg(
+        F.count_if("kept").alias("k"), F.count("*").alias("n")).filter("k > 0 AND n > 1")
+    if twice.isEmpty():
+        return stay
+    # rows whose id and text repeat: one stays
+    more = twice.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = df[id_col].eqNullSafe(more["__id"]) & (F.xxhash64(df[text_col]) == more["__th"])
+    return (stay.join(more, same, "left_anti").unionByName(
+        stay.join(more, same, "left_semi").dropDuplicates([id_col, text_col])))

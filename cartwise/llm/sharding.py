@@ -73,18 +73,28 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", names: list[str] | Non
 
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id",
-                 names: list[str] | None = None, slots: int = SLOTS) -> None:
-    """Write ``df`` as Parquet below ``path``, a folder ``shard=i`` for each
-    shard.  Rows are dealt by (shard, salt), so a shard has several writers."""
+                 names: list[str] | None = None, slots: int = SLOTS,
+                 folder: str = "shard", writers: int | None = None) -> None:
+    """Write ``df`` as Parquet below ``path``, a folder ``<folder>=i`` for each shard,
+    with all its columns; one of them named like ``folder`` is an error, as the
+    folder's name is a column of what is read back.  Rows are dealt by (shard, hash of
+    the row), ``writers`` parts a shard (by default as many as give each of the
+    session's shuffle partitions one)."""
+    if folder in df.columns:
+        raise ValueError(f"the table has a column {folder!r}: name the folders otherwise")
+    spark = df.sparkSession
     names = shard_names() if names is None else names
-    placed = df.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))),
-                                             "__slot long, shard int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writers = writers or max(1, -(-parts // len(names)))
+    placed = spark.createDataFrame(list(enumerate(lookup_table(names, slots))),
+                                   "slot long, shard int")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     slot = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % slots
-    (df.drop("shard").withColumn("__slot", slot)
-     .join(F.broadcast(placed), "__slot").drop("__slot")
-     .repartition("shard", F.pmod(F.xxhash64(key), F.lit(8)))
-     .write.partitionBy("shard").parquet(path))
+    rows = df.select(F.struct("*").alias("row"), slot.alias("slot"),
+                     F.pmod(F.xxhash64(*df.columns), F.lit(writers)).alias("part"))
+    (rows.join(F.broadcast(placed), "slot")
+     .repartition(max(parts, len(names)), "shard", "part")
+     .select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path))
 
 
 # The fill as a recursive query: one row a turn, `taken` as a list of flags.
