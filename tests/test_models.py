@@ -162,3 +162,19 @@ def test_folds_keep_every_row_of_a_large_table(spark, aqe, partitions):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_cross_validation_with_the_majority_label(spark):
+    """The accuracy of a fold is the share of the other folds' most frequent label."""
+    rows = [(i, 0.0 if i % 3 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, f"key long, {ml.LABEL} double").withColumn(
+        ml.FEATURES, F.lit(1.0))
+    out = ml.cross_validate(df, "key", grid=(1.0,), fit=ml.train_majority).collect()
+    assert len(out) == ml.CV_FOLDS and sum(r.n_test for r in out) == 60
+    folds = ml.stratified_folds(df, "key").collect()
+    for r in out:
+        test = [x[ml.LABEL] for x in folds if x.fold == r.fold]
+        assert r.accuracy == sum(x == 0.0 for x in test) / len(test)
+    tie = df.limit(0).unionByName(df.where("key < 2"))
+    assert ml.train_majority(tie).label == 0.0
+    assert ml.train_majority(df.limit(0)).label is None
