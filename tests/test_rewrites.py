@@ -138,3 +138,44 @@ def test_report_plan_has_group_limits_and_no_python(spark):
     from cartwise.operators.ranking import top_within
     plan = top_within(data, ["a"], [data["b"]], 1000, ["b"])
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generated_ranks_are_neither_shuffled_nor_broadcast(spark):
+    """60 customers of a ranking of 400: the 24000 rows stay where they are made."""
+    from pyspark.sql import functions as F
+
+    ranked = spark.range(400).select(
+        F.lit("k").alias("product_category_name"), F.col("id").alias("product_id"),
+        F.lit(3.0).alias("review_score"), F.lit(None).cast("long").alias("sole_buyer"),
+        (F.col("id") + 1).cast("int").alias("cat_rank"))
+    preds = spark.range(60).select(
+        F.col("id").alias("customer_unique_id"), F.lit("k").alias("predicted_category"),
+        F.lit(0.0).alias("pred_lat"), F.lit(0.0).alias("pred_lng"))
+    drawn = rec.draw_products(rec.top_products_for(preds, ranked, 300), 3)
+    rows = drawn.collect()
+    assert len(rows) == 180 and {r.n_available for r in rows} == {300}
+    lines = drawn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above = []
+    for line in lines.splitlines():
+        if "Generate explode" in line:
+            break
+        above.append(line)
+    else:
+        raise AssertionError("no generator in the plan")
+    assert not any("Exchange" in line for line in above), lines
+
+
+def test_a_long_ranking_is_joined_by_shuffle(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    ranked = spark.range(40).select(
+        F.lit("k").alias("product_category_name"), F.col("id").alias("product_id"),
+        F.lit(3.0).alias("review_score"), F.lit(None).cast("long").alias("sole_buyer"),
+        (F.col("id") + 1).cast("int").alias("cat_rank"))
+    preds = spark.range(7).select(
+        F.col("id").alias("customer_unique_id"), F.lit("k").alias("predicted_category"),
+        F.lit(0.0).alias("pred_lat"), F.lit(0.0).alias("pred_lng"))
+    want = sorted(map(tuple, rec.top_products_for(preds, ranked, 30).collect()))
+    monkeypatch.setattr(rec, "SHORT_RANKING", 10)
+    assert sorted(map(tuple, rec.top_products_for(preds, ranked, 30).collect())) == want
+    assert len(want) == 210
