@@ -3,9 +3,10 @@
 Generators with high recall propose spans that may overlap.  The four base
 patterns, where their checks hold, are personal data in any case.  Every
 other proposal is judged by boosted trees over its format and context; they
-learn, from a bounded sample of proposals, which look like the checked ones
-(the checks themselves aren't among the features).  A threshold on the score,
-calibrated on the sample's other half, selects further redactions.
+learn, from all proposals of one half, which look like the checked ones (the
+checks themselves aren't among the features).  A threshold on the score,
+calibrated on all proposals of the other half, selects further redactions.
+Proposals that look the same are one row with their number as its weight.
 
 DataFrame and SQL functions and Spark's own trees only.  A text is searched
 once; what follows works on its proposals.
@@ -13,6 +14,8 @@ once; what follows works on its proposals.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,10 +26,10 @@ from pyspark.sql.column import Column
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 20_000          # proposals that the trees are fitted on, at most
 LEAST_ROWS = 40               # with fewer of either label nothing is learnt
 PRECISION = 0.98              # that a threshold must reach on the calibration half
 TREES, TREE_DEPTH = 12, 4
+BINS = 32                     # of a feature's values in the trees, at least
 CONTEXT = 24                  # characters on each side
 
 # Possessive forms match what the plain ones do, in time linear in the text:
@@ -148,40 +151,46 @@ def features(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(out)
 
 
-def fit(props: DataFrame, sample_rows: int = SAMPLE_ROWS
-        ) -> tuple[GBTClassificationModel, float] | None:
-    """(trees, threshold), or None if there is too little to learn from.
+def formats(props: DataFrame) -> DataFrame:
+    """(FEATURES, half, label, weight): what proposals look like, and how many do,
+    by half (a hash of the proposal) and label.  A label is 1 if the proposal's
+    span is a checked base span of its kind, else 0."""
+    key = ["uid", "kind", "start", "stop"]
+    judged = props.filter("g >= 0")
+    good = judged.filter("base").select(*key).distinct().withColumn("hit", F.lit(1.0))
+    h = F.xxhash64("doc_id", "g", "start", "m")
+    rows = (judged.select(*key, "m", "pre", "post", F.pmod(F.hash(h), F.lit(2)).alias("half"))
+            .join(good, key, "left").withColumn("label", F.coalesce("hit", F.lit(0.0))))
+    return (features(rows).groupBy(*FEATURES, "half", "label")
+            .agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
-    Labels: a proposal is positive if its span is a checked base span of its
-    kind, else negative.
-    """
+
+def fit(props: DataFrame) -> tuple[GBTClassificationModel, float] | None:
+    """(trees, threshold) learnt from every proposal, or None if there is too
+    little to learn from."""
     spark = props.sparkSession
-    judged = props.filter("g >= 0")
-    n = judged.count()
-    if n < 2 * LEAST_ROWS:
+    some = written(spark, formats(props), "formats")
+    some = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some).select(
+        "features", "half", "label", "weight")
+    seen = some.groupBy("half", "label").agg(F.sum("weight").alias("n"),
+                                             F.count(F.lit(1)).alias("kinds")).collect()
+    if sum(r["n"] for r in seen) < 2 * LEAST_ROWS:
         return None
-    # a hash picks about twice the rows, and the limit the bound
-    h = F.xxhash64("doc_id", "g", "start", "m")
-    some = (judged.withColumn("h", h)
-            .filter(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, 2.0 * sample_rows / n)
-                                                      * (1 << 20)) + 1)
-            .orderBy(F.hash("h"), "h").limit(sample_rows))
-    good = judged.filter("base").select("uid", "kind", "start", "stop").distinct()
-    some = (features(some.withColumn("half", F.pmod(F.hash("h"), F.lit(2))))
-            .join(good.withColumn("hit", F.lit(1.0)), ["uid", "kind", "start", "stop"], "left")
-            .select("features", "half", F.coalesce("hit", F.lit(0.0)).alias("label")))
-    some = written(spark, some, "sample")
-    seen = {r["label"]: r["n"] for r in some.filter("half = 0").groupBy("label")
-            .agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(seen.get(0.0, 0), seen.get(1.0, 0)) < LEAST_ROWS // 2:
+    first = {r["label"]: r["n"] for r in seen if r["half"] == 0}
+    if min(first.get(0.0, 0), first.get(1.0, 0)) < LEAST_ROWS // 2:
         return None
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES,
-                          maxDepth=TREE_DEPTH, seed=7).fit(some.filter("half = 0"))
+    # Spark takes split candidates from a sample once the rows outnumber the square
+    # of the bins
+    bins = max(BINS, math.isqrt(sum(r["kinds"] for r in seen if r["half"] == 0)) + 1)
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight",
+                          maxIter=TREES, maxDepth=TREE_DEPTH, maxBins=bins,
+                          seed=7).fit(some.filter("half = 0"))
     # precision above each of the scores of the calibration half, in steps of 1/100
     steps = (trees.transform(some.filter("half = 1"))
              .select(F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("s"),
-                     "label")
-             .groupBy("s").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+                     "label", "weight")
+             .groupBy("s").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"),
+                               F.sum("weight").alias("n"))
              .orderBy(F.col("s").desc()).collect())               # 101 rows at most
     hits = total = 0
     threshold = None
@@ -192,8 +201,7 @@ def fit(props: DataFrame, sample_rows: int = SAMPLE_ROWS
     return None if threshold is None else (trees, threshold)
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans (kind:start:end of base and further spans by start,
     then kind, comma-joined; code points, end exclusive).
@@ -207,7 +215,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     props = written(df.sparkSession, proposals(docs), "spans")
     own = props.filter("g < 0 OR base").select(
         "uid", "doc_id", "g", "kind", "start", "stop", "base")
-    learnt = fit(props, sample_rows)
+    learnt = fit(props)
     if learnt is not None:
         own = own.unionByName(_further(props, *learnt))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)

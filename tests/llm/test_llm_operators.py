@@ -429,6 +429,26 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert all(got[k].spans == "" for k in range(400, 800))
 
 
+def test_pii_learns_from_every_proposal(spark):
+    """More proposals than any sample held: their formats' weights are all of them, and
+    they are exact."""
+    n = 6_000
+    df = spark.range(n).selectExpr(
+        "id AS doc_id", "concat('card 4000', lpad(id, 12, '0'), ' at 10.0.0.', id % 400, "
+        "' or 5.', id % 7, '.', id % 9, ', call +49 30 ', 100000 + id, ' now') AS t")
+    props = pii.written(spark, pii.proposals(df), "spans-test")
+    seen = pii.formats(props)
+    judged = props.filter("g >= 0").count()
+    assert judged > 20_000
+    total = seen.agg({"weight": "sum"}).first()[0]
+    assert total == judged and seen.count() < judged / 4
+    half = seen.filter("half = 0").agg({"weight": "sum"}).first()[0]
+    assert abs(half - judged / 2) < judged / 20
+    base = props.filter("base").select("uid", "kind", "start", "stop").distinct()
+    good = props.filter("g >= 0").join(base, ["uid", "kind", "start", "stop"], "left_semi").count()
+    assert seen.filter("label = 1").agg({"weight": "sum"}).first()[0] == good
+
+
 def test_lookup_table():
     names = sharding.shard_names(16)
     table = sharding.lookup_table(names, 2003)
