@@ -28,7 +28,9 @@ SCALE_DECIMALS = 9
 
 
 def ml_train(spark: SparkSession, sf: str) -> DataFrame:
-    return seq.training_rows(wide(spark, sf), COHORT_N, SPEC)
+    """The exploratory training table (written once: fits and encoders read it again)."""
+    return prepared(spark, f"exploration_table_{COHORT_N}", sf,
+                    lambda: seq.training_rows(wide(spark, sf), COHORT_N, SPEC))
 
 
 def fitted(spark: SparkSession, sf: str):

@@ -281,3 +281,28 @@ def test_sample_is_deterministic(spark):
     b = [r["k"] for r in sample_rows(df.repartition(7), ["k"], 10).collect()]
     assert a == b and len(set(a)) == 10
     assert not math.isnan(sum(a))
+
+
+def test_cohort_is_found_without_moving_the_rows(spark):
+    """The cohort's keys are few and known to be: the rows aren't dealt by customer."""
+    from cartwise.operators import sequences as seq
+
+    data = spark.createDataFrame(
+        [(f"c{k // 3}", f"c{k // 3}", k, k % 5) for k in range(300)]
+        + [("x", "x", 1, 1), (None, None, 2, 2)],
+        "customer_unique_id string, customer_id string, order_id long, product_id long")
+    rows = seq.cohort_rows(data, 3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert rows.count() == 300
+
+
+def test_csv_parts_are_compressed_and_short(spark, tmp_path, monkeypatch):
+    from cartwise.sources import files
+
+    monkeypatch.setattr(files, "PART_ROWS", 10)
+    df = spark.createDataFrame([(k, f'a "b"\n{k}') for k in range(25)], "k long, t string")
+    files.write_csv(df.coalesce(1), str(tmp_path / "t.csv"))
+    assert len(list((tmp_path / "t.csv").glob("*.csv.gz"))) == 3
+    got = files.read_csv(spark, str(tmp_path / "t.csv"), df.schema).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, df.collect()))
