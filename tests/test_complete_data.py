@@ -96,3 +96,50 @@ def test_prepared_follows_its_source(spark, tmp_path):
     assert (get(), get(), len(built)) == (3, 3, 1)
     spark.range(2).write.mode("append").parquet(src)
     assert (get(), get(), len(built)) == (5, 5, 2)
+
+
+def rows_shuffled(df) -> int:
+    """Rows written by all exchanges of the plan that ran; one that is reused counts once."""
+    def walk(node):
+        if node.getClass().getSimpleName() == "ReusedExchangeExec":
+            return 0
+        found = node.metrics().get("shuffleRecordsWritten")
+        total = found.get().value() if found.isDefined() else 0
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        kids = node.children()
+        return total + sum(walk(kids.apply(i)) for i in range(kids.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_wide_rows_are_not_shuffled_by_zip_or_category(spark):
+    """Items are shuffled by product, seller and order, once each; the wide rows never."""
+    n = 1000
+    rows = {
+        "customers": [(1, 1, 0)], "orders": [(o, 1, "t") for o in range(10)],
+        "order_items": [(i % 11, i, i % 7, 1, 1.0) for i in range(n)],
+        "order_payments": [(o, 1) for o in range(10)], "order_reviews": [(1, 1.0)],
+        "products": [(p, f"cat{p % 3}") for p in range(7)], "sellers": [(1, 0)],
+        "product_translation": [("cat0", "c0"), ("cat1", "c1")]}
+    t = {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}
+    zips = spark.createDataFrame([(0, 1.0, 2.0)], "geolocation_zip_code_prefix int, "
+                                 "geolocation_lat double, geolocation_lng double")
+    # stored tables of this size are broadcast; nothing is as a shuffle has shown its size
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "100k",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        wide = prepare.complete_data(t, zips)
+        # besides: the items' keys, for products and sellers that nothing refers to
+        assert 3 * n <= rows_shuffled(wide) < 3 * n + n // 2
+        assert wide.count() == n
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
