@@ -4,10 +4,15 @@ A file's header names its columns; known columns get their type by name and
 any other one stays text, so files with more columns load as they are.  Only
 ``order_reviews`` holds free text with line ends, and only that file is read
 as one stream; the others are split over tasks.
+
+The planner takes a compressed file's size for its rows' and would broadcast
+millions of them, so the tables that join others say how they are joined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,13 @@ from cartwise.sources.files import write_csv
 TABLES = ("customers", "geolocation", "order_items", "order_payments", "order_reviews",
           "orders", "products", "sellers", "product_translation")
 MULTI_LINE = frozenset({"order_reviews"})
+# Tables that grow with the orders are never broadcast, those of the parties are if small.
+FACTS = ("orders", "order_items", "order_payments", "order_reviews")
+DIMENSIONS = ("customers", "products", "sellers")
+# The largest dimension that is broadcast, in bytes of its rows in a hash
+# table, and the bytes there of a row and of a column; those of texts come on top.
+BROADCAST_BYTES = 4 * 1024 * 1024
+ROW_BYTES, COLUMN_BYTES = 32, 8
 
 # The type of each known column; identifiers and names are text.
 COLUMN_TYPES = {
@@ -52,14 +64,37 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = False,
     return raw.select(*[typed(c) for c in raw.columns])
 
 
+def bytes_in_memory(df: DataFrame) -> DataFrame:
+    """The bytes of all rows of ``df`` in a hash table, as one row."""
+    row = F.lit(ROW_BYTES + COLUMN_BYTES * len(df.columns)).cast("bigint")
+    for c, kind in df.dtypes:
+        if kind == "string":
+            row = row + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("n_bytes"))
+
+
+def with_join_hints(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with the way they are joined: facts and large dimensions by
+    shuffles, dimensions whose rows are few as broadcasts.  Dimensions are
+    measured by one job, which reads them once."""
+    sizes = [bytes_in_memory(tables[t]).select(F.lit(t).alias("name"), "n_bytes")
+             for t in DIMENSIONS]
+    small = {r["name"] for r in reduce(DataFrame.unionByName, sizes).collect()
+             if r["n_bytes"] <= BROADCAST_BYTES}
+    way = dict.fromkeys(FACTS, "merge") | {t: "broadcast" if t in small else "merge"
+                                           for t in DIMENSIONS}
+    return {t: df.hint(way[t]) if t in way else df for t, df in tables.items()}
+
+
 def load_csv_tables(spark: SparkSession, folder: str, prefix: str = "", suffix: str = ".csv",
                     names: dict[str, str] | None = None,
                     types: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The nine tables of ``folder``: ``prefix`` + table + ``suffix`` each,
     unless ``names`` gives a file's name."""
     names = names or {}
-    return {t: read_table(spark, f"{folder.rstrip('/')}/{names.get(t, prefix + t + suffix)}",
-                          t in MULTI_LINE, types) for t in TABLES}
+    return with_join_hints({
+        t: read_table(spark, f"{folder.rstrip('/')}/{names.get(t, prefix + t + suffix)}",
+                      t in MULTI_LINE, types) for t in TABLES})
 
 
 def write_csv_tables(tables: dict[str, DataFrame], folder: str, suffix: str = ".csv") -> None:

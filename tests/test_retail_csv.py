@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 
@@ -53,3 +54,77 @@ def test_malformed_value_raises(spark, tmp_path):
     write(tmp_path, "s.csv", "seller_id,seller_zip_code_prefix\ns1,abc\n")
     with pytest.raises(Exception):
         retail_csv.read_table(spark, str(tmp_path / "s.csv")).collect()
+
+
+def written_tables(spark, folder):
+    orders = [(o, o % 23, dt.datetime(2020, 1, 1 + o % 28)) for o in range(300)]
+    t = {
+        "customers": spark.createDataFrame(
+            [(c, c, c % 3) for c in range(25)],
+            "customer_id long, customer_unique_id long, customer_zip_code_prefix int"),
+        "geolocation": spark.createDataFrame(
+            [(z, float(z), -float(z)) for z in range(3)],
+            "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double"),
+        "order_items": spark.createDataFrame(
+            [(o, i, (o + i) % 7, i % 2, 1.5 * o) for o in range(310) for i in (1, 2)],
+            "order_id long, order_item_id int, product_id long, seller_id long, price double"),
+        "order_payments": spark.createDataFrame([(o, 1) for o in range(305)],
+                                                "order_id long, payment_sequential int"),
+        "order_reviews": spark.createDataFrame([(o, 3.0) for o in range(0, 300, 2)],
+                                               "order_id long, review_score double"),
+        "orders": spark.createDataFrame(
+            orders, "order_id long, customer_id long, order_purchase_timestamp timestamp_ntz"),
+        "products": spark.createDataFrame([(p, f"c{p % 3}" if p else None) for p in range(8)],
+                                          "product_id long, product_category_name string"),
+        "sellers": spark.createDataFrame([(0, 1), (2, 2)],
+                                         "seller_id long, seller_zip_code_prefix int"),
+        "product_translation": spark.createDataFrame(
+            [("c0", "e0"), ("c2", "e2"), ("c9", "e9")],
+            "product_category_name string, product_category_name_english string"),
+    }
+    retail_csv.write_csv_tables(t, str(folder))
+    return t
+
+
+def rows(df):
+    cols = sorted(df.columns)
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
+def broadcast_keys(df):
+    """First keys of the plan's broadcast joins."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"BroadcastHashJoin \[(\w+)#", text))
+
+
+def test_broadcasts_by_counted_bytes(spark, tmp_path, monkeypatch):
+    """A few compressed bytes may be millions of rows: facts are never broadcast,
+    dimensions only if their rows are few."""
+    from cartwise.operators import aggregates as agg
+    from cartwise.plans.prepare import complete_data
+
+    types = dict.fromkeys(("customer_id", "customer_unique_id", "order_id", "product_id",
+                           "seller_id"), "bigint")
+    plain = written_tables(spark, tmp_path)
+    want = rows(complete_data(plain, agg.geo_average(plain["geolocation"])))
+
+    def loaded():
+        t = retail_csv.load_csv_tables(spark, str(tmp_path), types=types)
+        return complete_data(t, agg.geo_average(t["geolocation"]))
+
+    small = loaded()
+    keys = broadcast_keys(small)
+    assert "order_id" not in keys and {"customer_id", "product_id", "seller_id"} <= keys
+    assert rows(small) == want
+    monkeypatch.setattr(retail_csv, "BROADCAST_BYTES", 100)   # only the two sellers fit
+    large = loaded()
+    keys = broadcast_keys(large)
+    assert not keys & {"order_id", "customer_id", "product_id"} and "seller_id" in keys
+    assert rows(large) == want
+
+
+def test_bytes_in_memory(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "é")], "a long, b string")
+    row = retail_csv.ROW_BYTES + 2 * retail_csv.COLUMN_BYTES
+    assert retail_csv.bytes_in_memory(df).first()[0] == 3 * row + 5
+    assert retail_csv.bytes_in_memory(df.limit(0)).first()[0] == 0
